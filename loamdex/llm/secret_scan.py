@@ -5,7 +5,7 @@ form), whose alphabet has k symbols. Under the null hypothesis the string is ord
 
 * chi-squared alphabet uniformity: ordinary text uses few symbols much, so its statistic is large; by its noncentral
   normal approximation, the lower tail is the p-value. The noncentrality grows with length, so short strings can't pass;
-* runs of character classes (upper, lower, digit, other): ordinary text changes class seldom; the upper tail of the number of changes;
+* runs of character classes (upper, lower, digit): ordinary text changes class seldom; the upper tail of the number of changes;
 * serial correlation of neighbouring symbols' classes at lag one: high in ordinary text, near zero in random strings.
 
 The three z-scores are added (Stouffer), and a weighted Benjamini-Hochberg rule over all candidates of all documents,
@@ -76,11 +76,11 @@ def _battery(value: Column) -> Column:
     # ordinary text of this length: sum of squares about n + n (n - 1) * collision
     shift = F.greatest(F.lit(0.0), n * (k * TEXT_COLLISION - 1))
     uniform = ((k - 1 + shift) - chi) / F.sqrt(2 * (k - 1) + 4 * shift + 0.3 * shift * F.sqrt(n))
-    # classes as letters: a word of the text becomes aaaa, a random string is mixed
-    classes = F.translate(body, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "l" * 26 + "u" * 26 + "d" * 10 + "o" * 4)
-    runs = F.regexp_count(classes, F.lit("l+|u+|d+|o+")).cast("double")
-    changes = runs - 1
-    pairs = F.greatest(n - 1, F.lit(1.0))
+    # classes as letters; what joins words and paths is left out, so they change class as seldom as text does
+    classes = F.translate(body, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "l" * 26 + "u" * 26 + "d" * 10)
+    runs = F.regexp_count(classes, F.lit("l+|u+|d+")).cast("double")
+    changes = F.greatest(runs - 1, F.lit(0.0))
+    pairs = F.greatest(F.length(classes) - 1, F.lit(1)).cast("double")
     changing = (changes - pairs * TEXT_CHANGE) / F.sqrt(pairs * TEXT_CHANGE * (1 - TEXT_CHANGE) * 3)
     agree = (pairs - changes) / pairs
     chance = F.when(symbols == 16, RANDOM_AGREE[16]).when(symbols == 32, RANDOM_AGREE[32]).otherwise(RANDOM_AGREE[64])
