@@ -7,7 +7,9 @@ split files by stripes, and a look-up by doc_id skips every stripe and row group
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from loamdex.llm.common import in_shards, new_path, order_key
 
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Most pieces a worker remembers, and the longest piece it does.
+#: Most pieces a worker remembers, and the longest that it does.
 REMEMBERED, LONGEST = 600_000, 48
 #: The byte-level rule of this vocabulary: ids never cross from one of these pieces to the next.
 _PIECES = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,27 +51,49 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.pieces = regex.compile(_CONTRACTIONS + _PIECES).findall
-        self.plain = regex.compile(_PIECES).findall
+        # in texts of these characters alone, the standard library's classes are the rule's, and faster
+        self.latin = re.compile("[\t-\r -^`-~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*").fullmatch
+        fast = r" ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"
+        self.fast, self.fast_contracted = re.compile(fast).findall, re.compile(_CONTRACTIONS + fast).findall
         self.known: dict[str, bytes] = {}
+        # the byte-level rule: printable bytes stand for themselves, the others follow from 256 on
+        same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in same]
+        self.printable = {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+    def split(self, text: str) -> list[str]:
+        if self.latin(text):
+            # contractions can only matter where there is an apostrophe
+            return (self.fast_contracted if "'" in text else self.fast)(text)
+        return self.pieces(text)
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces by the library's model, which takes each byte as a printable character."""
+        tokenize, table = self.library.model.tokenize, self.printable
+        out = {}
+        for piece in pieces:
+            marked = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+            out[piece] = array("I", [t.id for t in tokenize(marked)]).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        # the contraction rule can only matter where there is an apostrophe
-        split = [(self.pieces if "'" in t else self.plain)(t) for t in texts]
         known = self.known
-        fresh = {p for pieces in split for p in pieces}.difference(known)
-        extra: dict[str, bytes] = {}
-        if fresh:
-            new = list(fresh)
-            for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                if len(known) < REMEMBERED and len(piece) <= LONGEST:
-                    known[piece] = ids
-                else:
-                    extra[piece] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        return [b"".join([known.get(p) or extra[p] for p in pieces]) for pieces in split]
+        pieces = [self.split(t) for t in texts]
+        ids = [list(map(known.get, p)) for p in pieces]
+        # one look-up for each piece; only the places of new ones are visited again
+        missing = [[k for k, i in enumerate(x) if i is None] if None in x else () for x in ids]
+        fresh = {p[k] for p, places in zip(pieces, missing, strict=True) for k in places}
+        learned = self._learn(fresh)
+        for p, x, places in zip(pieces, ids, missing, strict=True):
+            for k in places:
+                x[k] = learned[p[k]]
+        for piece, code in learned.items():
+            if len(known) >= REMEMBERED:
+                break
+            if len(piece) <= LONGEST:
+                known[piece] = code
+        return [b"".join(x) for x in ids]
 
 
 def encoder(path: str) -> PieceEncoder:
