@@ -24,6 +24,11 @@ def _uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def mix_key(docs: DataFrame, seed: int = 42) -> Column:
+    """What a row's fate follows from: a hash of its doc_id and text."""
+    return F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source of (source, size): its place, size and target in words.
 
@@ -103,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     Only (doc_id, source, size) is shuffled, never text. Blocks hold about block_words words, so the one block per
     source that is cut within is small; a block's key is a hash, so a hot source is spread over its blocks.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key")))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), mix_key(docs, seed).alias("key")))
     targets = source_targets(rows, weights, share, most)
     # passes over the whole source, and the words of the partial pass
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -44,6 +44,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_positions(_table(spark, sf_dir, "documents"))
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamdex.llm.sampled_pieces import sampled_segmentations
+
+    return sampled_segmentations(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamdex.llm.substring import remove_repeats
 
@@ -68,8 +74,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shard")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"pipeline": pipeline}
 
 
 OP1_SQL = """

@@ -209,3 +209,142 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = grouped.join(least, "root").select("print", "component_id")
     return prints.join(by_print, "print").select("doc_id", "print", "component_id")
+
+
+#: Prints that keys are made from, over a text's distinct words, and 64-bit parts of the print that decides, over its distinct shingles.
+KEY_PRINTS, PARTS = 4, 8
+
+
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    x = hashes ^ np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray, salts: range) -> list[int]:
+    out = []
+    for salt in salts:
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            part = _mixed(hashes[at : at + (1 << 15)], salt)
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def wide_prints(text: str | None, shingle: int = 5) -> tuple[list[int], list[int]]:
+    """SimHashes of the distinct words and of the distinct shingles; zeros for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * KEY_PRINTS, [0] * PARTS
+    digest = xxhash.xxh64_intdigest
+    shingles = {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))} if len(words) > shingle else {b" ".join(words)}
+    unigrams = set(words)
+    one = np.fromiter(map(digest, unigrams), dtype=np.uint64, count=len(unigrams))
+    many = np.fromiter(map(digest, shingles), dtype=np.uint64, count=len(shingles))
+    return _majority(one, range(1, KEY_PRINTS + 1)), _majority(many, range(11, PARTS + 11))
+
+
+def _wide(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [wide_prints(t, shingle) for t in batch.column("text").to_pylist()]
+            signed = lambda rows: pa.array(list(np.array(rows, dtype=np.uint64).view(np.int64)), pa.list_(pa.int64()))
+            a, b = [p[0] for p in prints], [p[1] for p in prints]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), signed(a), signed(b)], names=["doc", "mark", "a", "b"])
+
+    return run
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = batch.column("sig").to_numpy(zero_copy_only=False)
+        prints = batch.column("a").flatten().to_numpy().view(np.uint64).reshape(len(sig), -1)
+        for t in range(prints.shape[1]):
+            rows, keys = keys_of(np.ascontiguousarray(prints[:, t]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys | (t << 32)), pa.array(sig[rows])], names=["k", "sig"])
+
+
+def wide_forest(sigs: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of rows whose prints (n, PARTS) differ in at most ``most`` bits, enough to connect all such rows."""
+    unmet, links = np.arange(len(sigs)), []
+    while len(unmet) > 1:
+        front, unmet = [unmet[0]], unmet[1:]
+        while front and len(unmet):
+            at = front.pop()
+            bits = np.zeros(len(unmet), dtype=np.int32)
+            for j in range(prints.shape[1]):
+                bits += distance(prints[unmet, j], prints[at, j])
+            near = bits <= most
+            if near.any():
+                found = unmet[near]
+                unmet = unmet[~near]
+                front.extend(found.tolist())
+                links.extend((int(sigs[x]), int(sigs[at])) for x in found)
+    return links
+
+
+def _wide_links(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            out: set[tuple[int, int]] = set()
+            offsets, inner = lists.offsets.to_numpy(), lists.values
+            sigs = inner.field("sig").to_numpy(zero_copy_only=False)
+            prints = inner.field("b").flatten().to_numpy().view(np.uint64).reshape(len(sigs), -1) if len(sigs) else None
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                out.update(wide_forest(sigs[a:b], prints[a:b], most))
+            links = np.array(list(out), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], names=["u", "v"])
+
+    return run
+
+
+def bits_at(similarity: float, slack: float = 1.0) -> int:
+    """Bits of the deciding print in which sets of this Jaccard similarity differ on average, plus slack spreads."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = float(np.arccos(cosine) / np.pi)
+    n = 64 * PARTS
+    return int(n * p + slack * np.sqrt(n * p * (1 - p)))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with doc (doc_id, null as the greatest) and mark (a hash of the text), which together name a row."""
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """doc, mark (with_keys), component_id and stays: documents whose shingle sets have about this Jaccard similarity or more are linked.
+
+    A 64-bit print within 3 bits only meets texts that are almost equal. So keys come from four prints over distinct
+    words, which an edit moves little, by the same Golay code; whether a candidate is a link is decided by a 512-bit
+    SimHash of its distinct shingles, whose distance estimates their Jaccard similarity to about 0.03.
+
+    docs: doc_id, text; other columns are ignored. Case of A-Z and white space don't count. Texts without words are one
+    group. Rows with equal prints are one class before keys are made; keys of many classes are split into blocks, as in
+    print_links. Of a group the least doc, then mark, stays; its doc is the component_id. A null doc_id comes last. Rows
+    that are equal in doc_id and text stay or go together. No rows give no rows.
+    """
+    rows = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
+    rows = rows.mapInArrow(_wide(shingle), "doc long, mark long, a array<long>, b array<long>").withColumn("sig", F.xxhash64("a", "b"))
+    rows = cut(rows)
+    classes = rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("a").alias("a"), F.first("b").alias("b"))
+    keyed = classes.select("sig", "a").mapInArrow(_wide_keys, "k long, sig long").distinct()
+    held = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
+    pairs = F.when(parts <= 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(mine, q) * parts + F.greatest(mine, q))
+    )
+    shared = keyed.join(held, "k").withColumn("pair", F.explode(pairs)).select("k", "pair", "sig")
+    shared = shared.join(classes.select("sig", "b"), "sig")
+    groups = shared.groupBy("k", "pair").agg(F.collect_list(F.struct("sig", "b")).alias("members")).filter(F.size("members") > 1).select("members")
+    links = groups.mapInArrow(_wide_links(bits_at(similarity)), "u long, v long").distinct()
+    roots = components(links)
+    grouped = classes.select("sig", "least").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    found = rows.select("doc", "mark", "sig").join(grouped.join(least, "root").select("sig", "first"), "sig")
+    return found.select("doc", "mark", F.col("first.doc").alias("component_id"), (F.col("first") == F.struct("doc", "mark")).alias("stays"))
