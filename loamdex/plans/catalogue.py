@@ -2,10 +2,239 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamdex.operators import facets, mutation
+from loamdex.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_NOW, _DAY = tables.NOW_MS, 86_400_000
+
+# The indexes in SQL, as FIXTURES.md derives them.
+_DOCS = """d AS (SELECT '/docs/' || lang || '/' || doc_id AS path, doc_id AS item_id, text AS body, lang, source, n_chars, quality = 1 AS quality, toxic = 1 AS toxic,
+  1704067200000 + 60000 * doc_id AS tm FROM documents LEFT JOIN labels USING (doc_id))"""
+_EVENTS = """d AS (SELECT '/events/' || event_id AS path, event_id AS item_id, event_type, CAST(user_id AS VARCHAR) AS user_, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+  (epoch_us(ts) // 1000) AS ts, 1704067200000 + 60000 * event_id AS tm FROM events)"""
+_ORDERS = """l AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS flags, list_distinct(list(l_quantity)) AS qty, list_distinct(list(epoch_us(l_shipdate) // 1000)) AS shipdates FROM lineitem GROUP BY 1),
+d AS (SELECT '/orders/' || o_orderkey AS path, o_orderkey AS item_id, o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS total, epoch_us(o_orderdate) // 1000 AS orderdate, flags, qty, shipdates,
+  1704067200000 + 60000 * o_orderkey AS tm FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)"""
+_TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+_PAGES = rf"""p AS (SELECT '/pages/' || page_id AS path, page_id AS item_id, url, html,
+  CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) END AS title, 1704067200000 + 60000 * page_id AS tm FROM pages),
+d AS (SELECT *, {_TOKENS.format("html")} AS th, {_TOKENS.format("coalesce(title, '')")} AS tt FROM p)"""
+_SQL = {"docs": _DOCS, "events": _EVENTS, "orders": _ORDERS, "pages": _PAGES}
+
+
+def _has_phrase(column: str, *phrase: str) -> str:
+    joined = f"' ' || array_to_string({column}, ' ') || ' '"
+    return f"contains({joined}, ' {' '.join(phrase)} ')"
+
+
+# name: index, query, condition in SQL. Each returns the matching paths with their ids.
+_FILTERS: dict[str, tuple[str, str, str]] = {
+    "kw_exact": ("docs", "lang:fr", "lang = 'fr'"),
+    "kw_prefix_ci": ("docs", "source:SRC1*", "lower(source) LIKE 'src1%'"),
+    "kw_contains_anchored": ("docs", "lang:en AND source:*rc1*", "lang = 'en' AND contains(lower(source), 'rc1')"),
+    "kw_glob": ("docs", "source:src?", "source GLOB 'src?'"),
+    "kw_glob_class": ("docs", "source:src1[0-4] OR source:sr*[^0-7]", "source = 'src1[0-4]' OR regexp_matches(source, '^sr.*[^0-7]$')"),
+    "kw_or": ("docs", "lang:de OR lang:es", "lang IN ('de', 'es')"),
+    "num_eq": ("events", "user:\"17\" AND NOT k:3", "user_ = '17' AND NOT coalesce(k = 3, false)"),
+    "num_cmp": ("docs", "n_chars>1000", "n_chars > 1000"),
+    "num_cmp_le": ("docs", "n_chars<=300", "n_chars <= 300"),
+    "num_cmp_colon": ("docs", "n_chars:>=1000", "n_chars >= 1000"),
+    "num_range": ("docs", "n_chars:500..2000", "n_chars BETWEEN 500 AND 2000"),
+    "num_range_reversed": ("docs", "n_chars:2000..500", "false"),
+    "date_cmp": ("events", "ts>2024-01-20", "ts > 1705708800000"),
+    "date_range": ("events", "ts:2024-01-01..2024-01-02", "ts BETWEEN 1704067200000 AND 1704153600000"),
+    "date_rfc3339": ("events", 'ts>="2024-01-10T12:30:00+02:00"', "ts >= 1704882600000"),
+    "date_rel": ("events", "ts>-7d", f"ts > {_NOW - 7 * _DAY}"),
+    "date_rel_month": ("orders", "shipdates<1m AND orderdate>2000-06-01", f"len(list_filter(shipdates, lambda x: x < {_NOW + 30 * _DAY})) > 0 AND orderdate > 959817600000"),
+    "date_eq": ("orders", "orderdate:1998-02-03", "orderdate = 886464000000"),
+    "implicit_age": ("docs", "created<31d", f"tm >= {_NOW - 31 * _DAY}"),
+    "implicit_age_older": ("docs", "updated>=744h", f"tm <= {_NOW - 31 * _DAY}"),
+    "implicit_date": ("docs", "created:2024-01-01", "tm = 1704067200000"),
+    "implicit_range": ("docs", 'created:"2024-01-01T01:00:00Z".."2024-01-01T02:00:00Z"', "tm BETWEEN 1704070800000 AND 1704074400000"),
+    "bool_true": ("docs", "toxic:false", "toxic IS FALSE"),
+    "bool_short": ("docs", "lang:en AND !toxic", "lang = 'en' AND toxic IS FALSE"),
+    "has": ("docs", "lang:en AND has:quality", "lang = 'en' AND quality IS NOT NULL"),
+    "not_has": ("docs", "lang:en AND NOT has:quality", "lang = 'en' AND quality IS NULL"),
+    "has_multi": ("orders", "status:O AND NOT has:flags", "status = 'O' AND flags IS NULL"),
+    "path_prefix": ("docs", "path:/docs/fr/*", "lower(path) LIKE '/docs/fr/%'"),
+    "path_prefix_ci": ("docs", "path:/DOCS/Fr/*", "lower(path) LIKE '/docs/fr/%'"),
+    "path_glob": ("docs", "path:/docs/*/1?", "path GLOB '/docs/*/1?'"),
+    "path_exact": ("docs", "path:/docs/en/1 OR path:/docs/en/2 OR path:/docs/de/3", "path IN ('/docs/en/1', '/docs/en/2', '/docs/de/3')"),
+    "bool_tree": ("docs", "(lang:fr OR lang:de) AND NOT source:src0", "lang IN ('fr', 'de') AND source <> 'src0'"),
+    "bool_precedence": ("docs", "lang:fr OR lang:de && NOT source:src0", "lang = 'fr' OR (lang = 'de' AND source <> 'src0')"),
+    "double_negation": ("docs", "NOT NOT lang:fr AND n_chars>0", "lang = 'fr' AND n_chars > 0"),
+    "multi_any": ("orders", "flags:R AND qty>45", "list_contains(flags, 'R') AND len(list_filter(qty, lambda x: x > 45)) > 0"),
+    "multi_range": ("orders", "qty:48..49", "len(list_filter(qty, lambda x: x BETWEEN 48 AND 49)) > 0"),
+    "multi_dedup": ("orders", "flags:R OR flags:A", "list_contains(flags, 'R') OR list_contains(flags, 'A')"),
+    "multi_prefix": ("orders", 'priority:"1-*"', "lower(priority) LIKE '1-%'"),
+    "not_multi": ("orders", "total>100000 AND NOT flags:N", "total > 100000 AND NOT coalesce(list_contains(flags, 'N'), false)"),
+    "fts_term": ("docs", "body:that", f"list_contains({_TOKENS.format('body')}, 'that')"),
+    "fts_phrase": ("docs", '"of the"', _has_phrase(_TOKENS.format("body"), "of", "the")),
+    "fts_accent": ("docs", 'body:"ÜBER" OR body:der', f"len(list_filter({_TOKENS.format('body')}, lambda t: t IN ('uber', 'der'))) > 0"),
+    "fts_not": ("docs", 'lang:en AND NOT "that"', f"lang = 'en' AND NOT list_contains({_TOKENS.format('body')}, 'that')"),
+    "fts_allfields": ("pages", "nicht OR title:the", "list_contains(th, 'nicht') OR list_contains(tt, 'nicht') OR list_contains(tt, 'the')"),
+    "fts_field_phrase": ("pages", 'html:"div class"', _has_phrase("th", "div", "class")),
+}
+
+
+def _filter(index: str, query: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(tables, index)(spark, sf_dir).matching(query).select("path", "item_id")
+
+    return run
+
+
+def _page(index: str, query: str, rank: str, limit: int, after: dict | None = None) -> Query:
+    """path, score and position of the first rows after a position."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = getattr(tables, index)(spark, sf_dir).ranked(query, rank, after, limit)
+        return rows.select("path", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _bm25_sql(setup: str, fields: dict[str, float], condition: str, phrase: str, limit: int) -> str:
+    """BM25 of one term over token columns with weights."""
+    frequency = " + ".join(f"{w} * len(list_filter({c}, lambda t: t = '{phrase}'))" for c, w in fields.items())
+    length = " + ".join(f"len({c})" for c in fields)
+    held = "greatest(" + ", ".join(f"count(*) FILTER (WHERE list_contains({c}, '{phrase}'))" for c in fields) + ")"
+    return f"""WITH {setup}, s AS (SELECT count(*) AS n, avg({length}) AS mean, {held} AS m FROM d), r AS (
+  SELECT path, item_id, round(greatest(ln((n - m + 0.5) / (m + 0.5)), 1e-6) * ({frequency}) * 2.2 / (({frequency}) + 1.2 * (0.25 + 0.75 * ({length}) / mean)), 9) AS score FROM d, s WHERE {condition})
+SELECT path, round(score, 6) AS score FROM r ORDER BY r.score DESC, item_id LIMIT {limit}"""
+
+
+_DOCS_TOKENS = f"{_DOCS.replace('d AS (', 'e AS (', 1)}, d AS (SELECT *, {_TOKENS.format('body')} AS tb FROM e)"
+
+
+def _facet(index: str, field: str, where: str = "", top: int | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(tables, index)(spark, sf_dir).discover_values(field, where, top)
+
+    return run
+
+
+def _stats(index: str, field: str, where: str = "") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = getattr(tables, index)(spark, sf_dir).stats(field, where)
+        return out.select("count", "min", "max", F.round("avg", 6).alias("avg"))
+
+    return run
+
+
+def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.orders(spark, sf_dir).matching("flags:R AND status:F").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.docs(spark, sf_dir).discover_fields()
+
+
+def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.docs(spark, sf_dir).ranked("lang:fr AND n_chars>1000", "recency", None, 50).select("path", "item_id", "updated_at")
+
+
+def _upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as documents by user in order of id: the last of each user stands, errors delete."""
+    events = tables.read(spark, sf_dir, "events")
+    path = F.concat(F.lit("/users/"), F.col("user_id").cast("string"))
+    doc = F.to_json(F.struct(path.alias("path"), "event_type", "value"))
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("put")
+    ops = events.select(F.col("event_id").alias("seq"), op.alias("op"), path.alias("path"), doc.alias("data_json"), F.lit(None).cast("long").alias("created_at"), F.lit(None).cast("long").alias("updated_at"))
+    schema = tables.Schema({"event_type": tables.Field("keyword"), "value": tables.Field("number")})
+    empty = spark.createDataFrame([], schema.struct())
+    items, _ = mutation.apply_batch(empty, ops, schema, _NOW, 1)
+    return items.select("path", "item_id", F.col("f_event_type").alias("event_type"), F.round("f_value", 6).alias("value"))
+
+
+def _delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tables.docs(spark, sf_dir)
+    return index.items.filter(~index.bind("lang:en OR toxic:true").condition).select("path", "item_id")
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tables.docs(spark, sf_dir).items
+    return items.filter(F.startswith("path", F.lit("/docs/de/1"))).select("path").orderBy("path")
+
+
+def _zero_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A global facet after every French document is gone: its value stays, with count 0."""
+    index = tables.docs(spark, sf_dir)
+    known = index.items.select(F.lit("lang").alias("field"), F.col("f_lang").alias("value")).distinct()
+    left = index.items.filter(~index.bind("lang:fr").condition)
+    return facets.facet(left, index.schema, "lang", None, known)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by target: how many distinct pages have one, and the least of them."""
+    pages = tables.read(spark, sf_dir, "pages")
+    found = pages.select(F.col("page_id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("target"))
+    return found.groupBy("target").agg(F.count(F.lit(1)).alias("sources"), F.min("source").alias("first_source"))
+
+
+_AFTER_FIELD = {"kind": "field", "field": "total", "rank_value": 300000.0, "updated_at_ms": 1704067200000, "path": "/"}
+_AFTER_RECENCY = {"kind": "recency", "updated_at_ms": 1704067200000 + 60000 * 500, "path": "/docs/zz"}
+
+_MORE: dict[str, tuple[Query, str]] = {
+    "search_flagship": (_flagship, f"WITH {_DOCS} SELECT path, item_id, tm AS updated_at FROM d WHERE lang = 'fr' AND n_chars > 1000 ORDER BY tm DESC, path LIMIT 50"),
+    "rank_recency": (_page("docs", "lang:de", "recency", 25), f"WITH {_DOCS} SELECT path, CAST(tm AS DOUBLE) AS score FROM d WHERE lang = 'de' ORDER BY tm DESC, path LIMIT 25"),
+    "rank_default_without_text": (_page("orders", "status:P", "default", 10), f"WITH {_ORDERS} SELECT path, CAST(tm AS DOUBLE) AS score FROM d WHERE status = 'P' ORDER BY tm DESC, path LIMIT 10"),
+    "rank_none": (_page("docs", "lang:de", "none", 25), f"WITH {_DOCS} SELECT path, CAST(0 AS DOUBLE) AS score FROM d WHERE lang = 'de' ORDER BY item_id LIMIT 25"),
+    "rank_field": (_page("orders", "status:F", "field:total", 20), f"WITH {_ORDERS} SELECT path, round(total, 6) AS score FROM d WHERE status = 'F' ORDER BY total DESC, tm DESC, path LIMIT 20"),
+    "rank_field_multi": (_page("orders", "status:F", "field:qty", 30), f"WITH {_ORDERS} SELECT path, list_max(qty) AS score FROM d WHERE status = 'F' AND qty IS NOT NULL ORDER BY list_max(qty) DESC, tm DESC, path LIMIT 30"),
+    "page2_keyset": (
+        _page("orders", "status:F", "field:total", 20, _AFTER_FIELD),
+        f"WITH {_ORDERS} SELECT path, round(total, 6) AS score FROM d WHERE status = 'F' AND (total < 300000 OR (total = 300000 AND tm < 1704067200000)) ORDER BY total DESC, tm DESC, path LIMIT 20",
+    ),
+    "page2_recency": (
+        _page("docs", "lang:en", "recency", 20, _AFTER_RECENCY),
+        f"WITH {_DOCS} SELECT path, CAST(tm AS DOUBLE) AS score FROM d WHERE lang = 'en' AND (tm < 1704097200000 OR (tm = 1704097200000 AND path > '/docs/zz')) ORDER BY tm DESC, path LIMIT 20",
+    ),
+    "fts_bm25_topk": (_page("docs", "that", "default", 10), _bm25_sql(_DOCS_TOKENS, {"tb": 1.0}, "list_contains(tb, 'that')", "that", 10)),
+    "fts_bm25_weighted": (_page("pages", "the", "default", 10), _bm25_sql(_PAGES, {"th": 1.0, "tt": 3.0}, "list_contains(th, 'the') OR list_contains(tt, 'the')", "the", 10)),
+    "count_query": (_count, f"WITH {_ORDERS} SELECT count(*) AS n FROM d WHERE list_contains(flags, 'R') AND status = 'F'"),
+    "facet_global": (_facet("orders", "flags"), f"WITH {_ORDERS} SELECT value, count(*) AS count FROM (SELECT unnest(flags) AS value FROM d) GROUP BY 1"),
+    "facet_scoped": (_facet("orders", "flags", "status:O"), f"WITH {_ORDERS} SELECT value, count(*) AS count FROM (SELECT unnest(flags) AS value FROM d WHERE status = 'O') GROUP BY 1"),
+    "facet_top": (_facet("docs", "source", "lang:en", 5), f"WITH {_DOCS} SELECT source AS value, count(*) AS count FROM d WHERE lang = 'en' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "facet_zero_frequency": (_zero_values, f"WITH {_DOCS} SELECT lang AS value, count(*) FILTER (WHERE lang <> 'fr') AS count FROM d GROUP BY 1"),
+    "fields_overview": (
+        _overview,
+        f"""WITH {_DOCS} SELECT field, type, doc_count, weight FROM (
+  SELECT 'body' AS field, 'Text' AS type, count(body) AS doc_count, CAST(1 AS DOUBLE) AS weight FROM d UNION ALL SELECT 'lang', 'Keyword', count(lang), NULL FROM d
+  UNION ALL SELECT 'source', 'Keyword', count(source), NULL FROM d UNION ALL SELECT 'n_chars', 'Number', count(n_chars), NULL FROM d
+  UNION ALL SELECT 'quality', 'Bool', count(quality), NULL FROM d UNION ALL SELECT 'toxic', 'Bool', count(toxic), NULL FROM d)""",
+    ),
+    "stats_global": (_stats("orders", "qty"), f"WITH {_ORDERS} SELECT count(x) AS count, min(x) AS min, max(x) AS max, round(avg(x), 6) AS avg FROM (SELECT unnest(qty) AS x FROM d)"),
+    "stats_scoped": (
+        _stats("orders", "qty", "status:O"),
+        f"WITH {_ORDERS} SELECT count(DISTINCT item_id) AS count, min(x) AS min, max(x) AS max, round(avg(x), 6) AS avg FROM (SELECT item_id, unnest(qty) AS x FROM d WHERE status = 'O')",
+    ),
+    "stats_created": (_stats("docs", "created", "lang:es"), f"WITH {_DOCS} SELECT count(*) AS count, CAST(min(tm) AS DOUBLE) AS min, CAST(max(tm) AS DOUBLE) AS max, round(avg(tm), 6) AS avg FROM d WHERE lang = 'es'"),
+    "stats_date": (_stats("events", "ts", "event_type:purchase"), f"WITH {_EVENTS} SELECT count(*) AS count, CAST(min(ts) AS DOUBLE) AS min, CAST(max(ts) AS DOUBLE) AS max, round(avg(ts), 6) AS avg FROM d WHERE event_type = 'purchase'"),
+    "upsert_lww": (
+        _upserts,
+        """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)
+SELECT '/users/' || user_id AS path, row_number() OVER (ORDER BY event_id) AS item_id, event_type, round(value, 6) AS value FROM o WHERE n = 1 AND event_type <> 'error'""",
+    ),
+    "delete_where": (_delete_where, f"WITH {_DOCS} SELECT path, item_id FROM d WHERE NOT (lang = 'en' OR coalesce(toxic, false))"),
+    "scan_paths": (_scan, f"WITH {_DOCS} SELECT path FROM d WHERE starts_with(path, '/docs/de/1')"),
+    "link_graph": (
+        _links,
+        """WITH h AS (SELECT page_id AS source, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS target FROM pages)
+SELECT target, count(*) AS sources, min(source) AS first_source FROM h GROUP BY 1""",
+    ),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: _filter(index, query) for name, (index, query, _) in _FILTERS.items()} | {name: query for name, (query, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"WITH {_SQL[index]} SELECT path, item_id FROM d WHERE {condition}" for name, (index, _, condition) in _FILTERS.items()} | {name: sql for name, (_, sql) in _MORE.items()}
