@@ -15,7 +15,7 @@ _NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|na
 
 def date_column(value: Column) -> Column:
     """Epoch milliseconds of a date or RFC 3339 time, else null."""
-    day = F.unix_date(F.try_to_date(value, F.lit("yyyy-M-d"))).cast("long") * 86_400_000
+    day = F.unix_date(F.try_to_date(value, "yyyy-M-d")).cast("long") * 86_400_000
     time = F.unix_millis(F.try_to_timestamp(F.upper(F.regexp_replace(value, r"^(\d{4}-\d{2}-\d{2}).", r"$1T"))))
     return F.when(value.rlike(_DATE), day).when(value.rlike(_TIME), time)
 
