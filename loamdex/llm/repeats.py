@@ -17,8 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.llm.common import cut
+
 #: Rows of one anchor that a task compares by itself; anchors with more are compared window by window by all tasks.
-HOT = 4096
+HOT = 131072
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -140,14 +142,14 @@ def _compare(window: int, within: bool):
             if not len(key):
                 continue
             # the last anchor may go on in the next batch; groups are at most HOT rows
-            cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            last = 0 if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
             if held and held[-1].column("anchor")[-1].as_py() != key[0]:
                 yield from flush(held)
                 held = []
-            if cut:
-                yield from flush([*held, batch.slice(0, cut)])
+            if last:
+                yield from flush([*held, batch.slice(0, last)])
                 held = []
-            held.append(batch.slice(cut))
+            held.append(batch.slice(last))
         if held:
             yield from flush(held)
 
@@ -168,7 +170,8 @@ def factors(docs: DataFrame, split: Callable[[str], list[bytes]], window: int, g
     rows = docs.select("doc", "mark", "text")
     counts = rows.mapInArrow(_emit(split, window, gram, False), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     every = rows.mapInArrow(_emit(split, window, gram, True), "anchor long, doc long, place long, prints binary")
-    shared = every.join(counts, "anchor")
+    # read by both branches below
+    shared = cut(every.join(counts, "anchor"))
     schema = "doc long, mark long, start long, end long, of_doc long, of_start long"
     few = shared.filter(F.col("n") <= hot).select("anchor", "doc", "place", "prints")
     few = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(_compare(window, within), schema)
