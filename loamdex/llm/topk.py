@@ -122,7 +122,7 @@ def _searcher(k: int):
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if not len(vectors) or not len(queries):
             return empty
-        rows, asked = _stack(vectors["v"]), _stack(queries["v"])
+        rows, asked = _stack(vectors["v"]), _stack(queries["w"])
         width = max(rows.shape[1], asked.shape[1])
         rows, asked = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (rows, asked))
         scores = np.full((len(asked), k), -np.inf)
@@ -157,10 +157,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     shards, blocks = max(1, -(-n_vectors // shard)), max(1, -(-n_queries // block))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     placed = vectors.select("vec_id", "v", of("vec_id", shards).alias("shard"))
-    asked = queries.select("query_id", "v", of("query_id", shards).alias("shard"), F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)).cast("int").alias("block"))
+    # columns of their own: both sides may come from one table
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("v").alias("w"), of("query_id", shards).alias("shard"), F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)).cast("int").alias("block"))
     schema = "query_id long, vec_id long, score long"
     # each query's own shard, which holds about as many of the queries as of the vectors
-    seeds = placed.groupBy("shard").cogroup(asked.select("query_id", "v", "shard").groupBy("shard")).applyInPandas(_searcher(k), schema)
+    seeds = placed.groupBy("shard").cogroup(asked.select("query_id", "w", "shard").groupBy("shard")).applyInPandas(_searcher(k), schema)
     seeds = cut(seeds)
     if shards == 1:
         return _best(seeds, k).select("query_id", "rank", "vec_id", "score")
@@ -170,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     copies = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rest = (
         copies.groupBy("shard", "block")
-        .cogroup(every.select("query_id", "v", F.col("floor").cast("double").alias("floor"), "shard", "block").groupBy("shard", "block"))
+        .cogroup(every.select("query_id", "w", F.col("floor").cast("double").alias("floor"), "shard", "block").groupBy("shard", "block"))
         .applyInPandas(_searcher(k), schema)
     )
     return _best(seeds.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
