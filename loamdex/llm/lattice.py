@@ -15,8 +15,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_KEYS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_BITS = (20, 16)
+_KEY = np.uint64(0xD6E8FEB86659FD93)
+_BITS = 20
 
 
 @cache
@@ -31,8 +31,9 @@ def vocabulary(path: str | None = None) -> tuple[tuple[str, ...], tuple[int, ...
         for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
     ]
-    found = [x for x in found if x[2] > -1e8]
-    return tuple(x[0] for x in found), tuple(x[1] for x in found), tuple(int(-x[2]) for x in found)
+    # pieces that no merge makes have a score below all ranks; of these only single characters can be needed
+    found = [x for x in found if x[2] > -1e8 or len(x[0]) == 1]
+    return tuple(x[0] for x in found), tuple(x[1] for x in found), tuple(int(min(-x[2], len(found))) for x in found)
 
 
 @cache
@@ -57,25 +58,21 @@ class PieceTable:
                     h = h * _BASE + np.uint64(ord(c))
                 hashes[k] = h
         self.hashes = hashes
-        self.tables = []
-        left = np.arange(self.size)
-        for key, bits in zip(_KEYS, _BITS, strict=True):
-            table = np.full(1 << bits, self.size, dtype=np.int32)
-            slot = (hashes[left] * key) >> np.uint64(64 - bits)
-            _, first = np.unique(slot, return_index=True)
-            table[slot[first].astype(np.int64)] = left[first]
-            self.tables.append(table)
-            left = np.delete(left, first)
-        #: The few pieces that found no slot of their own.
-        self.rest = left
+        slot = ((hashes[: self.size] * _KEY) >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.table = np.full(1 << _BITS, self.size, dtype=np.int32)
+        _, first, count = np.unique(slot, return_index=True, return_counts=True)
+        self.table[slot[first]] = first
+        #: The few slots that several pieces want are marked; what falls there is looked up by its hash.
+        self.table[slot[first[count > 1]]] = -1
+        shared = np.flatnonzero(np.isin(slot, slot[first[count > 1]]))
+        self.shared = dict(zip(hashes[shared].tolist(), shared.tolist(), strict=True))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(hashes.shape, self.size, dtype=np.int32)
-        for key, bits, table in zip(_KEYS, _BITS, self.tables, strict=True):
-            got = table[((hashes * key) >> np.uint64(64 - bits)).astype(np.int64)]
-            np.copyto(out, got, where=(got < self.size) & (self.hashes[got] == hashes))
-        for k in self.rest:
-            out[hashes == self.hashes[k]] = k
+        out = self.table[((hashes * _KEY) >> np.uint64(64 - _BITS)).astype(np.int64)]
+        crowded = np.nonzero(out < 0)
+        out[self.hashes[out] != hashes] = self.size
+        if len(crowded[0]):
+            out[crowded] = [self.shared.get(h, self.size) for h in hashes[crowded].tolist()]
         return out
 
     def arcs(self, codes: np.ndarray) -> list[np.ndarray]:

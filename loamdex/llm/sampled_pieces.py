@@ -26,9 +26,9 @@ from loamdex.llm.lattice import SPACE, PieceTable, by_length, byte_ids, vocabula
 #: A unit longer than this is cut into stretches of it, each with a lattice of its own.
 LONGEST = 24
 SAMPLES = 2
-#: Draws at once for another segmentation of a unit.
-_TRIES = 8
 UNKNOWN = 1e-9
+#: Bytes of characters without a piece, as they stand until they are put together.
+_escaped = re.compile("[\udc80-\udcff]").search
 _units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 _WORKERS: dict[str | None, Sampler] = {}
 
@@ -44,7 +44,11 @@ def units_of(text: str) -> list[str]:
 
 
 class Lattices:
-    """Of distinct units: by place, the cumulative chance of each piece length, and the pieces."""
+    """Of distinct units: by place, the cumulative chance of each piece length, the likeliest piece before all others.
+
+    A uniform number below the chance of always taking the likeliest then means that segmentation, which is kept ready; only
+    the others walk through the lattice.
+    """
 
     def __init__(self, sampler: Sampler, units: list[str]):
         table, p = sampler.table, sampler.p
@@ -56,39 +60,66 @@ class Lattices:
         places = int(self.sizes.sum())
         self.upto = np.ones((places, width), dtype=np.float64)
         self.piece = np.full((places, width), table.size, dtype=np.int32)
+        self.top, self.top_length = np.ones(places), np.zeros(places, dtype=np.int64)
         base = 0
         for at, arcs in found:
             m, n = arcs[0].shape
             self.first[at] = base + np.arange(m) * n
             upto, pieces = (x[base : base + m * n].reshape(m, n, width) for x in (self.upto, self.piece))
+            top, top_length = (x[base : base + m * n].reshape(m, n) for x in (self.top, self.top_length))
             base += m * n
             # sums over all segmentations from each place on, whose parts by first piece are the chances
-            sums = [np.ones(m)]
+            sums, rows = [np.ones(m)], np.arange(m)
             for i in range(n - 1, -1, -1):
-                total, longest = np.zeros(m), min(n - i, len(arcs), width)
-                for length in range(1, longest + 1):
-                    piece = arcs[length - 1][:, i]
-                    total = total + p[piece] * sums[length - 1]
-                    upto[:, i, length - 1] = total
-                    pieces[:, i, length - 1] = piece
-                upto[:, i, :longest] /= total[:, None]
+                longest = min(n - i, len(arcs), width)
+                parts = np.empty((longest, m))
+                for length in range(longest):
+                    piece = arcs[length][:, i]
+                    pieces[:, i, length] = piece
+                    np.multiply(p[piece], sums[length], out=parts[length])
+                which, total = parts.argmax(axis=0), parts.sum(axis=0)
+                parts /= total
+                first = parts[which, rows]
+                parts[which, rows] = 0.0
+                np.cumsum(parts, axis=0, out=parts)
+                parts += first
+                upto[:, i, :longest] = parts.T
                 # rounding must not lead beyond the unit
                 upto[:, i, longest - 1 :] = 1.0
+                top[:, i], top_length[:, i] = first, which
                 sums.insert(0, total)
+        # what always taking the likeliest piece gives
+        self.best_steps, self.best = self._likeliest()
 
-    def draw(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A segmentation of each unit from one uniform number: pieces (units, steps), -1 after the last, and its probability."""
+    def _likeliest(self) -> tuple[np.ndarray, np.ndarray]:
+        width, pieces = self.upto.shape[1], self.piece.ravel()
+        chance, steps = np.ones(len(self.sizes)), []
+        live, place, end = np.arange(len(self.sizes)), self.first, self.first + self.sizes
+        while len(live):
+            length = self.top_length[place]
+            chance[live] *= self.top[place]
+            step = np.full(len(self.sizes), -1, dtype=np.int32)
+            step[live] = pieces[place * width + length]
+            steps.append(step)
+            place = place + length + 1
+            more = place < end
+            live, place, end = live[more], place[more], end[more]
+        return (np.stack(steps, axis=1) if steps else np.zeros((len(self.sizes), 0), dtype=np.int32)), chance
+
+    def _walk(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width, upto, pieces = self.upto.shape[1], self.upto.ravel(), self.piece.ravel()
         chance, steps = np.ones(len(of)), []
         live, place, end, u = np.arange(len(of)), self.first[of], self.first[of] + self.sizes[of], u.copy()
         while len(live):
+            top = self.top[place]
+            on_top = u < top
             # the last column is 1, so the first that is above u always exists
-            length = (self.upto[place] <= u[:, None]).argmin(axis=1)
+            length = np.where(on_top, self.top_length[place], (self.upto[place] <= u[:, None]).argmin(axis=1))
             at = place * width + length
-            low = np.where(length > 0, upto[at - 1], 0.0)
-            part = np.maximum(upto[at] - low, 1e-300)
+            low = np.where(on_top, 0.0, np.where(length > 0, np.maximum(upto[at - 1], top), top))
+            part = np.maximum(np.where(on_top, top, upto[at] - low), 1e-300)
             # one number serves all steps of a unit: what is left of it within the interval is uniform again
-            u = np.minimum((u - low) / part, 1 - 1e-16)
+            u = np.minimum(np.maximum(u - low, 0.0) / part, 1 - 1e-16)
             chance[live] *= part
             step = np.full(len(of), -1, dtype=np.int32)
             step[live] = pieces[at]
@@ -98,6 +129,72 @@ class Lattices:
             live, place, end, u = live[more], place[more], end[more], u[more]
         return (np.stack(steps, axis=1) if steps else np.zeros((len(of), 0), dtype=np.int32)), np.minimum(chance, 1.0)
 
+    def draw(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A segmentation of each unit from one uniform number: pieces (units, steps), -1 after the last, and its probability."""
+        steps, chance = self.best_steps[of], self.best[of]
+        other = np.flatnonzero(u >= chance)
+        if len(other):
+            more, chances = self._walk(of[other], u[other])
+            if more.shape[1] > steps.shape[1]:
+                steps = np.pad(steps, ((0, 0), (0, more.shape[1] - steps.shape[1])), constant_values=-1)
+            steps[other] = -1
+            steps[other, : more.shape[1]] = more
+            chance[other] = chances
+        return steps, chance
+
+
+    def lengths(self, unit: int, steps: np.ndarray) -> tuple[int, ...]:
+        """The piece lengths, less one, of a segmentation of a unit."""
+        out, place = [], int(self.first[unit])
+        for piece in steps[steps >= 0].tolist():
+            # a unit of one length: no two pieces of a place are equal
+            length = int(np.flatnonzero(self.piece[place] == piece)[0])
+            out.append(length)
+            place += length + 1
+        return tuple(out)
+
+    def _options(self, place: int, end: int, taken: list[tuple[int, ...]]) -> list[tuple[float, int, list[tuple[int, ...]] | None]]:
+        """(chance, length, taken segmentations that go this way) of what is not taken from a place on.
+
+        Chances of ways that nothing taken goes are as they are; only the others are added up from below, so small
+        remainders lose nothing by subtraction.
+        """
+        upto, top, top_length = self.upto[place], float(self.top[place]), int(self.top_length[place])
+        out, before = [], top
+        for length in range(min(len(upto), end - place)):
+            chance = top if length == top_length else float(upto[length]) - before
+            before = max(before, float(upto[length]))
+            if chance < 1e-15:
+                continue
+            same = [t[1:] for t in taken if t[0] == length]
+            if not same:
+                out.append((chance, length, None))
+            elif () not in same and (rest := sum(c for c, *_ in self._options(place + length + 1, end, same))) > 0:
+                out.append((chance * rest, length, same))
+        return out
+
+    def left(self, unit: int, taken: list[tuple[int, ...]]) -> float:
+        """Chance of all segmentations that are not taken; a way of less than 1e-15 at a place counts as none."""
+        return sum(c for c, *_ in self._options(int(self.first[unit]), int(self.first[unit] + self.sizes[unit]), taken))
+
+    def another(self, unit: int, taken: list[tuple[int, ...]] | None, random: np.random.Generator) -> tuple[np.ndarray, float]:
+        """A draw from the segmentations that are not taken: pieces and the probability among all."""
+        place, end = int(self.first[unit]), int(self.first[unit] + self.sizes[unit])
+        steps, chance = [], 1.0
+        while place < end:
+            options = self._options(place, end, taken or [])
+            u = random.random() * sum(c for c, *_ in options)
+            for weight, length, taken in options:  # noqa: B007  the last stands if rounding leaves u over
+                if u < weight:
+                    break
+                u -= weight
+            top = length == self.top_length[place]
+            low = max(float(self.upto[place, length - 1]) if length else 0.0, float(self.top[place]))
+            chance *= float(self.top[place]) if top else float(self.upto[place, length]) - low
+            steps.append(int(self.piece[place, length]))
+            place += length + 1
+        return np.array(steps, dtype=np.int32), chance
+
 
 def _cut_gumbel(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel maxima located at loc, conditional on being at most ``most``."""
@@ -120,8 +217,7 @@ class Sampler:
         self.p[n] = 0
         self.ids = np.array([*ids, *(self.bytes[ord(c)] for c in single), -1, -2], dtype=np.int64)
         self.widths = np.array([*map(len, self.pieces), 0, 1], dtype=np.int64)
-        self.text = dict(zip(self.ids[:n].tolist(), self.pieces, strict=True)) | {self.bytes[b]: chr(b) for b in range(128)}
-        self.of_byte = {i: b for b, i in enumerate(self.bytes)}
+        self.text = dict(zip(self.ids[:n].tolist(), self.pieces, strict=True)) | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in enumerate(self.bytes)}
 
     def token_ids(self, steps: np.ndarray, units: list[str]) -> np.ndarray:
         """Ids in order; an unknown character becomes the ids of its UTF-8 bytes."""
@@ -145,14 +241,9 @@ class Sampler:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        listed = ids.tolist()
-        try:
-            text = "".join(map(self.text.__getitem__, listed))
-        except KeyError:
-            parts = bytearray()
-            for i in listed:
-                parts += bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode("utf-8", "surrogatepass")
-            text = parts.decode("utf-8", "surrogatepass")
+        text = "".join(map(self.text.__getitem__, ids.tolist()))
+        if not text.isascii() and _escaped(text):
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
         return text.replace(SPACE, " ")[1:]
 
     def sample(self, texts: list[str], keys: list[int], k: int = SAMPLES, seed: int = 42) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -180,12 +271,9 @@ class Sampler:
                 break
             tails = [s.of[t + 1 :] for s, t, *_ in opened]
             steps, chance = lattices.draw(np.concatenate(tails), np.concatenate([s.random.random(len(x)) for (s, *_), x in zip(opened, tails, strict=True)]))
-            tries = [s.random.random(_TRIES) for s, *_ in opened]
-            others, odds = lattices.draw(np.repeat([s.of[t] for s, t, *_ in opened], _TRIES), np.concatenate(tries))
             done = 0
-            for i, ((s, t, g, parent), tail) in enumerate(zip(opened, tails, strict=True)):
-                mine = slice(i * _TRIES, (i + 1) * _TRIES)
-                s.branch(t, g, parent, others[mine], odds[mine], steps[done : done + len(tail)], chance[done : done + len(tail)])
+            for (s, t, g, parent), tail in zip(opened, tails, strict=True):
+                s.branch(t, g, parent, steps[done : done + len(tail)], chance[done : done + len(tail)])
                 done += len(tail)
         return [s.results(self, units) for s, units in zip(searches, split, strict=True)]
 
@@ -206,7 +294,7 @@ class _Search:
             rest = np.log(np.maximum(1 - chance, 0.0))
             rest[1 - chance < 1e-12] = -np.inf
             if left is not None:
-                rest[t] = np.log(left) if left > 1e-12 else -np.inf
+                rest[t] = np.log(left) if left > 0 else -np.inf
         bounds = np.full(n, -np.inf)
         u = np.maximum(self.random.random(n - t), 1e-300)
         bounds[t:] = _cut_gumbel(before[t:n] + rest[t:], np.full(n - t, g), u)
@@ -219,25 +307,20 @@ class _Search:
             return None
         return int(best["bounds"].argmax()), float(g), best
 
-    def branch(self, t: int, g: float, parent: dict, tries: np.ndarray, p: np.ndarray, steps: np.ndarray, chance: np.ndarray) -> None:
-        """Open the branch at unit t: the first try that is another segmentation of it than those taken there, then the drawn tail."""
-        taken = parent["shut"].setdefault(t, {self._key(parent["steps"][t]): float(parent["chance"][t])})
-        while (other := next((i for i, x in enumerate(tries) if self._key(x) not in taken), None)) is None:
-            tries, p = self.lattices.draw(np.full(64, self.of[t]), self.random.random(64))
-        mine, mine_p = tries[other], float(p[other])
-        taken[self._key(mine)] = mine_p
+    def branch(self, t: int, g: float, parent: dict, steps: np.ndarray, chance: np.ndarray) -> None:
+        """Open the branch at unit t: a segmentation of it that is not taken there, then the drawn tail."""
+        unit = int(self.of[t])
+        taken = parent["shut"].setdefault(t, [self.lattices.lengths(unit, parent["steps"][t])])
+        mine, mine_p = self.lattices.another(unit, taken, self.random)
+        taken.append(self.lattices.lengths(unit, mine))
         parent["bounds"][t] = -np.inf
+        left = self.lattices.left(unit, taken)
         width = max(parent["steps"].shape[1], len(mine), steps.shape[1] if len(steps) else 0)
         wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1)
         parts = [wide(parent["steps"][:t]), wide(mine[None, :])] + ([wide(steps)] if len(steps) else [])
-        left = 1 - sum(taken.values())
-        self.reach(t, g, np.concatenate(parts), np.concatenate([parent["chance"][:t], [mine_p], chance]), max(left, 0.0))
+        self.reach(t, g, np.concatenate(parts), np.concatenate([parent["chance"][:t], [mine_p], chance]), left)
         self.leaves[-1]["shut"][t] = taken
 
-    @staticmethod
-    def _key(steps: np.ndarray) -> bytes:
-        return steps[steps >= 0].tobytes()
-
     def results(self, sampler: Sampler, units: list[str]) -> list[tuple[np.ndarray, float, float, float]]:
         if not len(self.of):
             return [(np.zeros(0, dtype=np.int64), 0.0, self.leaves[0]["g"], 1.0)]
@@ -273,7 +356,7 @@ def _rows(path: str | None, k: int, seed: int, with_ids: bool):
     return run
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 512, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 1024, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of few rows and, but for a single long text, of bounded text."""
     sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
     at = 0
