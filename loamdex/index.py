@@ -206,16 +206,16 @@ class Index:
             raise FeatureMissing("this index has no store to write to")
         return self.store
 
-    def _publish(self, schema: Schema, items: DataFrame, next_id: int) -> None:
+    def _publish(self, schema: Schema, items: DataFrame, next_id: int, put: DataFrame | None = None) -> None:
+        """A new snapshot; values of items, and of rows that were put and replaced within a batch, stay known."""
         store = self._stored()
-        seen = None
-        for name, f in schema.fields.items():
-            if f.kind == "keyword":
-                value = F.explode(F.col(schema.column(name))) if f.is_array else F.col(schema.column(name))
-                rows = items.select(F.lit(name).alias("field"), value.alias("value")).filter("value IS NOT NULL")
-                seen = rows if seen is None else seen.unionByName(rows)
         known = store.known_values()
-        known = known.distinct() if seen is None else known.unionByName(seen).distinct()
+        for rows in (items, put):
+            for name, f in schema.fields.items():
+                if rows is not None and f.kind == "keyword":
+                    value = F.explode(F.col(schema.column(name))) if f.is_array else F.col(schema.column(name))
+                    known = known.unionByName(rows.select(F.lit(name).alias("field"), value.alias("value")).filter("value IS NOT NULL"))
+        known = known.distinct()
         store.publish(schema, items, known, next_id)
         self.schema, self._items = schema, store.items()
 
@@ -236,7 +236,7 @@ class Index:
             steps = ops.select("path", "seq", "op").withColumn("prev", F.lag("op").over(Window.partitionBy("path").orderBy("seq")))
             stored = store.items().select("path", F.lit(True).alias("stored"))
             hits = steps.filter("op = 'delete'").join(stored, "path", "left").filter("prev = 'put' OR (prev IS NULL AND stored)").count()
-            self._publish(self.schema, items, next_id + puts)
+            self._publish(self.schema, items, next_id + puts, typed(ops.filter("op = 'put'").select("data_json"), self.schema))
         return puts + hits
 
     def write_batch(self, fill: Callable[[Batch], Any]) -> int:

@@ -155,7 +155,7 @@ def test_batches_are_ordered_and_atomic(spark, tmp_path):
     batch.put({"path": "/y", "tags": ["b", "b"]})
     batch.delete("/y")
     assert index.batch(batch) == 4
-    assert [tuple(r) for r in index.discover_values("tags").collect()] == [("b", 1), ("a", 0), ("old", 0)][:1] + [("old", 0)]
+    assert [tuple(r) for r in index.discover_values("tags").collect()] == [("b", 1), ("a", 0), ("old", 0)]
     assert index.batch(Batch()) == 0
 
     def swallow(b):
