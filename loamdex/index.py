@@ -228,16 +228,26 @@ class Index:
                 if c not in ops.columns:
                     ops = ops.withColumn(c, F.lit(None).cast("long"))
             next_id = store.meta()["next_id"]
-            items, bad = mutation.apply_batch(store.items(), ops, self.schema, now, next_id)
-            if (first := bad.orderBy("seq").first()) is not None:
-                raise TypeMismatch(f"document {first['seq']}: {'; '.join(first['errors'])}")
-            puts = ops.filter("op = 'put'").count()
-            # a delete counts if its path is there: stored before, or put earlier in the batch and not deleted since
-            steps = ops.select("path", "seq", "op").withColumn("prev", F.lag("op").over(Window.partitionBy("path").orderBy("seq")))
-            stored = store.items().select("path", F.lit(True).alias("stored"))
-            hits = steps.filter("op = 'delete'").join(stored, "path", "left").filter("prev = 'put' OR (prev IS NULL AND stored)").count()
-            self._publish(self.schema, items, next_id + puts, typed(ops.filter("op = 'put'").select("data_json"), self.schema))
-        return puts + hits
+            # read and typed once: for the errors, the counts, the new items and the known values
+            rows = mutation.typed_ops(ops, self.schema).persist()
+            try:
+                wrong = F.when(F.size("errors") > 0, F.struct("seq", "errors"))
+                told = rows.agg(F.min(wrong).alias("bad"), F.count(F.when(F.col("op") == "put", 1)).alias("puts"), F.count(F.when(F.col("op") == "delete", 1)).alias("deletes")).first()
+                if told["bad"] is not None:
+                    raise TypeMismatch(f"document {told['bad']['seq']}: {'; '.join(told['bad']['errors'])}")
+                hits = self._deletes_that_hit(rows, store.items()) if told["deletes"] else 0
+                items = mutation.apply_batch(store.items(), rows, self.schema, now, next_id)
+                self._publish(self.schema, items, next_id + told["puts"], rows)
+            finally:
+                rows.unpersist()
+        return told["puts"] + hits
+
+    @staticmethod
+    def _deletes_that_hit(ops: DataFrame, items: DataFrame) -> int:
+        """A delete counts if its path is there: stored before, or put earlier in the batch and not deleted since."""
+        steps = ops.select("path", "seq", "op").withColumn("prev", F.lag("op").over(Window.partitionBy("path").orderBy("seq")))
+        stored = items.select("path", F.lit(True).alias("stored"))
+        return steps.filter("op = 'delete'").join(stored, "path", "left").filter("prev = 'put' OR (prev IS NULL AND stored)").count()
 
     def write_batch(self, fill: Callable[[Batch], Any]) -> int:
         batch = Batch()
@@ -290,13 +300,13 @@ class Index:
 
     delete_query = delete_where
 
-    def optimize(self, partitions: int = 8) -> None:
-        """Rewrite the snapshot in ranges of paths; nothing to do without text fields."""
+    def optimize(self) -> None:
+        """Rewrite the snapshot in ranges of paths, as many as a shuffle has partitions; nothing to do without text fields."""
         if not self.schema.text_fields:
             return
         store = self._stored()
         with store.lock():
-            items = store.items().repartitionByRange(partitions, "path").sortWithinPartitions("path")
+            items = store.items().repartitionByRange("path").sortWithinPartitions("path")
             self._publish(self.schema, items, store.meta()["next_id"])
 
     def apply_schema(self, new: Schema) -> list[str]:

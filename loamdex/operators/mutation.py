@@ -11,25 +11,29 @@ from loamdex.schema import Schema
 OPS = "seq long, op string, path string, data_json string, created_at long, updated_at long"
 
 
+def typed_ops(ops: DataFrame, schema: Schema) -> DataFrame:
+    """Puts as typed rows with their errors, deletes as rows that only have a path."""
+    puts = typed(ops.filter("op = 'put'").drop("path"), schema)
+    return puts.unionByName(ops.filter("op = 'delete'").select("seq", "op", "path"), allowMissingColumns=True)
+
+
 def last_ops(ops: DataFrame) -> DataFrame:
-    """The last operation of each path; an earlier put decides when a path without one is created again after a delete."""
+    """The last operation of each path, and whether a delete before it made the path new (fresh)."""
     last = Window.partitionBy("path").orderBy(F.desc("seq"))
     every = Window.partitionBy("path")
     deleted = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(every)
     return ops.withColumns({"_n": F.row_number().over(last), "fresh": deleted.isNotNull()}).filter("_n = 1").drop("_n")
 
 
-def apply_batch(items: DataFrame, ops: DataFrame, schema: Schema, now_ms: int, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """(new items, rejected puts with their errors).
+def apply_batch(items: DataFrame, ops: DataFrame, schema: Schema, now_ms: int, next_id: int) -> DataFrame:
+    """The new items. ops: typed_ops without errors.
 
     A put of a known path keeps its item_id and created_at and replaces the rest; one after a delete in the same batch
     is a new item. New ids follow the order of operations.
     """
     last = last_ops(ops)
-    puts = typed(last.filter("op = 'put'").drop("op", "path"), schema)
-    bad = puts.filter(F.size("errors") > 0).select("seq", "data_json", "errors")
     old = items.select("path", F.col("item_id").alias("_old_id"), F.col("created_at").alias("_old_created"))
-    joined = puts.join(old, "path", "left")
+    joined = last.filter("op = 'put'").join(old, "path", "left")
     keeps = F.col("_old_id").isNotNull() & ~F.col("fresh")
     # ids of new rows: a rank within ranges of seq, on top of the ranges before, so no task sees all rows
     width = 1 << 16
@@ -41,7 +45,6 @@ def apply_batch(items: DataFrame, ops: DataFrame, schema: Schema, now_ms: int, n
     new = new.withColumn("created_at", F.coalesce("created_at", F.lit(now_ms)))
     kept = joined.filter(keeps).withColumn("item_id", F.col("_old_id")).withColumn("created_at", F.coalesce("created_at", "_old_created"))
     columns = schema.struct().fieldNames()
-    changed = new.select(*columns, "errors").unionByName(kept.select(*columns, "errors")).withColumn("updated_at", F.coalesce("updated_at", F.lit(now_ms)))
-    changed = changed.filter(F.size("errors") == 0).select(*columns)
+    changed = new.select(*columns).unionByName(kept.select(*columns)).withColumn("updated_at", F.coalesce("updated_at", F.lit(now_ms)))
     rest = items.join(last.select("path"), "path", "left_anti").select(*columns)
-    return rest.unionByName(changed), bad
+    return rest.unionByName(changed.select(*columns))

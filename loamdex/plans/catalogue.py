@@ -149,7 +149,7 @@ def _upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = events.select(F.col("event_id").alias("seq"), op.alias("op"), path.alias("path"), doc.alias("data_json"), F.lit(None).cast("long").alias("created_at"), F.lit(None).cast("long").alias("updated_at"))
     schema = tables.Schema({"event_type": tables.Field("keyword"), "value": tables.Field("number")})
     empty = spark.createDataFrame([], schema.struct())
-    items, _ = mutation.apply_batch(empty, ops, schema, _NOW, 1)
+    items = mutation.apply_batch(empty, mutation.typed_ops(ops, schema), schema, _NOW, 1)
     return items.select("path", "item_id", F.col("f_event_type").alias("event_type"), F.round("f_value", 6).alias("value"))
 
 
