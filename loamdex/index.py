@@ -112,7 +112,7 @@ class Index:
 
     def matching(self, query: str) -> DataFrame:
         """The items that a query matches."""
-        return self.items.filter(self.bind(query).condition)
+        return self.items.filter(self.bind(query).test)
 
     def ranked(self, query: str, rank: str | Rank = "default", after: dict[str, Any] | None = None, limit: int | None = None) -> DataFrame:
         """Matching items with their score, in order, lazily."""
@@ -120,7 +120,7 @@ class Index:
 
     def _ranked(self, bound: Bound, rank: Rank, after: dict[str, Any] | None, limit: int | None) -> tuple[DataFrame, Order]:
         order, items = order_of(rank, self.schema, bound, self.items)
-        rows = items.filter(bound.condition).withColumn("score", order.score)
+        rows = items.filter(bound.test).withColumn("score", order.score)
         if after is not None:
             rows = rows.filter(order.after(after))
         rows = rows.orderBy(*order.sort)

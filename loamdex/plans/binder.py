@@ -1,6 +1,7 @@
 """Query tree to one boolean column over the wide items row.
 
-Every leaf is false, never null, where a field is absent, so NOT is the complement over all items.
+A leaf is null where a field is absent. Null counts as false in a filter, and AND and OR keep it so, which leaves plain
+comparisons that can be pushed to the scan; under NOT it is made false, so NOT is the complement over all items.
 """
 
 from __future__ import annotations
@@ -24,12 +25,17 @@ _COMPARE = {"=": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator
 
 @dataclass
 class Bound:
-    """The condition, what it does in words, and the phrases that count for ranking as (field, tokens)."""
+    """The test for a filter, what it does in words, and the phrases that count for ranking as (field, tokens)."""
 
-    condition: Column
+    test: Column
     steps: list[str]
     phrases: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
 
+    @property
+    def condition(self) -> Column:
+        """The test as true or false, never null."""
+        return F.coalesce(self.test, F.lit(False))
+
 
 class Binder:
     def __init__(self, schema: Schema, now_ms: int):
@@ -38,8 +44,7 @@ class Binder:
         self.phrases: list[tuple[str, tuple[str, ...]]] = []
 
     def bind(self, tree: ast.Node) -> Bound:
-        condition = self._node(tree, False)
-        return Bound(condition, self.steps, list(dict.fromkeys(self.phrases)))
+        return Bound(self._node(tree, False), self.steps, list(dict.fromkeys(self.phrases)))
 
     def _node(self, node: ast.Node, negated: bool) -> Column:
         if isinstance(node, ast.And):
@@ -47,11 +52,11 @@ class Binder:
         if isinstance(node, ast.Or):
             return self._node(node.left, negated) | self._node(node.right, negated)
         if isinstance(node, ast.Not):
-            return ~self._node(node.inner, True)
+            return ~F.coalesce(self._node(node.inner, True), F.lit(False))
         leaf = getattr(self, f"_{type(node).__name__.lower()}")
         self.steps.append(f"{'exclude' if negated else 'match'} {node}")
         self.negated = negated
-        return F.coalesce(leaf(node), F.lit(False))
+        return leaf(node)
 
     def _field(self, name: str):
         found = self.schema.get(name)
