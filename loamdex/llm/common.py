@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system; workers live on, and the next operator needs the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

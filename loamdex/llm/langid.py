@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.llm.common import give_back
 from loamdex.llm.lattice import SPACE, PieceTable, backward, by_length, forward, vocabulary
 
 #: A letter run longer than this is scored in stretches of it.
 LONGEST = 32
 UNKNOWN = 1e-7
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _letters = re.compile(r"[^\W\d_]+").findall
 _WORKERS: dict[str, Scorer] = {}
 
@@ -149,6 +150,7 @@ def _predict(shared):
                     [*(batch.column(c) for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                     names=[*names, "lang_pred", "score"],
                 )
+        give_back()
 
     return run
 

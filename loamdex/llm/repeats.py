@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import cut
+from loamdex.llm.common import cut, give_back
 
 #: Rows of one anchor that a task compares by itself; anchors with more are compared window by window by all tasks.
 HOT = 131072
@@ -97,6 +97,7 @@ def _emit(split: Callable[[str], list[bytes]], window: int, gram: int, full: boo
                     yield pa.RecordBatch.from_arrays([anchor, pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(data, pa.binary())], names=["anchor", "doc", "place", "prints"])
                 else:
                     yield pa.RecordBatch.from_arrays([anchor], names=["anchor"])
+        give_back()
 
     return run
 

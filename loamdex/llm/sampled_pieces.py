@@ -18,9 +18,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.llm.common import give_back
 from loamdex.llm.lattice import SPACE, PieceTable, by_length, byte_ids, vocabulary
 
 #: A unit longer than this is cut into stretches of it, each with a lattice of its own.
@@ -352,13 +354,14 @@ def _rows(path: str | None, k: int, seed: int, with_ids: bool):
                 names = ["doc_id", "sample", "n_pieces", "ids_crc32", "log_probability", "perturbed_score", "inclusion", "round_trip", *(["ids"] if with_ids else [])]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds)] if rows else [pa.array([], kind) for _, kind in zip(names, kinds)], names=names)
+        give_back()
 
     return run
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1024, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of few rows and, but for a single long text, of bounded text."""
-    sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     at = 0
     while at < len(sizes):
         end, total = at + 1, sizes[at]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import cut
+from loamdex.llm.common import cut, give_back
 from loamdex.llm.components import components
 
 RADIUS = 3
@@ -29,38 +29,44 @@ BLOCK = 2048
 _GENERATOR = 0b101011100011
 
 
-@cache
-def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each 16-bit word, padded with zeros to 23 bits: its indices (n, 6) and how many of them it has."""
+def _syndrome(words: np.ndarray) -> np.ndarray:
+    words = words.copy()
+    for bit in range(22, 10, -1):
+        words ^= np.where(words >> bit & 1, _GENERATOR << (bit - 11), 0)
+    return words
 
-    def syndrome(words: np.ndarray) -> np.ndarray:
-        words = words.copy()
-        for bit in range(22, 10, -1):
-            words ^= np.where(words >> bit & 1, _GENERATOR << (bit - 11), 0)
-        return words
 
-    # every syndrome has one error pattern of weight 3 or less: the code is perfect
+@cache
+def _coset_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By syndrome: the error pattern of weight 3 or less, and for those of weight 3 the five of weight 4, else zeros; and syndromes of the upper bits."""
     ones = [0] + [1 << i for i in range(23)]
-    patterns = sorted({a ^ b ^ c for a in ones for b in ones for c in ones}, key=lambda e: (bin(e).count("1"), e))
-    patterns = np.array(patterns, dtype=np.int64)
+    # every syndrome has one error pattern of weight 3 or less: the code is perfect
+    patterns = np.array(sorted({a ^ b ^ c for a in ones for b in ones for c in ones}), dtype=np.int64)
     leader = np.zeros(2048, dtype=np.int64)
-    leader[syndrome(patterns)] = patterns
-    weights = np.array([bin(int(e)).count("1") for e in leader])
+    leader[_syndrome(patterns)] = patterns
     fours = np.array([sum(1 << i for i in c) for c in combinations(range(23), 4)], dtype=np.int64)
-    by_syndrome: dict[int, list[int]] = {}
-    for s, e in zip(syndrome(fours).tolist(), fours.tolist(), strict=True):
-        by_syndrome.setdefault(s, []).append(e)
-    words = np.arange(1 << 16, dtype=np.int64)
-    synd = syndrome(words)
-    keys = np.full((1 << 16, 6), -1, dtype=np.int64)
-    keys[:, 0] = (words ^ leader[synd]) >> 11
-    count = np.ones(1 << 16, dtype=np.int64)
-    for s in np.flatnonzero(weights == 3):
-        at = np.flatnonzero(synd == s)
-        others = np.array(by_syndrome[int(s)], dtype=np.int64)
-        keys[at, 1 : 1 + len(others)] = (words[at][:, None] ^ others[None, :]) >> 11
-        count[at] = 1 + len(others)
-    return keys, count
+    order = np.argsort(_syndrome(fours), kind="stable")
+    others = np.zeros((2048, 5), dtype=np.int64)
+    heavy, first, count = np.unique(_syndrome(fours)[order], return_index=True, return_counts=True)
+    for s, at, n in zip(heavy.tolist(), first.tolist(), count.tolist(), strict=True):
+        if bin(int(leader[s])).count("1") == 3:
+            others[s, :n] = fours[order[at : at + n]]
+    return leader, others, _syndrome(np.arange(1 << 12, dtype=np.int64) << 11)
+
+
+def fuzzy(words: np.ndarray) -> np.ndarray:
+    """(n, 6) codeword indices of words of up to 23 bits, -1 where there are fewer."""
+    leader, others, upper = _coset_tables()
+    synd = upper[words >> 11] ^ (words & 0x7FF)
+    more = others[synd]
+    return np.concatenate([((words ^ leader[synd]) >> 11)[:, None], np.where(more > 0, (words[:, None] ^ more) >> 11, -1)], axis=1)
+
+
+@cache
+def golay_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each 16-bit word, padded with zeros to 23 bits: its indices (n, 6) and how many of them it has."""
+    keys = fuzzy(np.arange(1 << 16, dtype=np.int64))
+    return keys, (keys >= 0).sum(axis=1)
 
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +217,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return prints.join(by_print, "print").select("doc_id", "print", "component_id")
 
 
+#: Segments of the prints that near_copies makes keys from: longer ones than for 3 bits, so that texts seldom meet by chance.
+WIDE = ((0, 21), (21, 21), (42, 22))
 #: Prints that keys are made from, over a text's distinct words, and 64-bit parts of the print that decides, over its distinct shingles.
-KEY_PRINTS, PARTS = 4, 8
+KEY_PRINTS, PARTS = 8, 8
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -243,7 +251,7 @@ def wide_prints(text: str | None, shingle: int = 5) -> tuple[list[int], list[int
     unigrams = set(words)
     one = np.fromiter(map(digest, unigrams), dtype=np.uint64, count=len(unigrams))
     many = np.fromiter(map(digest, shingles), dtype=np.uint64, count=len(shingles))
-    return _majority(one, range(1, KEY_PRINTS + 1)), _majority(many, range(11, PARTS + 11))
+    return _majority(one, range(1, KEY_PRINTS + 1)), _majority(many, range(101, PARTS + 101))
 
 
 def _wide(shingle: int):
@@ -253,6 +261,7 @@ def _wide(shingle: int):
             signed = lambda rows: pa.array(list(np.array(rows, dtype=np.uint64).view(np.int64)), pa.list_(pa.int64()))
             a, b = [p[0] for p in prints], [p[1] for p in prints]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), signed(a), signed(b)], names=["doc", "mark", "a", "b"])
+        give_back()
 
     return run
 
@@ -264,8 +273,12 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = batch.column("sig").to_numpy(zero_copy_only=False)
         prints = batch.column("a").flatten().to_numpy().view(np.uint64).reshape(len(sig), -1)
         for t in range(prints.shape[1]):
-            rows, keys = keys_of(np.ascontiguousarray(prints[:, t]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys | (t << 32)), pa.array(sig[rows])], names=["k", "sig"])
+            parts = [((prints[:, t] >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in WIDE]
+            for i, part in enumerate(parts):
+                near = fuzzy(parts[(i + 1) % len(parts)])
+                at, column = np.nonzero(near >= 0)
+                keys = near[at, column] | (part[at] << 12) | ((len(WIDE) * t + i) << 34)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sig[at])], names=["k", "sig"])
 
 
 def wide_forest(sigs: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -319,8 +332,8 @@ def with_keys(docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """doc, mark (with_keys), component_id and stays: documents whose shingle sets have about this Jaccard similarity or more are linked.
 
-    A 64-bit print within 3 bits only meets texts that are almost equal. So keys come from four prints over distinct
-    words, which an edit moves little, by the same Golay code; whether a candidate is a link is decided by a 512-bit
+    A 64-bit print within 3 bits only meets texts that are almost equal. So keys come from eight prints over
+    distinct words, which an edit moves little, in three segments: one exact, the next by its Golay codewords. Whether a candidate is a link is decided by a 512-bit
     SimHash of its distinct shingles, whose distance estimates their Jaccard similarity to about 0.03.
 
     docs: doc_id, text; other columns are ignored. Case of A-Z and white space don't count. Texts without words are one
@@ -332,7 +345,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     rows = rows.mapInArrow(_wide(shingle), "doc long, mark long, a array<long>, b array<long>").withColumn("sig", F.xxhash64("a", "b"))
     rows = cut(rows)
     classes = rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("a").alias("a"), F.first("b").alias("b"))
-    keyed = classes.select("sig", "a").mapInArrow(_wide_keys, "k long, sig long").distinct()
+    keyed = classes.select("sig", "a").mapInArrow(_wide_keys, "k long, sig long")
     held = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
