@@ -340,11 +340,11 @@ def sampler(path: str | None) -> Sampler:
     return _WORKERS[path]
 
 
-def _rows(path: str | None, k: int, seed: int, with_ids: bool):
+def _rows(path: str | None, k: int, seed: int, with_ids: bool, batch_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(path)
         for whole in batches:
-            for batch in _parts(whole):
+            for batch in _parts(whole, batch_texts, batch_texts * 4096):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), texts, own.sample(texts, batch.column("key").to_pylist(), k, seed), strict=True):
@@ -359,7 +359,7 @@ def _rows(path: str | None, k: int, seed: int, with_ids: bool):
     return run
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of few rows and, but for a single long text, of bounded text."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     at = 0
@@ -372,7 +372,7 @@ def _parts(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 20) -> Itera
         at = end
 
 
-def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = 42, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = 42, path: str | None = None, with_ids: bool = False, batch_texts: int = 1024) -> DataFrame:
     """k distinct segmentations of every whole text, drawn without replacement, best perturbed score first.
 
     docs: doc_id, text; other columns are ignored. The draw is seeded by seed and a hash of doc_id and text, so reruns
@@ -380,8 +380,9 @@ def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = 42, pat
     the empty text, whose one segmentation has no pieces. Decoding any sample gives the text back (round_trip); a
     space is the marker U+2581 in pieces, so a text that holds this character decodes to one with a space. Returns
     doc_id, sample, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), log_probability, perturbed_score,
-    inclusion, round_trip and, with with_ids, ids. No shuffle; no rows give no rows.
+    inclusion, round_trip and, with with_ids, ids. batch_texts texts (and 4096 characters for each) share their units'
+    lattices: more take less time and more memory. No shuffle; no rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_probability double, perturbed_score double, inclusion double, round_trip boolean"
-    return rows.mapInArrow(_rows(path, k, seed, with_ids), schema + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_rows(path, k, seed, with_ids, batch_texts), schema + (", ids array<int>" if with_ids else ""))
