@@ -217,147 +217,299 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return prints.join(by_print, "print").select("doc_id", "print", "component_id")
 
 
-#: Segments of the prints that near_copies makes keys from: longer ones than for 3 bits, so that texts seldom meet by chance.
-WIDE = ((0, 21), (21, 21), (42, 22))
-#: Prints that keys are made from, over a text's distinct words, and 64-bit parts of the print that decides, over its distinct shingles.
-KEY_PRINTS, PARTS = 8, 8
+#: 64-bit parts of a print of bits_at.
+PARTS = 8
+#: Least buckets of the counts that bound how many shingles two texts share; doubled until a bucket has two at most on average.
+BUCKETS = 256
+#: Sets of a list up to which its pairs are bounded one by one, and up to which they are then lists of their own, so
+#: that a pair that meets in many lists is compared once. Longer lists are compared whole.
+SOME, FEW = 256, 16
+#: One row in so many counts for the order of shingles; the order changes what is compared, never what is found.
+SAMPLE = 16
 
 
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    x = hashes ^ np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def bits_at(similarity: float, slack: float = 1.0) -> int:
+    """Bits of the deciding print in which sets of this Jaccard similarity differ on average, plus slack spreads."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = float(np.arccos(cosine) / np.pi)
+    n = 64 * PARTS
+    return int(n * p + slack * np.sqrt(n * p * (1 - p)))
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending; of a text without words the hash of nothing."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))} if len(words) > shingle else {b" ".join(words)}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found)))
 
 
-def _majority(hashes: np.ndarray, salts: range) -> list[int]:
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in an order of all hashes, rare before common, so many that sets of this Jaccard similarity share one.
+
+    Such sets share at least similarity * n of the hashes of each, so the n - ceil(similarity * n) + 1 first of both
+    have one in common, whatever the order. common: ascending hashes that come last, with their counts.
+    """
+    n = len(hashes)
+    keep = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, times[at], 0)))]
+    return hashes[:keep]
+
+
+def bucket_counts(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of a set by bucket; all 255 if a count reaches 255."""
+    bits = (BUCKETS - 1).bit_length()
+    while len(hashes) > 2 << bits:
+        bits += 1
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.full(1 << bits, 255, dtype=np.uint8) if counts.max() >= 255 else counts.astype(np.uint8)
+
+
+def _similar(shared: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    return shared * (1 + similarity) >= similarity * (one + others) - 1e-6
+
+
+def hopeful(sizes: np.ndarray, counts: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """For each set the later ones that can be as similar as this to it: two sets share at most the sum of the lesser counts."""
     out = []
-    for salt in salts:
-        counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 15):
-            part = _mixed(hashes[at : at + (1 << 15)], salt)
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    for i, mine in enumerate(counts):
+        later = np.arange(i + 1, len(sizes))
+        later = later[_similar(np.minimum(sizes[later], sizes[i]), int(sizes[i]), sizes[later], similarity)]
+        most = np.zeros(len(later), dtype=np.int64)
+        for j, k in enumerate(later.tolist()):
+            one, other = sorted((mine, counts[k]), key=len)
+            if one[0] == other[0] == 255 or len(other) > 4 * len(one):
+                most[j] = sizes[i] + sizes[k]
+                continue
+            if one[0] == 255:
+                most[j] = sizes[i] if other is mine else sizes[k]
+                continue
+            if other[0] == 255:
+                most[j] = sizes[k] if one is counts[k] else sizes[i]
+                continue
+            one, other = one.astype(np.int32), other.astype(np.int32)
+            while len(other) > len(one):
+                other = other[::2] + other[1::2]
+            most[j] = np.minimum(one, other).sum()
+        out.append(later[_similar(most, int(sizes[i]), sizes[later], similarity)])
     return out
 
 
-def wide_prints(text: str | None, shingle: int = 5) -> tuple[list[int], list[int]]:
-    """SimHashes of the distinct words and of the distinct shingles; zeros for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * KEY_PRINTS, [0] * PARTS
-    digest = xxhash.xxh64_intdigest
-    shingles = {b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))} if len(words) > shingle else {b" ".join(words)}
-    unigrams = set(words)
-    one = np.fromiter(map(digest, unigrams), dtype=np.uint64, count=len(unigrams))
-    many = np.fromiter(map(digest, shingles), dtype=np.uint64, count=len(shingles))
-    return _majority(one, range(1, KEY_PRINTS + 1)), _majority(many, range(101, PARTS + 101))
+def set_forest(sigs: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of sets whose Jaccard similarity is this or more, enough to connect all such sets."""
+    if len(sets) == 2:
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(int(sigs[0]), int(sigs[1]))] if _similar(shared, len(sets[0]), len(sets[1]), similarity) else []
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    of = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark = np.zeros(len(known), dtype=bool)
+    unmet, links = np.arange(1, len(sets)), []
+    # of held sets, some of which are met, all hashes stand in a row; they are laid out anew when half are met
+    held = np.zeros(0, dtype=np.int64)
+    front = [0]
+    while len(unmet):
+        if not front:
+            front, unmet = [int(unmet[0])], unmet[1:]
+            continue
+        if not len(held) or 2 * len(unmet) < len(held):
+            held = unmet
+            row, starts = np.concatenate([of[i] for i in held.tolist()]), np.cumsum(sizes[held]) - sizes[held]
+        at = front.pop()
+        mark[of[at]] = True
+        shared = np.add.reduceat(mark[row], starts, dtype=np.int64)[np.searchsorted(held, unmet)]
+        mark[of[at]] = False
+        near = _similar(shared, int(sizes[at]), sizes[unmet], similarity)
+        found, unmet = unmet[near], unmet[~near]
+        front.extend(found.tolist())
+        links.extend((int(sigs[x]), int(sigs[at])) for x in found)
+    return links
+
+
+def _all_shingles(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                sets = [shingle_set(t, shingle) for t in whole.column("text").slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    return run
+
+
+def common_shingles(rows: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many of a sample of rows hold, ascending, and their counts; at most 2000 a row on average."""
+    some = rows.filter(F.pmod(F.xxhash64("mark", "doc"), F.lit(sample)) == 0)
+    least = max(3, some.count() // 2000)
+    found = some.select("text").mapInArrow(_all_shingles(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).toArrow()
+    hashes, times = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
 
 
-def _wide(shingle: int):
+def _sketches(shingle: int, similarity: float, common: np.ndarray, times: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_prints(t, shingle) for t in batch.column("text").to_pylist()]
-            signed = lambda rows: pa.array(list(np.array(rows, dtype=np.uint64).view(np.int64)), pa.list_(pa.int64()))
-            a, b = [p[0] for p in prints], [p[1] for p in prints]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), signed(a), signed(b)], names=["doc", "mark", "a", "b"])
+            sigs, sizes, firsts, counts = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_set(text, shingle)
+                sigs.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                firsts.append(prefix(hashes, similarity, common, times).tobytes())
+                counts.append(bucket_counts(hashes).tobytes())
+            signed = np.array(sigs, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("mark"), pa.array(signed), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())],
+                names=["doc", "mark", "sig", "size", "first", "counts"],
+            )
+        give_back()
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.binary())], names=["sig", "hashes"])
         give_back()
 
     return run
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            firsts = batch.column("first").to_pylist()
+            sig = np.repeat(batch.column("sig").to_numpy(), [len(x) // 8 for x in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), dtype=np.int64)), pa.array(sig)], names=["k", "sig"])
+
+
+def _runs(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows sorted by key, and the groups' bounds; a group that goes on is held back."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        keys = table.column(key).to_numpy()
+        return table, np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = batch.column("sig").to_numpy(zero_copy_only=False)
-        prints = batch.column("a").flatten().to_numpy().view(np.uint64).reshape(len(sig), -1)
-        for t in range(prints.shape[1]):
-            parts = [((prints[:, t] >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in WIDE]
-            for i, part in enumerate(parts):
-                near = fuzzy(parts[(i + 1) % len(parts)])
-                at, column = np.nonzero(near >= 0)
-                keys = near[at, column] | (part[at] << 12) | ((len(WIDE) * t + i) << 34)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sig[at])], names=["k", "sig"])
-
-
-def wide_forest(sigs: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links of rows whose prints (n, PARTS) differ in at most ``most`` bits, enough to connect all such rows."""
-    unmet, links = np.arange(len(sigs)), []
-    while len(unmet) > 1:
-        front, unmet = [unmet[0]], unmet[1:]
-        while front and len(unmet):
-            at = front.pop()
-            bits = np.zeros(len(unmet), dtype=np.int32)
-            for j in range(prints.shape[1]):
-                bits += distance(prints[unmet, j], prints[at, j])
-            near = bits <= most
-            if near.any():
-                found = unmet[near]
-                unmet = unmet[~near]
-                front.extend(found.tolist())
-                links.extend((int(sigs[x]), int(sigs[at])) for x in found)
-    return links
+        keys = batch.column(key).to_numpy()
+        differ = np.flatnonzero(keys != keys[-1])
+        last = int(differ[-1]) + 1 if len(differ) else 0
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield whole(held)
+            held = []
+        if last:
+            yield whole([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield whole(held)
+
+
+def _listed(lists: list[np.ndarray]) -> pa.RecordBatch:
+    """(list, sig) of every member; lists of the same members have the same name."""
+    named = {xxhash.xxh64_intdigest(x.tobytes()): x for x in lists}
+    names = np.repeat(np.array(list(named), dtype=np.uint64).view(np.int64), [len(x) for x in named.values()])
+    members = np.concatenate([*named.values(), np.zeros(0, dtype=np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(members)], names=["list", "sig"])
+
+
+def _lists(block: int):
+    """Of rows sorted by k, sig the sets that share a key; of a key with more than block sets, those of each pair of blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _runs("k", batches):
+            sigs = table.column("sig").to_numpy()
+            out = []
+            for a, b in zip(bounds[:-1][np.diff(bounds) > 1].tolist(), bounds[1:][np.diff(bounds) > 1].tolist(), strict=True):
+                if b - a <= block:
+                    out.append(sigs[a:b])
+                    continue
+                parts = np.array_split(sigs[a:b], -(-(b - a) // block))
+                for p, q in combinations(range(len(parts)), 2):
+                    out.append(np.concatenate([parts[p], parts[q]]))
+                    if len(out) >= 64:
+                        yield _listed(out)
+                        out = []
+            yield _listed(out)
+
+    return run
 
-def _wide_links(most: int):
+
+def _hopeful(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("members")
+        for table, bounds in _runs("list", batches):
+            sigs, sizes = table.column("sig").to_numpy(), table.column("size").to_numpy()
+            counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("counts").to_pylist()]
+            out = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a > SOME:
+                    out.append(sigs[a:b])
+                    continue
+                pairs = [(a + i, a + j) for i, near in enumerate(hopeful(sizes[a:b], counts[a:b], similarity)) for j in near.tolist()]
+                if b - a <= FEW or len(pairs) <= 2 * (b - a):
+                    out += [sigs[[i, j]] for i, j in pairs]
+                else:
+                    out.append(sigs[sorted({i for pair in pairs for i in pair})])
+            yield _listed(out)
+
+    return run
+
+
+def _set_links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _runs("list", batches):
+            sigs, hashes = table.column("sig").to_numpy(), table.column("hashes").to_pylist()
             out: set[tuple[int, int]] = set()
-            offsets, inner = lists.offsets.to_numpy(), lists.values
-            sigs = inner.field("sig").to_numpy(zero_copy_only=False)
-            prints = inner.field("b").flatten().to_numpy().view(np.uint64).reshape(len(sigs), -1) if len(sigs) else None
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                out.update(wide_forest(sigs[a:b], prints[a:b], most))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out.update(set_forest(sigs[a:b], [np.frombuffer(x, dtype=np.uint64) for x in hashes[a:b]], similarity))
             links = np.array(list(out), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1]))], names=["u", "v"])
+        give_back()
 
     return run
 
 
-def bits_at(similarity: float, slack: float = 1.0) -> int:
-    """Bits of the deciding print in which sets of this Jaccard similarity differ on average, plus slack spreads."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(cosine) / np.pi)
-    n = 64 * PARTS
-    return int(n * p + slack * np.sqrt(n * p * (1 - p)))
-
-
 def with_keys(docs: DataFrame) -> DataFrame:
     """docs with doc (doc_id, null as the greatest) and mark (a hash of the text), which together name a row."""
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """doc, mark (with_keys), component_id and stays: documents whose shingle sets have about this Jaccard similarity or more are linked.
+    """doc, mark (with_keys), component_id and stays: documents whose shingle sets have this Jaccard similarity or more are linked.
 
-    A 64-bit print within 3 bits only meets texts that are almost equal. So keys come from eight prints over
-    distinct words, which an edit moves little, in three segments: one exact, the next by its Golay codewords. Whether a candidate is a link is decided by a 512-bit
-    SimHash of its distinct shingles, whose distance estimates their Jaccard similarity to about 0.03.
+    A 64-bit print within 3 bits only meets texts that are almost equal. So this is an exact join of the sets of distinct
+    shingles, taken by their 64-bit hashes: sets of this similarity share a hash of their prefixes, and sets that share one
+    are compared in full, unless their counts by bucket show that they share too few.
 
     docs: doc_id, text; other columns are ignored. Case of A-Z and white space don't count. Texts without words are one
-    group. Rows with equal prints are one class before keys are made; keys of many classes are split into blocks, as in
-    print_links. Of a group the least doc, then mark, stays; its doc is the component_id. A null doc_id comes last. Rows
-    that are equal in doc_id and text stay or go together. No rows give no rows.
+    group. Rows with equal sets are one class before keys are made. Sets that share a key are a list; a key of many sets
+    makes lists of pairs of blocks, and lists of the same sets are compared once. Of a group the least doc, then mark,
+    stays; its doc is the component_id. A null doc_id comes last. Rows that are equal in doc_id and text stay or go
+    together. No rows give no rows.
     """
-    rows = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
-    rows = rows.mapInArrow(_wide(shingle), "doc long, mark long, a array<long>, b array<long>").withColumn("sig", F.xxhash64("a", "b"))
-    rows = cut(rows)
-    classes = rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("a").alias("a"), F.first("b").alias("b"))
-    keyed = classes.select("sig", "a").mapInArrow(_wide_keys, "k long, sig long")
-    held = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    pairs = F.when(parts <= 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.least(mine, q) * parts + F.greatest(mine, q))
-    )
-    shared = keyed.join(held, "k").withColumn("pair", F.explode(pairs)).select("k", "pair", "sig")
-    shared = shared.join(classes.select("sig", "b"), "sig")
-    groups = shared.groupBy("k", "pair").agg(F.collect_list(F.struct("sig", "b")).alias("members")).filter(F.size("members") > 1).select("members")
-    links = groups.mapInArrow(_wide_links(bits_at(similarity)), "u long, v long").distinct()
+    texts = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
+    rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"))
+    least = F.min(F.struct("doc", "mark")).alias("least")
+    classes = rows.groupBy("sig").agg(least)
+    keyed = rows.groupBy("sig").agg(F.first("first").alias("first")).mapInArrow(_prefix_keys, "k long, sig long")
+    lists = keyed.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(_lists(block), "list long, sig long").distinct()
+    counted = lists.join(rows.groupBy("sig").agg(F.first("size").alias("size"), F.first("counts").alias("counts")), "sig")
+    lists = cut(counted.select("list", "sig", "size", "counts").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_hopeful(similarity), "list long, sig long").distinct())
+    asked = lists.select("sig").distinct().join(classes, "sig").select("sig", F.col("least.doc").alias("doc"), F.col("least.mark").alias("mark"))
+    sets = texts.join(asked, ["doc", "mark"]).groupBy("doc", "mark", "sig").agg(F.first("text").alias("text")).select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary")
+    links = lists.join(sets, "sig").select("list", "sig", "hashes").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_set_links(similarity), "u long, v long").distinct()
     roots = components(links)
-    grouped = classes.select("sig", "least").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("first"))
-    found = rows.select("doc", "mark", "sig").join(grouped.join(least, "root").select("sig", "first"), "sig")
+    grouped = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    found = rows.select("doc", "mark", "sig").join(grouped.join(first, "root").select("sig", "first"), "sig")
     return found.select("doc", "mark", F.col("first.doc").alias("component_id"), (F.col("first") == F.struct("doc", "mark")).alias("stays"))

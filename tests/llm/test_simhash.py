@@ -137,3 +137,40 @@ def test_near_copies_are_caught_and_others_left(spark, odd, none):
 
 def test_bits():
     assert bits_at(1.0) == 0 and bits_at(0.8, 0) == int(512 * np.arccos(1.6 / 1.8) / np.pi)
+
+
+def linked(rows, similarity=0.8):
+    """Brute force: the least doc of each component of pairs with this Jaccard similarity."""
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(rows, 2):
+        if jaccard(s, t) >= similarity - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {d: find(d) for d, _ in rows}
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_cut_appended_and_edited_copies_all_meet(spark, block):
+    """Copies that gain or lose a contiguous part, just above the limit."""
+    rng = random.Random(block)
+    word = lambda: "w%d" % rng.randint(0, 5000)
+    passage = [word() for _ in range(30)]
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(rng.randint(100, 300))] + passage
+        n = len(words)
+        texts += [words, words[: int(0.83 * n)], words[int(0.17 * n) :], words + ["x%d" % rng.randint(0, 10**6) for _ in range(int(0.21 * n))], words + words[: int(0.2 * n)]]
+        edit = list(words)
+        edit[::55] = ["e%d" % i for i in range(len(edit[::55]))]
+        texts.append(edit)
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked(rows)
+    assert len(set(want.values())) == 12
+    assert {r.doc: r.component_id for r in near_copies(docs, block=block).collect()} == want
