@@ -55,10 +55,10 @@ def _spans(prefix: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchors(units: np.ndarray, window: int, gram: int, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(anchor hash, first window) of each run of windows with one anchor, and the windows' 32-bit hashes."""
+    """(anchor hash, first window) of each run of windows with one anchor, and the windows' 64-bit hashes."""
     if len(units) < window:
         none = np.zeros(0, dtype=np.uint64)
-        return none, none.astype(np.int64), none.astype(np.uint32)
+        return none, none.astype(np.int64), none
     prefix = _prefix(units)
     grams = _spans(prefix, gram)
     wide = window - gram + 1
@@ -69,7 +69,7 @@ def anchors(units: np.ndarray, window: int, gram: int, full: bool = True) -> tup
         view = np.lib.stride_tricks.sliding_window_view(part, wide)[: min(1 << 16, n - at)]
         least[at : at + len(view)] = view.argmin(axis=1) + np.arange(at, at + len(view))
     starts = np.flatnonzero(np.diff(least, prepend=-1))
-    return grams[least[starts]], starts, (_spans(prefix, window) >> np.uint64(32)).astype(np.uint32) if full else None
+    return grams[least[starts]], starts, _spans(prefix, window) if full else None
 
 
 def _emit(split: Callable[[str], list[bytes]], window: int, gram: int, full: bool):
@@ -89,7 +89,7 @@ def _emit(split: Callable[[str], list[bytes]], window: int, gram: int, full: boo
                         places.append(starts + (mark << 32))
                         raw = prints.tobytes()
                         ends = np.append(starts[1:], len(prints))
-                        data += [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        data += [raw[8 * a : 8 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 if not keys:
                     continue
                 anchor = pa.array(np.concatenate(keys).view(np.int64))
@@ -107,12 +107,15 @@ def _compare(window: int, within: bool):
 
     def group(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, prints: list[bytes]) -> list[np.ndarray]:
         rank = np.cumsum(np.diff(anchor, prepend=anchor[0]) != 0)
-        size = np.array([len(p) // 4 for p in prints])
+        size = np.array([len(p) // 8 for p in prints])
         row = np.repeat(np.arange(len(size)), size)
         step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        key = (rank[row].astype(np.uint64) << np.uint64(32)) | np.frombuffer(b"".join(prints), dtype=np.uint32)
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
-        source = first[of]
+        key, rank = np.frombuffer(b"".join(prints), dtype=np.uint64), rank[row]
+        # stable, so the first of equal windows is the earliest
+        order = np.lexsort((key, rank))
+        fresh = np.append(True, (np.diff(key[order]) != 0) | (np.diff(rank[order]) != 0))
+        source = np.empty(len(order), dtype=np.int64)
+        source[order] = order[fresh][np.cumsum(fresh) - 1]
         at = (place[row] & 0xFFFFFFFF) + step
         if within:
             later = (doc[row] > doc[row[source]]) | ((doc[row] == doc[row[source]]) & (at > at[source]))
@@ -177,8 +180,8 @@ def factors(docs: DataFrame, split: Callable[[str], list[bytes]], window: int, g
     few = shared.filter(F.col("n") <= hot).select("anchor", "doc", "place", "prints")
     few = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(_compare(window, within), schema)
     code = F.hex("prints")
-    steps = F.sequence(F.lit(0), (F.length("prints") / 4).cast("int") - 1)
-    many = shared.filter(F.col("n") > hot).select("anchor", "doc", "place", F.explode(F.transform(steps, lambda i: F.struct(i.alias("i"), F.substring(code, i * 8 + 1, F.lit(8)).alias("p")))).alias("w"))
+    steps = F.sequence(F.lit(0), (F.length("prints") / 8).cast("int") - 1)
+    many = shared.filter(F.col("n") > hot).select("anchor", "doc", "place", F.explode(F.transform(steps, lambda i: F.struct(i.alias("i"), F.substring(code, i * 16 + 1, F.lit(16)).alias("p")))).alias("w"))
     many = many.select("anchor", F.col("w.p").alias("print"), "doc", F.shiftright("place", 32).alias("mark"), (F.col("place").bitwiseAND(0xFFFFFFFF) + F.col("w.i")).alias("start"))
     first = many.groupBy("anchor", "print").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = F.struct("doc", "start") > F.col("first") if within else F.col("doc") > F.col("first.doc")

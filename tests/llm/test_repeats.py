@@ -58,6 +58,21 @@ def test_random_texts_with_few_words(spark, seed, monkeypatch):
     assert rows_of(remove_repeats(docs, window=9, gram=3)) == removed(rows, 9)
 
 
+@pytest.mark.parametrize("hot", [1, 131072])
+def test_windows_with_half_a_hash_in_common_differ(spark, hot, monkeypatch):
+    """Windows of 50 words with one anchor, whose hashes agree in 32 bits of 64, in the path of each kind of anchor."""
+    import loamdex.llm.repeats as m
+
+    head = [f"phrase{i}" for i in range(49)]
+    one, other = ([*head, w] for w in ("w345", "w152222"))
+    (a, _, x), (b, _, y) = (m.anchors(m.hashes([w.encode() for w in t]), 50, 8) for t in (one, other))
+    assert a.tolist() == b.tolist() and int(x[0]) != int(y[0])
+    monkeypatch.setattr(m.factors, "__defaults__", (hot,))
+    rows = [(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(remove_repeats(docs)) == removed(rows, 50)
+
+
 def test_factors_point_to_what_they_repeat(small):
     docs, rows = small
     texts = {r[0]: split_words(r[1]) for r in rows}
