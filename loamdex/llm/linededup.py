@@ -3,7 +3,8 @@
 Lines are stripped and hashed; blank lines don't count. Hashes of ``gram`` lines are winnowed: the least of every
 ``run - gram + 1`` neighbours is a fingerprint, so any ``run`` lines that stand in two places have one in common.
 Fingerprints are joined, matches are extended to both sides as far as lines agree, and of a run of ``run`` or more
-lines that stands in several places all but the first are deleted.
+lines that stands in several places all but the first are deleted. On request one or two lines are a run as well
+where they hold enough words.
 """
 
 from __future__ import annotations
@@ -26,6 +27,19 @@ def split_lines(text: str | None) -> list[bytes]:
     return [s for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if (s := x.strip(_BLANK))]
 
 
+def long_runs(text: str | None, words: int) -> list[tuple[bytes, int, int]]:
+    """(joined lines, first line, lines) of every one or two lines in a row that hold this many words."""
+    lines = split_lines(text)
+    counts = [len(x.split()) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if counts[i] >= words:
+            out.append((line, i, 1))
+        if i + 1 < len(lines) and counts[i] + counts[i + 1] >= words:
+            out.append((b"\n".join(lines[i : i + 2]), i, 2))
+    return out
+
+
 def without(text: str, gone: list[bool]) -> str:
     """The text less the lines that count and are gone; if all are, nothing is left."""
     if all(gone):
@@ -41,27 +55,40 @@ def without(text: str, gone: list[bool]) -> str:
     return "\n".join(kept)
 
 
-def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            lines, removed, texts = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                n = len(split_lines(text))
-                gone = covered(spans, n).tolist() if spans else []
-                lines.append(n)
-                removed.append(sum(gone))
-                texts.append(without(text or "", gone) if any(gone) else text)
-            names = [c for c in batch.schema.names if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                names=[*names, "lines_in", "lines_removed", "kept_text"],
-            )
-
-
-def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def _deleted(words: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lines, removed, texts = [], [], []
+                for text, spans, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "runs")), strict=True):
+                    n = len(split_lines(text))
+                    spans = list(spans or ())
+                    if runs:
+                        known = long_runs(text, words)
+                        spans += [{"start": known[i][1], "end": known[i][1] + known[i][2]} for x in runs for i in range(x["start"], x["end"])]
+                    gone = covered(spans, n).tolist() if spans else []
+                    lines.append(n)
+                    removed.append(sum(gone))
+                    texts.append(without(text or "", gone) if any(gone) else text)
+                names = [c for c in batch.schema.names if c not in ("text", "spans", "runs")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
+                    names=[*names, "lines_in", "lines_removed", "kept_text"],
+                )
+
+    return run
+
+
+def _spans(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias(name))
+
+
+def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """docs with kept_text, lines_in and lines_removed: lines of a run of ``run`` or more that stood before are deleted.
 
+    With ``words``, so are one or two lines that stood before and hold this many words or more.
+
     docs: doc_id, text, any other columns, which are kept; of these, doc, mark and spans would clash and are refused by
     name only within this call, as columns are renamed around it. A run stood before if it starts in a row of smaller
     doc_id, or earlier in the same text. A null text stays null and has no lines. A null doc_id comes last. Repeated rows
@@ -71,12 +98,16 @@ def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     keep = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
     safe = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()], F.col("text").cast("string").alias("text"))
     ids = marked(docs)
-    spans = factors(ids, split_lines, run, gram, within=True).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = _spans(factors(ids, split_lines, run, gram, within=True), "spans")
     doc_id = F.col(keep["doc_id"]).cast("long")
     safe = safe.withColumns({"doc": F.coalesce(doc_id, F.lit((1 << 63) - 1)), "mark": F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 31))})
-    both = safe.join(spans, ["doc", "mark"], "left").drop("doc", "mark")
+    both = safe.join(spans, ["doc", "mark"], "left")
+    if words is None:
+        both = both.withColumn("runs", F.lit(None).cast("array<struct<start:long,end:long>>"))
+    else:
+        both = both.join(_spans(factors(ids, lambda t: [x[0] for x in long_runs(t, words)], 1, 1, within=True), "runs"), ["doc", "mark"], "left")
     kinds = [f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in keep.items()]
-    out = both.select(*keep.values(), "text", "spans").mapInArrow(_deleted, ", ".join([*kinds, "lines_in long", "lines_removed long", "kept_text string"]))
+    out = both.select(*keep.values(), "text", "spans", "runs").mapInArrow(_deleted(words), ", ".join([*kinds, "lines_in long", "lines_removed long", "kept_text string"]))
     return out.select(*[F.col(k).alias(c) for c, k in keep.items()], "lines_in", "lines_removed", "kept_text")
 
 

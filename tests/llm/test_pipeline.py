@@ -35,3 +35,12 @@ def test_every_operator_has_a_query():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert importlib.util.find_spec("corpus_pipeline") is not None
+
+
+def test_long_lines_are_deleted_as_a_run(spark):
+    """One or two repeated lines of 50 words go in the pipeline; shorter ones stay."""
+    long, half, short = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("long", 50), ("half", 25), ("short", 24)))
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", f"{half}\n{half}x", f"e\n\n{half}\n{half}x", f"{short}\n{half}\nf", f"{short}\n{half}\ng", long, f"{long}\nh\n{long}", f"i\n{long} j\n{long} j"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: "c\nd", 2: texts[2], 3: "e\n", 4: texts[4], 5: texts[5], 7: "h", 8: f"i\n{long} j"}
