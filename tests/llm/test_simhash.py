@@ -174,3 +174,20 @@ def test_cut_appended_and_edited_copies_all_meet(spark, block):
     want = linked(rows)
     assert len(set(want.values())) == 12
     assert {r.doc: r.component_id for r in near_copies(docs, block=block).collect()} == want
+
+
+def test_pairs_under_the_limit_are_left(spark):
+    """Scattered edits to a similarity from 0.74 to 0.795: no pair is a near copy, and at 0.8 or more all are."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        words = ["w%d" % rng.randint(0, 5000) for _ in range(240)]
+        edit = list(words)
+        at = 3
+        while jaccard(" ".join(words), " ".join(edit)) >= 0.795:
+            edit[at] = "e%d_%d" % (k, at)
+            at += 39
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edit))]
+    assert all(0.74 <= jaccard(rows[i][1], rows[i + 1][1]) < 0.795 for i in range(0, 80, 2))
+    got = {r.doc: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
