@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by winnowed windows, in place of a greedy relative Lempel-Ziv parse.
 
-Documents are parsed greedily against reference blocks, which are buckets of an index over all documents: each bucket
-holds, by winnowed anchor, the windows of ``window`` words of every document with that anchor. A document's anchors
-lead it to every block that can hold one of its windows. There, a factor starts at a window that stands in an earlier
-document and goes on, word by word, while what it repeats goes on. Each factor thus spans at least a window; windows
-that lie across the boundary of two factors are compared by themselves, so no repeated window hides there.
+Rows of an index over all documents hold, by winnowed anchor, the windows of ``window`` words of every document with
+that anchor. A document's anchors lead it to all rows that can hold one of its windows. A factor is a run of windows of
+one row that stand in an earlier document and follow each other there too; it ends with its row. No longest match is
+sought: every window is compared by itself, so no repeated window hides across two factors.
 """
 
 from __future__ import annotations
