@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import re
 from dataclasses import dataclass, field
 
 from loamdex.okf.yamltree import Node, YamlError, metadata
 
+_HEAD = re.compile(r"(?P<mark>\ufeff)?(?P<first>[^\n]*?)(?P<end>\r?\n|\Z)")
+_CLOSE = re.compile(r"^---(?:\r?\n|\Z)", re.M)
 # Fixed values of the format: recognised top-level keys.
 RECOGNISED = (
     "type", "title", "description", "resource", "tags", "timestamp", "status", "stale_after", "sources", "usage_window", "generated", "verified",
@@ -26,73 +31,70 @@ class Finding:
 
 @dataclass
 class Document:
+    """text is None where the bytes are no UTF-8; body_at counts characters of the text."""
+
     path: str
     raw: bytes
+    text: str | None = None
     metadata: Node | None = None
     body: str | None = None
     body_at: int = 0
-    frontmatter: bytes | None = None
     findings: list[Finding] = field(default_factory=list)
 
     def say(self, code: str, message: str, at: Node | tuple[int, int] | None, section: str, severity: str = "warning") -> None:
         place = (at.line, at.column) if isinstance(at, Node) else at or (None, None)
         self.findings.append(Finding(severity, code, self.path, *place, section, message))
 
+    @functools.cached_property
+    def _starts(self) -> list[int]:
+        return [0, *(m.end() for m in re.finditer("\n", self.text or ""))]
+
     def place(self, offset: int) -> tuple[int, int]:
         """Line and column of a character offset in the body."""
-        before = self.raw[: self.body_at].decode("utf-8", "replace") + (self.body or "")[:offset]
-        return before.count("\n") + 1, len(before) - (before.rfind("\n") + 1) + 1
+        at = self.body_at + offset
+        line = bisect.bisect_right(self._starts, at)
+        return line, at - self._starts[line - 1] + 1
 
 
-def first_invalid(raw: bytes) -> tuple[int, int] | None:
-    """Line and column of the first byte that is no UTF-8."""
+def opened(path: str, raw: bytes, what: str) -> Document:
+    """The document with its text, or with what is said of bytes that are no UTF-8."""
+    doc = Document(path, raw)
     try:
-        raw.decode("utf-8")
-        return None
+        doc.text = raw.decode("utf-8")
     except UnicodeDecodeError as e:
-        before = raw[: e.start].decode("utf-8", "replace")
-        return before.count("\n") + 1, len(before) - (before.rfind("\n") + 1) + 1
-
-
-def _line(raw: bytes, start: int) -> tuple[int, int]:
-    """End of a line's content and of the line."""
-    end = raw.find(b"\n", start)
-    if end < 0:
-        return len(raw), len(raw)
-    return (end - 1 if end > start and raw[end - 1 : end] == b"\r" else end), end + 1
+        *lines, last = raw[: e.start].decode("utf-8").split("\n")
+        doc.say("OKF100", f"the {what} is not UTF-8", (len(lines) + 1, len(last) + 1), "4.1", "error")
+    return doc
 
 
 def parse_document(path: str, raw: bytes) -> Document:
     """Split into metadata and body without changing a byte; never raises for what a document holds."""
-    doc = Document(path, raw)
-    if (bad := first_invalid(raw)) is not None:
-        doc.say("OKF100", "the document is not UTF-8", bad, "4.1", "error")
-        return doc
-    start = 0
-    if raw.startswith(b"\xef\xbb\xbf"):
-        doc.say("OKF107", "the document starts with a byte-order mark", (1, 1), "4.1")
-        start = 3
-    content, after = _line(raw, start)
-    opening = raw[start:content].decode()
-    if opening.strip() != "---":
-        doc.say("OKF101", "no opening delimiter of the metadata", (1, 1), "4.1", "error")
+    doc = opened(path, raw, "document")
+    if doc.text is None:
         return doc
-    if opening != "---":
-        doc.say("OKF108", "white space around the opening delimiter", (1, 1), "4.1")
-    at = after
-    while at < len(raw):
-        content, end = _line(raw, at)
-        if raw[at:content] == b"---":
-            doc.frontmatter, doc.body, doc.body_at = raw[after:at], raw[end:].decode(), end
-            try:
-                doc.metadata, repeated = metadata(doc.frontmatter.decode())
-            except YamlError as e:
-                doc.say(e.code, e.message, (e.line, e.column), "4.1", "error")
-                return doc
-            for key, node in repeated:
-                if key in RECOGNISED:
-                    doc.say("OKF106", f"key {key!r} is given more than once; the first counts", node, "4.1")
-            return doc
-        at = end
-    doc.say("OKF102", "no closing delimiter of the metadata", (1, 1), "4.1", "error")
+    head = _HEAD.match(doc.text)
+    first, close = head["first"], _CLOSE.search(doc.text, head.end()) if head["end"] else None
+    fenced = first.strip() == "---"
+    # what holds of the two delimiters; each is said at the top of the document
+    for code, said, message, severity in (
+        ("OKF107", head["mark"] is not None, "the document starts with a byte-order mark", "warning"),
+        ("OKF101", not fenced, "no opening delimiter of the metadata", "error"),
+        ("OKF108", fenced and first != "---", "white space around the opening delimiter", "warning"),
+        ("OKF102", fenced and close is None, "no closing delimiter of the metadata", "error"),
+    ):
+        if said:
+            doc.say(code, message, (1, 1), "4.1", severity)
+    if fenced and close is not None:
+        doc.body_at, doc.body = close.end(), doc.text[close.end() :]
+        _interpret(doc, doc.text[head.end() : close.start()])
     return doc
+
+
+def _interpret(doc: Document, source: str) -> None:
+    try:
+        doc.metadata, repeated = metadata(source)
+    except YamlError as e:
+        return doc.say(e.code, e.message, (e.line, e.column), "4.1", "error")
+    for key, node in repeated:
+        if key in RECOGNISED:
+            doc.say("OKF106", f"key {key!r} is given more than once; the first counts", node, "4.1")

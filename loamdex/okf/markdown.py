@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -121,7 +122,7 @@ def _list(lines: list[tuple[int, str, int]], i: int) -> tuple[int, Block]:
             items.append([at + len(m[1]), m[4], end])
             indent, mark = len(m[1]) + len(m[2]) + min(max(len(m[3]), 1), 4 if len(m[3]) <= 4 else 1), kind
         elif blank:
-            ahead = next((x for x in lines[i:] if x[1].strip()), None)
+            ahead = next((lines[k] for k in range(i, len(lines)) if lines[k][1].strip()), None)
             if ahead is None:
                 break
             following = len(ahead[1]) - len(ahead[1].lstrip(" "))
@@ -155,15 +156,16 @@ def _unescaped(url: str) -> str:
     return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", url)
 
 
-def starts_with_link(text: str, whole: str) -> bool:
-    """Whether inline text begins with a link."""
+def starts_with_link(text: str, defined: dict[str, str]) -> bool:
+    """Whether inline text begins with a link; defined: the definitions of its document."""
     text = text.lstrip()
-    return bool(_AUTOLINK.match(text)) or any(at == 0 for at, _ in _links_in(text, 0, _definitions(whole)))
+    return bool(_AUTOLINK.match(text)) or any(at == 0 for at, _ in _links_in(text, defined))
 
 
-def _definitions(text: str) -> dict[str, str]:
+def definitions(text: str, found: list[Block] | None = None) -> dict[str, str]:
+    """Destinations of reference links by label."""
     out: dict[str, str] = {}
-    for block in blocks(text):
+    for block in blocks(text) if found is None else found:
         if block.kind == "definition" and (m := _DEFINITION.match(text[block.start : block.end])):
             out.setdefault(_label(m[1]), _unescaped(m[2]))
     return out
@@ -179,28 +181,40 @@ def links(text: str) -> list[tuple[int, str]]:
             # fences within containers
             for m in re.finditer(r"^[ \t>]*(`{3,}|~{3,})[^\n]*\n(?:.*\n)*?[ \t>]*\1[^\n]*$", text[b.start : b.end], re.M):
                 hidden.append((b.start + m.start(), b.start + m.end()))
-    chars = list(text)
-    for a, b in hidden:
-        for k in range(a, min(b, len(chars))):
-            if chars[k] != "\n":
-                chars[k] = "\x00"
-    return _links_in("".join(chars), 0, _definitions(text))
+    parts, at = [], 0
+    for a, b in sorted(hidden):
+        parts += [text[at:a], re.sub(r"[^\n]", "\0", text[max(a, at) : b])]
+        at = max(at, b)
+    return _links_in("".join([*parts, text[at:]]), definitions(text, found))
 
 
-def _links_in(text: str, base: int, defined: dict[str, str]) -> list[tuple[int, str]]:
+_BACKTICKS = re.compile(r"`+")
+_RAW_HTML = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_REFERENCE = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
+_SPECIAL = re.compile(r"[\\`<\[\]]")
+
+
+def _links_in(text: str, defined: dict[str, str]) -> list[tuple[int, str]]:
+    # of every length of a run of backticks, where such runs start: a span ends at the next of its own length
+    runs: dict[int, list[int]] = {}
+    for m in _BACKTICKS.finditer(text):
+        runs.setdefault(m.end() - m.start(), []).append(m.start())
+    comment_end = text.rfind("-->")
     out, i, opened = [], 0, []
-    while i < len(text):
+    while m := _SPECIAL.search(text, i):
+        i = m.start()
         c = text[i]
         if c == "\\":
             i += 2
         elif c == "`":
-            run = len(re.match(r"`+", text[i:])[0])
-            close = re.compile(rf"(?<!`)`{{{run}}}(?!`)").search(text, i + run)
-            i = close.end() if close else i + run
+            run = _BACKTICKS.match(text, i).end() - i
+            same = runs.get(run, [])
+            k = bisect.bisect_left(same, i + run)
+            i = same[k] + run if k < len(same) else i + run
         elif c == "<" and (m := _AUTOLINK.match(text, i)):
-            out.append((base + i, m[1] if ":" in m[1] else f"mailto:{m[1]}"))
+            out.append((i, m[1] if ":" in m[1] else f"mailto:{m[1]}"))
             i = m.end()
-        elif c == "<" and (m := re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S).match(text, i)):
+        elif c == "<" and not (text.startswith("<!--", i) and comment_end < i) and (m := _RAW_HTML.match(text, i)):
             i = m.end()
         elif c == "[":
             opened.append((i, i > 0 and text[i - 1] == "!"))
@@ -211,13 +225,13 @@ def _links_in(text: str, base: int, defined: dict[str, str]) -> list[tuple[int,
             target, end = None, i + 1
             if m := _INLINE.match(text, i + 1):
                 target, end = _unescaped(m[1]), m.end()
-            elif (m := re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(text, i + 1)) and _label(m[1] or label) in defined:
+            elif (m := _REFERENCE.match(text, i + 1)) and _label(m[1] or label) in defined:
                 target, end = defined[_label(m[1] or label)], m.end()
             elif not label.startswith("^") and _label(label) in defined:
                 target = defined[_label(label)]
             if target is not None:
                 if not image:
-                    out.append((base + at, target))
+                    out.append((at, target))
                     # links don't nest
                     opened = [(a, True) if not im else (a, im) for a, im in opened]
                 i = end
@@ -228,11 +242,12 @@ def _links_in(text: str, base: int, defined: dict[str, str]) -> list[tuple[int,
     return sorted(out)
 
 
-def footnotes(text: str) -> list[tuple[int, str]]:
+def footnotes(text: str, found: list[Block] | None = None) -> list[tuple[int, str]]:
     """(offset, label) of footnote definitions outside code."""
-    code = [(b.start, b.end) for b in blocks(text) if b.kind == "code"]
+    code = [(b.start, b.end) for b in (blocks(text) if found is None else found) if b.kind == "code"]
     out = []
     for at, line, _ in _lines(text):
-        if (m := _FOOTNOTE.match(line)) and not any(a <= at < b for a, b in code):
+        k = bisect.bisect_right(code, (at, len(text))) - 1
+        if (m := _FOOTNOTE.match(line)) and not (k >= 0 and at < code[k][1]):
             out.append((at + len(line) - len(line.lstrip(" ")), m[1]))
     return out

@@ -1,11 +1,15 @@
-"""What a concept, an index or a log should look like. Each rule speaks through Document.say."""
+"""What a concept, an index or a log should look like: tables of rules over mappings, and what stands between fields."""
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from loamdex.okf import markdown
-from loamdex.okf.document import Document, first_invalid, parse_document
+from loamdex.okf.document import Document, opened, parse_document
 from loamdex.okf.yamltree import Node, date_time, iso_date
 
 # Fixed values of the format.
@@ -14,8 +18,27 @@ STATUSES = ("draft", "stable", "deprecated")
 COMPUTATION = "Attested Computation"
 
 
-def _filled(text: str | None) -> bool:
-    return text is not None and text.strip() != ""
+@dataclass(frozen=True)
+class Rule:
+    """What a field's value must be. missing: where an absent field is said: nowhere, of the mapping, or without a place."""
+
+    field: str
+    code: str
+    section: str
+    holds: Callable[[Node], bool]
+    message: str
+    missing: str = "nowhere"
+    severity: str = "warning"
+
+    def judge(self, doc: Document, mapping: Node) -> None:
+        value = mapping.get(self.field)
+        if value is None and self.missing == "nowhere" or value is not None and self.holds(value):
+            return
+        doc.say(self.code, self.message, value or (mapping if self.missing == "mapping" else None), self.section, self.severity)
+
+
+def _written(text: str | None) -> bool:
+    return bool(text and text.strip())
 
 
 def actor(text: str) -> bool:
@@ -26,153 +49,179 @@ def actor(text: str) -> bool:
     return bool(left and mark and right)
 
 
-def _count(node: Node) -> bool:
+def _is_string(node: Node) -> bool:
+    return node.string is not None
+
+
+def _is_filled(node: Node) -> bool:
+    return _written(node.string)
+
+
+def _is_date(node: Node) -> bool:
+    return iso_date(node.date)
+
+
+def _is_time(node: Node) -> bool:
+    return date_time(node.date) is not None
+
+
+def _is_strings(node: Node) -> bool:
+    return node.kind == "sequence" and all(map(_is_string, node.items))
+
+
+def _is_receipt(node: Node) -> bool:
+    return node.kind == "sequence" and all(map(_is_filled, node.items))
+
+
+def _is_count(node: Node) -> bool:
     try:
         return node.kind in ("integer", "float") and float(node.value.replace("_", "")) >= 0
     except ValueError:
         return False
 
 
+def _is_window(node: Node) -> bool:
+    days = [node.when("from"), node.when("to")] if node.kind == "mapping" else [None]
+    return all(map(iso_date, days)) and days == sorted(days)
+
+
+def _names_actor(node: Node) -> bool:
+    """Of strings that are not blank only; another rule speaks of the rest."""
+    return not _written(node.string) or actor(node.string)
+
+
+def _is_resourceful(node: Node) -> bool:
+    return node.kind == "mapping" and _written(node.text("resource"))
+
+
+def _is_parameter(node: Node) -> bool:
+    required = node.get("required")
+    return _written(node.text("name")) and _written(node.text("type")) and required is not None and required.kind == "boolean"
+
+
+_WINDOW = Rule("usage_window", "OKF303", "5.1", _is_window, "usage_window runs from one date to another that is not before it")
+CONCEPT = (
+    Rule("type", "OKF105", "4.1", _is_filled, "type must be a string that is not blank", "unplaced", "error"),
+    Rule("status", "OKF320", "5.4", lambda n: n.string in STATUSES, f"status is one of {', '.join(STATUSES)}"),
+    Rule("stale_after", "OKF321", "5.5", _is_date, "stale_after is a date (YYYY-MM-DD)"),
+    Rule("tags", "OKF330", "4.1", _is_strings, "tags is a sequence of strings"),
+    Rule("generated", "OKF310", "5.2", lambda n: n.kind == "mapping", "generated is a mapping that names by"),
+    _WINDOW,
+)
+SOURCE = (
+    Rule("resource", "OKF301", "5.1", _is_filled, "a source needs a resource", "mapping"),
+    Rule("id", "OKF300", "5.1", _is_string, "a source's id is a string"),
+    Rule("title", "OKF300", "5.1", _is_string, "a source's title is a string"),
+    Rule("author", "OKF304", "5.1", _is_string, "a source's author is a string"),
+    Rule("author", "OKF314", "7", lambda n: n.string is None or actor(n.string), "a source's author is no actor (kind:name)"),
+    Rule("usage_count", "OKF304", "5.1", _is_count, "usage_count is a number of 0 or more"),
+    Rule("last_modified", "OKF304", "5.1", _is_date, "last_modified is a date (YYYY-MM-DD)"),
+    _WINDOW,
+)
+GENERATED = (
+    Rule("by", "OKF310", "5.2", _is_filled, "generated needs by, an actor", "mapping"),
+    Rule("by", "OKF314", "7", _names_actor, "generated.by is no actor (kind:name)"),
+    Rule("at", "OKF311", "5.2", _is_time, "generated.at is a time (RFC 3339)"),
+)
+VERIFIED = (Rule("by", "OKF314", "7", _names_actor, "verified.by is no actor (kind:name)"),)
+COMPUTED = (
+    Rule("runtime", "OKF350", "10.2", _is_filled, "a computation needs a runtime", "mapping"),
+    Rule("parameters", "OKF351", "10.2", lambda n: n.kind == "sequence", "parameters is a sequence"),
+    Rule("executor", "OKF353", "10.2", _is_resourceful, "executor is a mapping with a resource"),
+    Rule("attester", "OKF354", "10.2", _is_resourceful, "attester is a mapping with a resource"),
+)
+EXECUTOR = (Rule("receipt", "OKF353", "10.2", _is_receipt, "receipt is a sequence of strings that are not blank"),)
+
+
+def _apply(doc: Document, mapping: Node | None, rules: Iterable[Rule]) -> None:
+    if mapping is not None and mapping.kind == "mapping":
+        for rule in rules:
+            rule.judge(doc, mapping)
+
+
+def _entries(doc: Document, node: Node | None, code: str, section: str, lone: str | None = None) -> list[Node]:
+    """Mappings of a sequence, or one mapping by itself, of which lone is said."""
+    if node is None:
+        return []
+    several = {"mapping": [node], "sequence": node.items}.get(node.kind)
+    if several is None:
+        doc.say(code, "expected a sequence of mappings", node, section)
+        return []
+    if node.kind == "mapping" and lone:
+        doc.say(code, lone, node, section)
+    for other in (i for i in several if i.kind != "mapping"):
+        doc.say(code, "every entry is a mapping", other, section)
+    return [i for i in several if i.kind == "mapping"]
+
+
 def check_concept(doc: Document) -> None:
     """All rules that need nothing but the concept."""
-    if doc.metadata is None:
+    root, body = doc.metadata, doc.body or ""
+    if root is None:
         return
-    root = doc.metadata
-    if not _filled(root.text("type")):
-        doc.say("OKF105", "type must be a string that is not blank", root.get("type"), "4.1", "error")
-    _life_cycle(doc, root)
-    identifiers = _sources(doc, root)
-    _window(doc, root.get("usage_window"))
-    written, checked = _generated(doc, root), _verified(doc, root)
-    if written is not None and checked is not None and checked < written:
-        doc.say("OKF315", "the last verification is older than generated.at", root.get("verified"), "5.2")
-    for offset, label in markdown.footnotes(doc.body or ""):
-        if label not in identifiers:
+    found = markdown.blocks(body)
+    _apply(doc, root, CONCEPT)
+    if root.kind != "mapping":
+        CONCEPT[0].judge(doc, root)
+    sources = _entries(doc, root.get("sources"), "OKF300", "5.1", "expected a sequence; the mapping counts as its one entry")
+    for source in sources:
+        _apply(doc, source, SOURCE)
+    known = _source_ids(doc, sources)
+    for offset, label in markdown.footnotes(body, found):
+        if label not in known:
             doc.say("OKF360", f"footnote {label!r} has no source of that id", doc.place(offset), "5.1")
+    _provenance(doc, root)
+    _outdated(doc, root, found)
     if root.text("type") == COMPUTATION:
-        _computation(doc, root)
+        _computation(doc, root, found)
+
+
+def _source_ids(doc: Document, sources: list[Node]) -> Counter[str]:
+    used: Counter[str] = Counter()
+    for own in (s.get("id") for s in sources):
+        name = (own.string or "").strip() if own else ""
+        if name and used[name]:
+            doc.say("OKF302", f"source id {name!r} is used twice", own, "5.1")
+        used.update([name] if name else [])
+    return used
+
+
+def _provenance(doc: Document, root: Node) -> None:
+    """generated and verified: who, when, and that no verification is older than what it verifies."""
+    made = root.get("generated")
+    _apply(doc, made, GENERATED)
+    events = _entries(doc, root.get("verified"), "OKF312", "5.2")
+    whole = [e for e in events if _written(e.text("by")) and date_time(e.when("at")) is not None]
+    for event in events:
+        if event in whole:
+            _apply(doc, event, VERIFIED)
+        else:
+            doc.say("OKF313", "a verification needs by and at", event, "5.2")
+    written = date_time(made.when("at")) if made is not None else None
+    latest = max((date_time(e.when("at")) for e in whole), default=None)
+    if written is not None and latest is not None and latest < written:
+        doc.say("OKF315", "the last verification is older than generated.at", root.get("verified"), "5.2")
 
 
-def _life_cycle(doc: Document, root: Node) -> None:
-    if (node := root.get("status")) and node.string not in STATUSES:
-        doc.say("OKF320", f"status is one of {', '.join(STATUSES)}", node, "5.4")
-    if (node := root.get("stale_after")) and not iso_date(node.date):
-        doc.say("OKF321", "stale_after is a date (YYYY-MM-DD)", node, "5.5")
-    if (node := root.get("tags")) and not (node.kind == "sequence" and all(i.string is not None for i in node.items)):
-        doc.say("OKF330", "tags is a sequence of strings", node, "4.1")
+def _outdated(doc: Document, root: Node, found: list[markdown.Block]) -> None:
     if (node := root.get("timestamp")) and root.get("generated") is None:
         doc.say("OKF340", "timestamp is outdated; it stands in for generated.at", node, "13.1")
-    for block in markdown.blocks(doc.body or ""):
-        if block.kind == "heading" and block.level == 1 and markdown.plain(block.text).strip() == "Citations":
-            doc.say("OKF341", "a Citations section is outdated; it stands in for sources", doc.place(block.start), "13.1")
-            break
-
-
-def _entries(doc: Document, node: Node, code: str, section: str, lone: bool) -> list[Node]:
-    """Mappings of a sequence, or one mapping by itself; lone says that a lone mapping is worth a word."""
-    if node.kind == "mapping":
-        if lone:
-            doc.say(code, "expected a sequence; the mapping counts as its one entry", node, section)
-        return [node]
-    if node.kind != "sequence":
-        doc.say(code, "expected a sequence of mappings", node, section)
-        return []
-    for item in node.items:
-        if item.kind != "mapping":
-            doc.say(code, "every entry is a mapping", item, section)
-    return [i for i in node.items if i.kind == "mapping"]
-
-
-def _sources(doc: Document, root: Node) -> set[str]:
-    """The ids of the sources."""
-    found: set[str] = set()
-    if (node := root.get("sources")) is None:
-        return found
-    for source in _entries(doc, node, "OKF300", "5.1", lone=True):
-        if not _filled(source.text("resource")):
-            doc.say("OKF301", "a source needs a resource", source.get("resource") or source, "5.1")
-        if own := source.get("id"):
-            if own.string is None:
-                doc.say("OKF300", "a source's id is a string", own, "5.1")
-            elif (name := own.string.strip()) in found:
-                doc.say("OKF302", f"source id {name!r} is used twice", own, "5.1")
-            elif name:
-                found.add(name)
-        if (title := source.get("title")) and title.string is None:
-            doc.say("OKF300", "a source's title is a string", title, "5.1")
-        if author := source.get("author"):
-            if author.string is None:
-                doc.say("OKF304", "a source's author is a string", author, "5.1")
-            elif not actor(author.string):
-                doc.say("OKF314", "a source's author is no actor (kind:name)", author, "7")
-        if (count := source.get("usage_count")) and not _count(count):
-            doc.say("OKF304", "usage_count is a number of 0 or more", count, "5.1")
-        if (modified := source.get("last_modified")) and not iso_date(modified.date):
-            doc.say("OKF304", "last_modified is a date (YYYY-MM-DD)", modified, "5.1")
-        _window(doc, source.get("usage_window"))
-    return found
-
-
-def _window(doc: Document, node: Node | None) -> None:
-    if node is None:
-        return
-    first, last = node.when("from"), node.when("to")
-    if node.kind != "mapping" or not iso_date(first) or not iso_date(last) or first > last:
-        doc.say("OKF303", "usage_window runs from one date to another that is not before it", node, "5.1")
-
-
-def _generated(doc: Document, root: Node) -> int | None:
-    if (node := root.get("generated")) is None:
-        return None
-    if node.kind != "mapping":
-        doc.say("OKF310", "generated is a mapping that names by", node, "5.2")
-        return None
-    if not _filled(by := node.text("by")):
-        doc.say("OKF310", "generated needs by, an actor", node.get("by") or node, "5.2")
-    elif not actor(by):
-        doc.say("OKF314", "generated.by is no actor (kind:name)", node.get("by"), "7")
-    at = date_time(node.when("at"))
-    if node.get("at") is not None and at is None:
-        doc.say("OKF311", "generated.at is a time (RFC 3339)", node.get("at"), "5.2")
-    return at
-
-
-def _verified(doc: Document, root: Node) -> int | None:
-    """The latest valid verification."""
-    if (node := root.get("verified")) is None:
-        return None
-    times = []
-    for event in _entries(doc, node, "OKF312", "5.2", lone=False):
-        by, at = event.text("by"), date_time(event.when("at"))
-        if not _filled(by) or at is None:
-            doc.say("OKF313", "a verification needs by and at", event, "5.2")
-            continue
-        times.append(at)
-        if not actor(by):
-            doc.say("OKF314", "verified.by is no actor (kind:name)", event.get("by"), "7")
-    return max(times, default=None)
-
-
-def _computation(doc: Document, root: Node) -> None:
-    if not _filled(root.text("runtime")):
-        doc.say("OKF350", "a computation needs a runtime", root.get("runtime") or root, "10.2")
-    if node := root.get("parameters"):
-        if node.kind != "sequence":
-            doc.say("OKF351", "parameters is a sequence", node, "10.2")
-        for item in node.items if node.kind == "sequence" else ():
-            required = item.get("required")
-            if not (_filled(item.text("name")) and _filled(item.text("type")) and required is not None and required.kind == "boolean"):
-                doc.say("OKF351", "a parameter has a name, a type and a boolean required", item, "10.2")
-    inline = any(b.kind == "code" and b.section == "Computation" for b in markdown.blocks(doc.body or ""))
-    if _filled(root.text("computation")) == inline:
+    cited = [b for b in found if b.kind == "heading" and b.level == 1 and markdown.plain(b.text).strip() == "Citations"]
+    for block in cited[:1]:
+        doc.say("OKF341", "a Citations section is outdated; it stands in for sources", doc.place(block.start), "13.1")
+
+
+def _computation(doc: Document, root: Node, found: list[markdown.Block]) -> None:
+    _apply(doc, root, COMPUTED)
+    parameters = root.get("parameters")
+    for item in parameters.items if parameters and parameters.kind == "sequence" else ():
+        if not _is_parameter(item):
+            doc.say("OKF351", "a parameter has a name, a type and a boolean required", item, "10.2")
+    inline = any(b.kind == "code" and b.section == "Computation" for b in found)
+    if _written(root.text("computation")) == inline:
         doc.say("OKF352", "a computation is either a file or a code block under its heading", root.get("computation") or root, "10.3")
-    for key, code in (("executor", "OKF353"), ("attester", "OKF354")):
-        if (node := root.get(key)) is None:
-            continue
-        if node.kind != "mapping" or not _filled(node.text("resource")):
-            doc.say(code, f"{key} is a mapping with a resource", node, "10.2")
-        elif key == "executor" and (receipt := node.get("receipt")) is not None and not (receipt.kind == "sequence" and all(_filled(i.string) for i in receipt.items)):
-            doc.say(code, "receipt is a sequence of strings that are not blank", receipt, "10.2")
+    if (executor := root.get("executor")) and _is_resourceful(executor):
+        _apply(doc, executor, EXECUTOR)
 
 
 def resources(doc: Document) -> list[tuple[str, str, Node]]:
@@ -186,12 +235,9 @@ def resources(doc: Document) -> list[tuple[str, str, Node]]:
 
 
 def check_log(path: str, raw: bytes) -> Document:
-    doc = Document(path, raw)
-    if (bad := first_invalid(raw)) is not None:
-        doc.say("OKF100", "the log is not UTF-8", bad, "4.1", "error")
-        return doc
-    doc.body = raw.decode()
-    for block in markdown.blocks(doc.body):
+    doc = opened(path, raw, "log")
+    doc.body = doc.text
+    for block in markdown.blocks(doc.body or ""):
         if block.kind == "heading" and block.level == 2 and not iso_date(markdown.plain(block.text).strip()):
             doc.say("OKF203", "a second-level heading of a log is a date (YYYY-MM-DD)", doc.place(block.start), "4.1", "error")
     return doc
@@ -199,24 +245,20 @@ def check_log(path: str, raw: bytes) -> Document:
 
 def check_index(path: str, raw: bytes) -> tuple[Document, str | None]:
     """Findings of an index, and the version that a root index declares."""
-    doc, declared = Document(path, raw), None
-    if (bad := first_invalid(raw)) is not None:
-        doc.say("OKF100", "the index is not UTF-8", bad, "4.1", "error")
+    doc, declared = opened(path, raw, "index"), None
+    if doc.text is None:
         return doc, None
-    bare = raw.removeprefix(b"\xef\xbb\xbf")
-    if bare.split(b"\n", 1)[0].decode().strip() == "---":
+    doc.body = doc.text
+    if re.match(r"﻿?[^\S\n]*---[^\S\n]*(?:\n|\Z)", doc.text):
         parsed = parse_document(path, raw)
         doc.body, doc.body_at = parsed.body, parsed.body_at
-        if path != "index.md":
-            doc.say("OKF200", "only the root index has metadata", (1, 1), "4.1", "error")
-        else:
+        if path == "index.md":
             doc.findings += parsed.findings
             declared = _version(doc, parsed.metadata)
-        if doc.body is None:
-            return doc, declared
-    else:
-        doc.body = raw.decode()
-    _sections(doc)
+        else:
+            doc.say("OKF200", "only the root index has metadata", (1, 1), "4.1", "error")
+    if doc.body is not None:
+        _sections(doc, doc.body)
     return doc, declared
 
 
@@ -232,25 +274,22 @@ def _version(doc: Document, root: Node | None) -> str | None:
     return value
 
 
-def _sections(doc: Document) -> None:
+def _sections(doc: Document, body: str) -> None:
     """Headings, each with lists whose entries begin with a link, and nothing else."""
-    body, wrong, headed, listed = doc.body or "", None, False, False
-    loose: list[int] = []
-    for block in markdown.blocks(body):
-        if block.kind == "definition":
-            continue
-        if block.kind == "heading":
-            if headed and not listed and wrong is None:
-                wrong = block.start
-            headed, listed = True, False
-        elif block.kind == "list" and headed:
-            listed = True
-        elif wrong is None:
-            wrong = block.start
-        loose += [at for at, first, _ in block.items or () if not markdown.starts_with_link(first, body)]
-    if wrong is None and not (headed and listed):
-        wrong = len(body)
-    for at in loose:
-        doc.say("OKF202", "an entry of an index begins with a link", doc.place(at), "4.1", "error")
-    if wrong is not None:
-        doc.say("OKF201", "an index is made of headings with lists of links", doc.place(wrong), "4.1", "error")
+    found = [b for b in markdown.blocks(body) if b.kind != "definition"]
+    # blocks by the heading above them; number 0 stands before the first
+    number = itertools.accumulate(int(b.kind == "heading") for b in found)
+    sections = [[b for _, b in group] for _, group in itertools.groupby(zip(number, found, strict=True), key=lambda x: x[0])]
+    ends = [s[0].start for s in sections[1:]] + [len(body)]
+    faults = [] if sections else [0]
+    for blocks, end in zip(sections, ends, strict=False):
+        headed = blocks[0].kind == "heading"
+        faults += [b.start for b in blocks[headed:] if not (headed and b.kind == "list")]
+        faults += [end] if not any(b.kind == "list" for b in blocks) else []
+    entries = [item for b in found for item in b.items or ()]
+    defined = markdown.definitions(body) if entries else {}
+    for at, first, _ in entries:
+        if not markdown.starts_with_link(first, defined):
+            doc.say("OKF202", "an entry of an index begins with a link", doc.place(at), "4.1", "error")
+    if faults:
+        doc.say("OKF201", "an index is made of headings with lists of links", doc.place(min(faults)), "4.1", "error")
