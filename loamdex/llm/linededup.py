@@ -2,9 +2,10 @@
 
 Lines are stripped and hashed; blank lines don't count. Hashes of ``gram`` lines are winnowed: the least of every
 ``run - gram + 1`` neighbours is a fingerprint, so any ``run`` lines that stand in two places have one in common.
-Fingerprints are joined, matches are extended to both sides as far as lines agree, and of a run of ``run`` or more
-lines that stands in several places all but the first are deleted. On request one or two lines are a run as well
-where they hold enough words.
+Fingerprints are joined, and a match is extended to both sides: as far as the windows around the fingerprint agree, and
+from one fingerprint to the next while both texts go on alike (``repeats.parse``). The lines of a match are compared as
+text, and of a run of ``run`` or more lines that stands in several places all but the first are deleted. On request one
+or two lines are a run as well where they hold enough words.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.repeats import factors
-from loamdex.llm.substring import covered, marked
+from loamdex.llm.repeats import BITS, HOT, Units, dealt, factors
+from loamdex.llm.substring import covered
 
 RUN, GRAM = 3, 2
+_ADDED = ("lines_in", "lines_removed", "kept_text")
 _BLANK = b" \t\n\r\x0b\x0c"
 
 
@@ -27,6 +29,9 @@ def split_lines(text: str | None) -> list[bytes]:
     return [s for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if (s := x.strip(_BLANK))]
 
 
+LINES = Units(split_lines, "\n")
+
+
 def long_runs(text: str | None, words: int) -> list[tuple[bytes, int, int]]:
     """(joined lines, first line, lines) of every one or two lines in a row that hold this many words."""
     lines = split_lines(text)
@@ -74,7 +79,7 @@ def _deleted(words: int | None):
                 names = [c for c in batch.schema.names if c not in ("text", "spans", "runs")]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in names), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                    names=[*names, "lines_in", "lines_removed", "kept_text"],
+                    names=[*names, "n0", "n1", "kept"],
                 )
 
     return run
@@ -84,31 +89,33 @@ def _spans(found: DataFrame, name: str) -> DataFrame:
     return found.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias(name))
 
 
-def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
-    """docs with kept_text, lines_in and lines_removed: lines of a run of ``run`` or more that stood before are deleted.
+def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = None, hot: int = HOT, bits: int = BITS) -> DataFrame:
+    """docs with lines_in, lines_removed and kept_text: lines of a run of ``run`` or more that stood before are deleted.
 
     With ``words``, so are one or two lines that stood before and hold this many words or more.
 
-    docs: doc_id, text, any other columns, which are kept; of these, doc, mark and spans would clash and are refused by
-    name only within this call, as columns are renamed around it. A run stood before if it starts in a row of smaller
-    doc_id, or earlier in the same text. A null text stays null and has no lines. A null doc_id comes last. Repeated rows
-    (equal doc_id and text) are judged alike: none is before the other, but both are after earlier rows. Only whole
-    lines go; blank lines stay, unless every line is gone, which leaves the empty text. No rows give no rows.
+    docs: doc_id, text and any other columns, which are kept, whatever their names; those called lines_in, lines_removed
+    or kept_text give way to the new ones. A run stood before if it starts in a row of smaller doc_id, or earlier in the
+    same text. A null text stays null and has no lines. A null doc_id comes last. Repeated rows (equal doc_id and text)
+    are judged alike: none is before the other, but both are after earlier rows. Only whole lines go; blank lines stay,
+    unless every line is gone, which leaves the empty text. No rows give no rows. hot, bits: see factors.
     """
-    keep = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    safe = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()], F.col("text").cast("string").alias("text"))
-    ids = marked(docs)
-    spans = _spans(factors(ids, split_lines, run, gram, within=True), "spans")
-    doc_id = F.col(keep["doc_id"]).cast("long")
-    safe = safe.withColumns({"doc": F.coalesce(doc_id, F.lit((1 << 63) - 1)), "mark": F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 31))})
-    both = safe.join(spans, ["doc", "mark"], "left")
+    keep = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("text", *_ADDED)}
+    safe = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()], F.col("text").cast("string").alias("raw"))
+    doc = F.coalesce(F.col(keep["doc_id"]).cast("long"), F.lit((1 << 63) - 1))
+    rows = safe.withColumns({"text": F.coalesce("raw", F.lit("")), "doc": doc}).withColumn("mark", F.xxhash64("text"))
+    rows = rows.select(*keep.values(), "text", F.col("raw").isNull().alias("absent"), "doc", "mark")
+    both = dealt(rows).join(_spans(factors(rows, LINES, run, gram, True, hot, bits), "spans"), ["doc", "mark"], "left")
     if words is None:
         both = both.withColumn("runs", F.lit(None).cast("array<struct<start:long,end:long>>"))
     else:
-        both = both.join(_spans(factors(ids, lambda t: [x[0] for x in long_runs(t, words)], 1, 1, within=True), "runs"), ["doc", "mark"], "left")
+        # one or two lines are a unit; none holds a blank line, so a blank line parts them
+        long = Units(lambda text: [x[0] for x in long_runs(text, words)], "\n\n")
+        both = both.join(_spans(factors(rows, long, 1, 1, True, hot, bits), "runs"), ["doc", "mark"], "left")
+    both = both.withColumn("text", F.when(~F.col("absent"), F.col("text")))
     kinds = [f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in keep.items()]
-    out = both.select(*keep.values(), "text", "spans", "runs").mapInArrow(_deleted(words), ", ".join([*kinds, "lines_in long", "lines_removed long", "kept_text string"]))
-    return out.select(*[F.col(k).alias(c) for c, k in keep.items()], "lines_in", "lines_removed", "kept_text")
+    out = both.select(*keep.values(), "text", "spans", "runs").mapInArrow(_deleted(words), ", ".join([*kinds, "n0 long", "n1 long", "kept string"]))
+    return out.select(*[F.col(k).alias(c) for c, k in keep.items()], *[F.col(k).alias(c) for k, c in zip(("n0", "n1", "kept"), _ADDED, strict=True)])
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loamdex.llm import queries
 from loamdex.llm.linededup import delete_repeats, digest
@@ -42,7 +43,7 @@ def test_words(odd, small, none):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_texts_with_few_words(spark, seed, monkeypatch):
+def test_random_texts_with_few_words(spark, seed):
     """Few words make many overlapping, periodic and nested repeats; a low limit sends some anchors the other way."""
     rng = random.Random(seed)
     pool = [" ".join(rng.choices("ab", k=rng.randint(4, 30))) for _ in range(6)]
@@ -52,25 +53,25 @@ def test_random_texts_with_few_words(spark, seed, monkeypatch):
         rows.append((rng.choice([i, i, i, None]), text))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(remove_repeats(docs, window=9, gram=3)) == removed(rows, 9)
-    import loamdex.llm.repeats as m
-
-    monkeypatch.setattr(m.factors, "__defaults__", (6,))
-    assert rows_of(remove_repeats(docs, window=9, gram=3)) == removed(rows, 9)
+    assert rows_of(remove_repeats(docs, window=9, gram=3, hot=6)) == removed(rows, 9)
 
 
 @pytest.mark.parametrize("hot", [1, 131072])
-def test_windows_with_half_a_hash_in_common_differ(spark, hot, monkeypatch):
-    """Windows of 50 words with one anchor, whose hashes agree in 32 bits of 64, in the path of each kind of anchor."""
-    import loamdex.llm.repeats as m
-
-    head = [f"phrase{i}" for i in range(49)]
-    one, other = ([*head, w] for w in ("w345", "w152222"))
-    (a, _, x), (b, _, y) = (m.anchors(m.hashes([w.encode() for w in t]), 50, 8) for t in (one, other))
-    assert a.tolist() == b.tolist() and int(x[0]) != int(y[0])
-    monkeypatch.setattr(m.factors, "__defaults__", (hot,))
-    rows = [(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(other))]
+def test_colliding_hashes_remove_nothing(spark, hot):
+    """Texts that share 8-word phrases, hashes of 2 bits: what goes has stood before, and no word else goes."""
+    rng = random.Random(7)
+    head = [f"phrase{i}" for i in range(30)]
+    rows = [(i, " ".join([*(f"{rng.random()}" for _ in range(25)), *head, *(f"{rng.random()}" for _ in range(25))])) for i in range(40)]
+    rows += [(40 + i, f"{rng.random()} {rows[rng.randrange(40)][1]} {rng.random()}") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(remove_repeats(docs)) == removed(rows, 50)
+    want = {r.split(",")[0]: r for r in removed(rows, 50)}
+    assert rows_of(remove_repeats(docs, hot=hot)) == sorted(want.values())
+    got = {str(tuple(r)[:4]).split(",")[0]: r for r in remove_repeats(docs, hot=hot, bits=2).collect()}
+    assert all(got[k].n_removed <= int(w.split(",")[2]) for k, w in want.items())
+    assert all(got[f"({i}"].n_removed == 0 for i in range(40))
+    lines = spark.createDataFrame([(i, t.replace(" ", "\n")) for i, t in rows], "doc_id long, text string")
+    left = {r.doc_id: r for r in delete_repeats(lines, run=50, gram=8, hot=hot, bits=2).collect()}
+    assert all(left[i].lines_removed == 0 for i in range(40))
 
 
 def test_factors_point_to_what_they_repeat(small):
@@ -80,6 +81,7 @@ def test_factors_point_to_what_they_repeat(small):
     assert found
     for f in found:
         assert f.of_doc < f.doc and f.end - f.start >= 50
+        assert f.of_doc in texts
         assert texts[f.doc][f.start : f.end] == texts[f.of_doc][f.of_start : f.of_start + f.end - f.start]
 
 
@@ -100,6 +102,8 @@ def test_lines(spark, tmp_path, odd, none):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(queries.OP9_SQL).fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in digest(delete_repeats(docs)).collect())
+    clash = docs.withColumns({c: F.lit("x") for c in ("lines_in", "lines_removed", "kept_text", "doc", "mark", "spans", "runs", "c0", "n0", "raw")})
+    assert sorted(map(str, digest(delete_repeats(clash)).collect())) == sorted(map(str, digest(delete_repeats(docs)).collect()))
     kept = delete_repeats(odd[0])
     assert set(odd[0].columns) - {"text"} < set(kept.columns) and kept.count() == len(odd[1])
     assert delete_repeats(none).collect() == []
