@@ -71,7 +71,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamdex.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shard")
+    found = mix(_table(spark, sf_dir, "documents"))
+    shards = F.array_join(F.transform("passes", lambda p: F.concat_ws(":", p["shard"].cast("string"), p["words"].cast("string"))), ",")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "part", shards.alias("shards"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
