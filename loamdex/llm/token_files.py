@@ -49,19 +49,32 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # tokens beside the model, such as an end of text, are found before a text is split into pieces
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        #: Whether a text can be cut at them as it stands; else the library takes texts that may hold one.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.between = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})") if added else None
         self.pieces = regex.compile(_CONTRACTIONS + _PIECES).findall
         # in texts of these characters alone, the standard library's classes are the rule's, and faster
         self.latin = re.compile("[\t-\r -^`-~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*").fullmatch
         fast = r" ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"
         self.fast, self.fast_contracted = re.compile(fast).findall, re.compile(_CONTRACTIONS + fast).findall
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.added)
         # the byte-level rule: printable bytes stand for themselves, the others follow from 256 on
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in same]
         self.printable = {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     def split(self, text: str) -> list[str]:
+        """Pieces, and added tokens, which ``known`` holds from the start."""
+        if self.between is not None and self.between.search(text):
+            parts = self.between.split(text)
+            return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self._split(part))]
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
         if self.latin(text):
             # contractions can only matter where there is an apostrophe
             return (self.fast_contracted if "'" in text else self.fast)(text)
@@ -78,6 +91,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.plain and any(map(self.between.search, texts)):
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         known = self.known
         pieces = [self.split(t) for t in texts]
         ids = [list(map(known.get, p)) for p in pieces]
@@ -123,7 +138,7 @@ def _encode(path: str, end: bytes):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, rows_per_shard: int = 4096) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, rows_per_shard: int = 4096, stripe_bytes: int = 16 << 20) -> None:
     """Write the ids of every document, each followed by end_id, as ORC files in ascending doc_id order.
 
     docs: doc_id, text; other columns are ignored. A null text is the empty text (only end_id). Rows with a null
@@ -140,7 +155,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     (
         ids.write.format("orc")
         .option("compression", "zstd")
-        .option("orc.stripe.size", 16 << 20)
+        .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", 1000)
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", 0.01)
