@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.common import give_back
-from loamdex.llm.lattice import SPACE, PieceTable, backward, by_length, forward, vocabulary
+from loamdex.llm.lattice import SPACE, PieceTable, backward, by_length, forward, log_backward, log_forward, of_like_length, vocabulary
 
-#: A letter run longer than this is scored in stretches of it.
+#: Sums of longer words are held as logarithms; they would underflow otherwise. Such words are scored anew in every batch.
 LONGEST = 32
 UNKNOWN = 1e-7
 REMEMBERED = 300_000
@@ -35,22 +35,15 @@ def has_letter(words: list[str]) -> bool:
     return any(c.isalpha() for w in words for c in w)
 
 
-def _stretches(word: str) -> list[str]:
-    marked = SPACE + word
-    return [marked] if len(marked) <= LONGEST else [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
-
-
 def log_marginals(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language, (words, languages)."""
-    parts, owner = [], []
-    for k, word in enumerate(words):
-        cut = _stretches(word)
-        parts += cut
-        owner += [k] * len(cut)
+    """Log probability of each word in each language, (words, languages), summed over all its segmentations."""
     out = np.zeros((len(words), p.shape[1]))
-    owners = np.array(owner, dtype=np.int64)
-    for at, codes in by_length(parts):
-        np.add.at(out, owners[at], np.log(np.maximum(forward(table.arcs(codes), p)[-1], 1e-300)))
+    long = np.array([len(w) >= LONGEST for w in words], dtype=bool)
+    few, many = np.flatnonzero(~long), np.flatnonzero(long)
+    for at, codes in by_length([SPACE + words[i] for i in few.tolist()]):
+        out[few[at]] = np.log(forward(table.arcs(codes), p)[-1])
+    for at, codes, lengths in of_like_length([SPACE + words[i] for i in many.tolist()]):
+        out[many[at]] = log_forward(codes, lengths, table, p)
     return out
 
 
@@ -72,27 +65,34 @@ def fit(counts: dict[str, dict[str, int]], docs: dict[str, int], rounds: int = 3
     p[:n] = (start / start.sum())[:, None]
     p[n + 1] = UNKNOWN
     words = sorted({w for c in counts.values() for w in c})
-    parts, owner = [], []
-    for i, word in enumerate(words):
-        cut = _stretches(word)
-        parts += cut
-        owner += [i] * len(cut)
     weight = np.array([[counts[c].get(w, 0) for c in languages] for w in words], dtype=np.float64).reshape(len(words), k)
-    owners = np.array(owner, dtype=np.int64)
-    for _ in range(rounds):
+    long = np.array([len(w) >= LONGEST for w in words], dtype=bool)
+    few, many = np.flatnonzero(~long), np.flatnonzero(long)
+    for _ in range(rounds if words else 0):
         expected = np.zeros((n + 2, k))
-        for at, codes in by_length(parts):
+
+        def count(piece: np.ndarray, use: np.ndarray, expected: np.ndarray = expected) -> None:
+            for c in range(k):
+                expected[:, c] += np.bincount(piece, weights=use[:, c], minlength=n + 2)
+
+        for at, codes in by_length([SPACE + words[i] for i in few.tolist()]):
             arcs = table.arcs(codes)
             a, b = forward(arcs, p), backward(arcs, p)
-            scale = weight[owners[at]] / np.maximum(a[-1], 1e-300)
+            scale = weight[few[at]] / a[-1]
             for length, found in enumerate(arcs, 1):
                 for i in range(found.shape[1]):
                     piece = found[:, i]
                     hit = np.flatnonzero(piece < n)
                     if len(hit):
-                        use = a[i][hit] * p[piece[hit]] * b[i + length][hit] * scale[hit]
-                        for c in range(k):
-                            expected[:, c] += np.bincount(piece[hit], weights=use[:, c], minlength=n + 2)
+                        count(piece[hit], a[i][hit] * p[piece[hit]] * b[i + length][hit] * scale[hit])
+        for i in many.tolist():
+            codes = np.frombuffer((SPACE + words[i]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[None, :]
+            arcs = table.arcs(codes)
+            a, b = log_forward(codes, np.array([codes.shape[1]]), table, p, every=True)[:, 0], log_backward(arcs, p, table.longest)[:, 0]
+            for length, found in enumerate(arcs, 1):
+                at = np.flatnonzero(found[0] < n)
+                piece = found[0][at]
+                count(piece, np.exp(a[at] + b[at + length] - a[-1]) * p[piece] * weight[i])
         p[:n] = (expected[:n] + smooth * n * p[:n].mean(axis=1, keepdims=True)) / (expected[:n].sum(axis=0) + smooth * n)
     total = np.array([docs[c] for c in languages], dtype=np.float64)
     return Model(languages, np.log(total / total.sum()) if k else total, p)
@@ -106,14 +106,17 @@ class Scorer:
         self.rows = np.zeros((1 << 16, len(model.languages)), dtype=np.float32)
         self.known: dict[str, int] = {}
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def score(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
+        """Language, None where there is no letter or nothing was learned, and its posterior."""
         model, split = self.model, [words_of(t or "") for t in texts]
         if not model.languages:
-            return [("und", 0.0)] * len(texts)
+            return [(None, 0.0)] * len(texts)
         fresh: set[str] = set()
         for words in split:
             fresh.update(words)
-        new = list(fresh.difference(self.known))
+        long = [w for w in fresh if len(w) >= LONGEST]
+        whole = dict(zip(long, log_marginals(long, self.table, model.p), strict=True))
+        new = list(fresh.difference(self.known, long))
         at, need = len(self.known), len(self.known) + len(new)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((need, self.rows.shape[1]), dtype=np.float32)])
@@ -123,9 +126,15 @@ class Scorer:
         out = []
         for words in split:
             if not has_letter(words):
-                out.append(("und", 0.0))
+                out.append((None, 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64) + model.priors
+            total = model.priors.copy()
+            if whole:
+                for w in words:
+                    if len(w) >= LONGEST:
+                        total += whole[w]
+                words = [w for w in words if len(w) < LONGEST]
+            total += self.rows[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             out.append((model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         if need > REMEMBERED:
@@ -147,8 +156,8 @@ def _predict(shared):
                 found = scorer.score(batch.column("text").to_pylist())
                 names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                    names=[*names, "lang_pred", "score"],
+                    [*(batch.column(c) for c in names), pa.array(["und" if x is None else x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x is not None for x, _ in found])],
+                    names=[*names, "lang_pred", "score", "answered"],
                 )
         give_back()
 
@@ -187,17 +196,17 @@ def train(labelled: DataFrame, docs_per_language: int = 500, seed: int = 7) -> M
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """keep, lang_pred and score of every row of docs; only its text is looked at.
+    """keep, lang_pred, score and answered of every row of docs; only its text is looked at.
 
-    lang_pred is one of the model's languages, or und with score 0 if the text is null, empty or has no letter (or if
-    nothing was learned). score is the posterior of lang_pred, 0 to 1; ties go to the language first in order.
+    lang_pred is one of the model's languages, or und with score 0 and not answered if the text is null, empty or has no
+    letter (or if nothing was learned). score is the posterior of lang_pred, 0 to 1; ties go to the language first in order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages, a fixed size
     names = {c: f"c{i}" for i, c in enumerate(keep)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], F.col("text").cast("string").alias("text"))
     kinds = [f"{names[c]} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    out = rows.mapInArrow(_predict(shared), ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.select(*[F.col(k).alias(c) for c, k in names.items()], "lang_pred", "score")
+    out = rows.mapInArrow(_predict(shared), ", ".join([*kinds, "lang_pred string", "score double", "answered boolean"]))
+    return out.select(*[F.col(k).alias(c) for c, k in names.items()], "lang_pred", "score", "answered")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -133,3 +133,68 @@ def backward(arcs: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
                 total[at] += out[length - 1][at] * p[piece[at]]
         out.insert(0, total)
     return out
+
+
+def log_forward(codes: np.ndarray, lengths: np.ndarray, table: PieceTable, p: np.ndarray, chunk: int = 4096, every: bool = False) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of words of any length, (m, columns of p).
+
+    codes: (m, n), words of which those shorter than n are filled up; lengths: theirs. The sums up to the last places,
+    as many as the longest piece is long, are held relative to the last one's, whose logarithm is carried on, so that
+    nothing underflows; arcs are looked up for ``chunk`` places at a time. every: sums up to every place, (n + 1, m, columns).
+    """
+    m, n = codes.shape
+    wide, k = table.longest, p.shape[1]
+    held, log = np.zeros((wide, m, k)), np.zeros((m, k))
+    held[0] = 1.0
+    out, kept = np.zeros((m, k)), [log]
+    for at in range(0, n, chunk):
+        first = max(0, at - wide + 1)
+        part = codes[:, first : at + chunk]
+        ends = np.full((wide, *part.shape), table.size, dtype=np.int32)
+        for length, found in enumerate(table.arcs(part), 1):
+            ends[length - 1, :, length - 1 :] = found
+        for j in range(at, min(n, at + chunk)):
+            total = np.einsum("lmk,lmk->mk", held, p[ends[:, :, j - first]])
+            held[1:] = held[:-1] / total
+            held[0] = 1.0
+            log = log + np.log(total)
+            if every:
+                kept.append(log)
+            done = lengths == j + 1
+            out[done] = log[done]
+    return np.array(kept) if every else out
+
+
+def log_backward(arcs: list[np.ndarray], p: np.ndarray, wide: int) -> np.ndarray:
+    """Logarithms of the sums over all segmentations from each place on, (n + 1, m, columns of p)."""
+    m, n = arcs[0].shape
+    starts = np.full((wide, m, n), len(p) - 2, dtype=np.int32)
+    for length, found in enumerate(arcs, 1):
+        starts[length - 1, :, : found.shape[1]] = found
+    held, log = np.zeros((wide, m, p.shape[1])), np.zeros((m, p.shape[1]))
+    held[0] = 1.0
+    out = [log]
+    for i in range(n - 1, -1, -1):
+        total = np.einsum("lmk,lmk->mk", held, p[starts[:, :, i]])
+        held[1:] = held[:-1] / total
+        held[0] = 1.0
+        log = log + np.log(total)
+        out.append(log)
+    return np.array(out[::-1])
+
+
+def of_like_length(words: list[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in words, codes, lengths) of groups of words, none much longer than the shortest; codes are filled up with zeros."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and sizes[order[end]] <= 1.25 * sizes[order[at]] and (end + 1 - at) * sizes[order[end]] <= most:
+            end += 1
+        block = order[at:end]
+        codes = np.zeros((len(block), int(sizes[block[-1]])), dtype=np.uint32)
+        for row, i in enumerate(block.tolist()):
+            codes[row, : sizes[i]] = np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        yield block, codes, sizes[block]
+        at = end
