@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations: Gumbel top-k without replacement by a perturbed A-star search over the lattice.
 
 A text is cut at spaces into units (a run of spaces with the word after it), over whose lattices its segmentations
-factorise; a piece's weight is 1 / (rank + 50) of its place in the public vocabulary. A segmentation's log-probability
+factorise, as no piece has a space after another character; a piece's weight is 1 / (rank + 50) of its place in the public vocabulary. A segmentation's log-probability
 plus an independent Gumbel noise is its perturbed score, and the k highest are k segmentations drawn without
 replacement. They are found best first. The search tree's root has the Gumbel maximum of all segmentations; of a subtree
 with maximum G the best leaf is an ordinary draw from it, and every sibling branch that the draw leaves aside has a
@@ -11,9 +11,11 @@ subtree to open next. The next bound after k leaves is the threshold, from which
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 from loamdex.llm.common import give_back
 from loamdex.llm.lattice import SPACE, PieceTable, by_length, byte_ids, vocabulary
 
-#: A unit longer than this is cut into stretches of it, each with a lattice of its own.
+#: Longer units are laid out one by one: their segmentations are kept as lists, their sums relative to each other.
 LONGEST = 24
+#: A uniform number is spread over a unit's steps until this much of it is used; then its hash takes its place.
+USED = 2.0**-20
+#: Cells of the table of steps of long units that walk together.
+WALKED = 1 << 18
 SAMPLES = 2
 UNKNOWN = 1e-9
 #: Bytes of characters without a piece, as they stand until they are put together.
@@ -37,113 +43,168 @@ _WORKERS: dict[str | None, Sampler] = {}
 
 def units_of(text: str) -> list[str]:
     """The text with its spaces marked and one in front, cut into units; nothing for the empty text."""
-    if not text:
-        return []
-    out = _units(SPACE + text.replace(" ", SPACE))
-    if max(map(len, out)) > LONGEST:
-        out = [u[i : i + LONGEST] for u in out for i in range(0, len(u), LONGEST)]
-    return out
+    return _units(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def _fresh(u: np.ndarray, step: int) -> np.ndarray:
+    """Uniform numbers by a hash of a unit's own one and the step."""
+    x = u.view(np.uint64) + np.uint64((step * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+def _pick(chances: np.ndarray, random: np.random.Generator) -> int:
+    """A place by its share of the chances; never one without."""
+    upto = np.cumsum(chances)
+    return int(np.searchsorted(upto, min(random.random() * upto[-1], np.nextafter(upto[-1], 0.0)), side="right"))
 
 
 class Lattices:
-    """Of distinct units: by place, the cumulative chance of each piece length, the likeliest piece before all others.
+    """Of distinct units: by place, the chance of each piece length as the next step, the sums over all that follows divided out.
 
-    A uniform number below the chance of always taking the likeliest then means that segmentation, which is kept ready; only
-    the others walk through the lattice.
+    A uniform number below the chance of always taking the likeliest piece means that segmentation, which is kept ready;
+    only the others walk through the lattice. Chances of what is left aside are added up, never got by subtraction, so
+    the rarest segmentation counts. Memory is in proportion to the units' characters.
     """
 
     def __init__(self, sampler: Sampler, units: list[str]):
-        table, p = sampler.table, sampler.p
+        table = sampler.table
         self.sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        self.first = np.zeros(len(units), dtype=np.int64)
+        self.long = self.sizes > LONGEST
+        self.first = np.cumsum(self.sizes) - self.sizes
         found = [(at, table.arcs(codes)) for at, codes in by_length(units)]
         # no wider than the longest piece that stands anywhere
         width = max((k for _, arcs in found for k, x in enumerate(arcs, 1) if k == 1 or (x != table.size).any()), default=1)
         places = int(self.sizes.sum())
-        self.upto = np.ones((places, width), dtype=np.float64)
+        self.part = np.zeros((places, width), dtype=np.float64)
         self.piece = np.full((places, width), table.size, dtype=np.int32)
-        self.top, self.top_length = np.ones(places), np.zeros(places, dtype=np.int64)
+        # units of one length lie together while they are filled in
         base = 0
         for at, arcs in found:
             m, n = arcs[0].shape
             self.first[at] = base + np.arange(m) * n
-            upto, pieces = (x[base : base + m * n].reshape(m, n, width) for x in (self.upto, self.piece))
-            top, top_length = (x[base : base + m * n].reshape(m, n) for x in (self.top, self.top_length))
+            part, piece = (x[base : base + m * n].reshape(m, n, width) for x in (self.part, self.piece))
             base += m * n
-            # sums over all segmentations from each place on, whose parts by first piece are the chances
-            sums, rows = [np.ones(m)], np.arange(m)
-            for i in range(n - 1, -1, -1):
-                longest = min(n - i, len(arcs), width)
-                parts = np.empty((longest, m))
-                for length in range(longest):
-                    piece = arcs[length][:, i]
-                    pieces[:, i, length] = piece
-                    np.multiply(p[piece], sums[length], out=parts[length])
-                which, total = parts.argmax(axis=0), parts.sum(axis=0)
-                parts /= total
-                first = parts[which, rows]
-                parts[which, rows] = 0.0
-                np.cumsum(parts, axis=0, out=parts)
-                parts += first
-                upto[:, i, :longest] = parts.T
-                # rounding must not lead beyond the unit
-                upto[:, i, longest - 1 :] = 1.0
-                top[:, i], top_length[:, i] = first, which
-                sums.insert(0, total)
+            for length, x in enumerate(arcs[:width]):
+                piece[:, : n - length, length] = x
+            (self._fill_long if n > LONGEST else self._fill)(sampler.p, piece, part)
+        self.top_length = self.part.argmax(axis=1)
+        rows = np.arange(places)
+        self.top = self.part[rows, self.top_length]
+        self.part[rows, self.top_length] = 0.0
+        #: Chance of all steps but the likeliest.
+        self.other = self.part.sum(axis=1)
+        self.part[rows, self.top_length] = self.top
         # what always taking the likeliest piece gives
-        self.best_steps, self.best = self._likeliest()
-
-    def _likeliest(self) -> tuple[np.ndarray, np.ndarray]:
-        width, pieces = self.upto.shape[1], self.piece.ravel()
-        chance, steps = np.ones(len(self.sizes)), []
-        live, place, end = np.arange(len(self.sizes)), self.first, self.first + self.sizes
+        self.best_steps, self.best, self.best_log, self.best_rest = self._likeliest()
+
+    @staticmethod
+    def _fill(p: np.ndarray, piece: np.ndarray, part: np.ndarray) -> None:
+        """Chances of the next step at each place of units of one length, from the end on."""
+        m, n, width = piece.shape
+        sums = [np.ones(m)]
+        for i in range(n - 1, -1, -1):
+            longest = min(n - i, width)
+            steps = np.empty((longest, m))
+            for length in range(longest):
+                np.multiply(p[piece[:, i, length]], sums[length], out=steps[length])
+            total = steps.sum(axis=0)
+            part[:, i, :longest] = (steps / total).T
+            sums.insert(0, total)
+
+    @staticmethod
+    def _fill_long(p: np.ndarray, piece: np.ndarray, part: np.ndarray) -> None:
+        """The same, unit by unit, with sums relative to the last one's, so that none underflows."""
+        m, n, width = piece.shape
+        for unit in range(m):
+            part[unit] = p[piece[unit]]
+            # sums from a place on, of which those up to ``width`` places behind have one scale
+            sums = np.zeros(n + width)
+            sums[n] = 1.0
+            for i in range(n - 1, -1, -1):
+                total = part[unit, i] @ sums[i + 1 : i + 1 + width]
+                part[unit, i] *= sums[i + 1 : i + 1 + width]
+                part[unit, i] /= total
+                sums[i] = total
+                if not 1e-60 < total < 1e60:
+                    sums[i : i + width] /= total
+
+    def _likeliest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of short units the likeliest steps: pieces, chance, its logarithm, and the chance of all other segmentations."""
+        width, pieces, count = self.part.shape[1], self.piece.ravel(), len(self.sizes)
+        chance, rest, steps = np.ones(count), np.zeros(count), []
+        live = np.flatnonzero(~self.long)
+        place, end = self.first[live], self.first[live] + self.sizes[live]
         while len(live):
             length = self.top_length[place]
+            rest[live] += chance[live] * self.other[place]
             chance[live] *= self.top[place]
-            step = np.full(len(self.sizes), -1, dtype=np.int32)
+            step = np.full(count, -1, dtype=np.int32)
             step[live] = pieces[place * width + length]
             steps.append(step)
             place = place + length + 1
             more = place < end
             live, place, end = live[more], place[more], end[more]
-        return (np.stack(steps, axis=1) if steps else np.zeros((len(self.sizes), 0), dtype=np.int32)), chance
-
-    def _walk(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width, upto, pieces = self.upto.shape[1], self.upto.ravel(), self.piece.ravel()
-        chance, steps = np.ones(len(of)), []
-        live, place, end, u = np.arange(len(of)), self.first[of], self.first[of] + self.sizes[of], u.copy()
+        with np.errstate(divide="ignore"):
+            log = np.log(chance)
+        # long units, and those whose likeliest steps use a number up, walk
+        ready = np.where((chance >= USED) & ~self.long, chance, 0.0)
+        return (np.stack(steps, axis=1) if steps else np.zeros((count, 0), dtype=np.int32)), ready, log, np.log(rest, out=np.full(count, -np.inf), where=rest > 0)
+
+    def _walk(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation of each unit: pieces (units, steps), -1 after the last; the logarithms of its chance and of all others'."""
+        width, pieces, seeds = self.part.shape[1], self.piece.ravel(), u
+        log, rest, used, steps = np.zeros(len(of)), np.zeros(len(of)), np.ones(len(of)), []
+        live, place, end = np.arange(len(of)), self.first[of], self.first[of] + self.sizes[of]
         while len(live):
-            top = self.top[place]
+            row, top, top_length = self.part[place], self.top[place], self.top_length[place]
+            at = np.arange(len(live))
+            # the likeliest piece's chance comes first, then the others in order
+            row[at, top_length] = 0.0
+            upto = np.cumsum(row, axis=1) + top[:, None]
             on_top = u < top
-            # the last column is 1, so the first that is above u always exists
-            length = np.where(on_top, self.top_length[place], (self.upto[place] <= u[:, None]).argmin(axis=1))
-            at = place * width + length
-            low = np.where(on_top, 0.0, np.where(length > 0, np.maximum(upto[at - 1], top), top))
-            part = np.maximum(np.where(on_top, top, upto[at] - low), 1e-300)
-            # one number serves all steps of a unit: what is left of it within the interval is uniform again
+            length = np.where(on_top, top_length, (upto <= np.minimum(u, np.nextafter(upto[:, -1], 0.0))[:, None]).argmin(axis=1))
+            part = np.where(on_top, top, row[at, length])
+            low = np.where(on_top, 0.0, upto[at, length] - part)
+            rest[live] += np.exp(log[live]) * np.where(on_top, self.other[place], 1.0 - part)
+            log[live] += np.log(part)
+            # what is left of a number within its interval is uniform again, until too little of it is left
             u = np.minimum(np.maximum(u - low, 0.0) / part, 1 - 1e-16)
-            chance[live] *= part
+            spent = used * part
+            if (spent < USED).any():
+                u = np.where(spent < USED, _fresh(seeds[live], len(steps) + 1), u)
+                spent = np.where(spent < USED, 1.0, spent)
             step = np.full(len(of), -1, dtype=np.int32)
-            step[live] = pieces[at]
+            step[live] = pieces[place * width + length]
             steps.append(step)
             place = place + length + 1
             more = place < end
-            live, place, end, u = live[more], place[more], end[more], u[more]
-        return (np.stack(steps, axis=1) if steps else np.zeros((len(of), 0), dtype=np.int32)), np.minimum(chance, 1.0)
-
-    def draw(self, of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A segmentation of each unit from one uniform number: pieces (units, steps), -1 after the last, and its probability."""
-        steps, chance = self.best_steps[of], self.best[of]
-        other = np.flatnonzero(u >= chance)
+            live, place, end, u, used = live[more], place[more], end[more], u[more], spent[more]
+        return (np.stack(steps, axis=1) if steps else np.zeros((len(of), 0), dtype=np.int32)), log, np.log(rest, out=np.full(len(of), -np.inf), where=rest > 0)
+
+    def draw(self, of: np.ndarray, u: np.ndarray) -> Drawn:
+        """A segmentation of each unit from one uniform number."""
+        steps, log, rest = self.best_steps[of], self.best_log[of], self.best_rest[of]
+        walks = u >= self.best[of]
+        long = self.long[of]
+        other = np.flatnonzero(walks & ~long)
         if len(other):
-            more, chances = self._walk(of[other], u[other])
+            more, logs, rests = self._walk(of[other], u[other])
             if more.shape[1] > steps.shape[1]:
                 steps = np.pad(steps, ((0, 0), (0, more.shape[1] - steps.shape[1])), constant_values=-1)
             steps[other] = -1
             steps[other, : more.shape[1]] = more
-            chance[other] = chances
-        return steps, chance
-
+            log[other], rest[other] = logs, rests
+        lists, wide = {}, np.flatnonzero(long)
+        wide = wide[np.argsort(self.sizes[of[wide]], kind="stable")]
+        while len(wide):
+            # as many at once as keep what they are laid out in small
+            n = max(1, int(np.searchsorted(np.arange(1, len(wide) + 1) * self.sizes[of[wide]], WALKED, side="right")))
+            some, wide = wide[:n], wide[n:]
+            more, log[some], rest[some] = self._walk(of[some], u[some])
+            lists |= {i: x[x >= 0] for i, x in zip(some.tolist(), more, strict=True)}
+        return Drawn(steps, log, rest, lists)
 
     def lengths(self, unit: int, steps: np.ndarray) -> tuple[int, ...]:
         """The piece lengths, less one, of a segmentation of a unit."""
@@ -155,47 +216,92 @@ class Lattices:
             place += length + 1
         return tuple(out)
 
-    def _options(self, place: int, end: int, taken: list[tuple[int, ...]]) -> list[tuple[float, int, list[tuple[int, ...]] | None]]:
-        """(chance, length, taken segmentations that go this way) of what is not taken from a place on.
-
-        Chances of ways that nothing taken goes are as they are; only the others are added up from below, so small
-        remainders lose nothing by subtraction.
-        """
-        upto, top, top_length = self.upto[place], float(self.top[place]), int(self.top_length[place])
-        out, before = [], top
-        for length in range(min(len(upto), end - place)):
-            chance = top if length == top_length else float(upto[length]) - before
-            before = max(before, float(upto[length]))
-            if chance < 1e-15:
-                continue
-            same = [t[1:] for t in taken if t[0] == length]
-            if not same:
-                out.append((chance, length, None))
-            elif () not in same and (rest := sum(c for c, *_ in self._options(place + length + 1, end, same))) > 0:
-                out.append((chance * rest, length, same))
+    def _aside(self, unit: int, taken: list[tuple[int, ...]]) -> list[tuple[float, int, tuple[int, ...], int, tuple[int, int]]]:
+        """Where a segmentation can leave those taken: (log chance up to a place, the place, steps to leave out, steps before, of whom)."""
+        out = []
+        stack = [(0.0, int(self.first[unit]), list(range(len(taken))), 0)]
+        while stack:
+            log, place, same, depth = stack.pop()
+            ways: dict[int, list[int]] = {}
+            for t in same:
+                if depth < len(taken[t]):
+                    ways.setdefault(taken[t][depth], []).append(t)
+            if ways:
+                out.append((log, place, tuple(ways), depth, same[0]))
+                stack += [(log + math.log(self.part[place, w]), place + w + 1, ts, depth + 1) for w, ts in ways.items()]
         return out
 
-    def left(self, unit: int, taken: list[tuple[int, ...]]) -> float:
-        """Chance of all segmentations that are not taken; a way of less than 1e-15 at a place counts as none."""
-        return sum(c for c, *_ in self._options(int(self.first[unit]), int(self.first[unit] + self.sizes[unit]), taken))
+    def _left_out(self, place: int, ways: tuple[int, ...]) -> np.ndarray:
+        row = self.part[place].copy()
+        row[list(ways)] = 0.0
+        return row
 
-    def another(self, unit: int, taken: list[tuple[int, ...]] | None, random: np.random.Generator) -> tuple[np.ndarray, float]:
-        """A draw from the segmentations that are not taken: pieces and the probability among all."""
-        place, end = int(self.first[unit]), int(self.first[unit] + self.sizes[unit])
-        steps, chance = [], 1.0
+    def left(self, unit: int, taken: list[tuple[int, ...]]) -> float:
+        """Logarithm of the chance of all segmentations that are not taken."""
+        found = [log + math.log(c) for log, place, ways, *_ in self._aside(unit, taken) if (c := float(self._left_out(place, ways).sum())) > 0]
+        return float(np.logaddexp.reduce(found)) if found else -math.inf
+
+    def another(self, unit: int, taken: list[tuple[int, ...]], random: np.random.Generator) -> tuple[np.ndarray, float]:
+        """A draw from the segmentations that are not taken: pieces and the logarithm of the probability among all."""
+        ways = [(w, self._left_out(w[1], w[2])) for w in self._aside(unit, taken)]
+        logs = np.array([w[0] + math.log(c) if (c := float(row.sum())) > 0 else -math.inf for w, row in ways])
+        chances = np.exp(logs - logs.max())
+        (log, place, _, depth, which), row = ways[_pick(chances, random)]
+        steps, at = [], int(self.first[unit])
+        for length in taken[which][:depth]:
+            steps.append(int(self.piece[at, length]))
+            at += length + 1
+        end = int(self.first[unit] + self.sizes[unit])
         while place < end:
-            options = self._options(place, end, taken or [])
-            u = random.random() * sum(c for c, *_ in options)
-            for weight, length, taken in options:  # noqa: B007  the last stands if rounding leaves u over
-                if u < weight:
-                    break
-                u -= weight
-            top = length == self.top_length[place]
-            low = max(float(self.upto[place, length - 1]) if length else 0.0, float(self.top[place]))
-            chance *= float(self.top[place]) if top else float(self.upto[place, length]) - low
+            length = _pick(row, random)
+            log += math.log(self.part[place, length])
             steps.append(int(self.piece[place, length]))
             place += length + 1
-        return np.array(steps, dtype=np.int32), chance
+            if place < end:
+                row = self.part[place]
+        return np.array(steps, dtype=np.int32), log
+
+
+@dataclass
+class Drawn:
+    """Segmentations of units in a row: pieces (units, steps), -1 after the last, those of long units in lists by place;
+    logarithms of their chances and of the chance of all others of each unit."""
+
+    steps: np.ndarray
+    log: np.ndarray
+    rest: np.ndarray
+    lists: dict[int, np.ndarray]
+
+    def part(self, a: int, b: int) -> Drawn:
+        return Drawn(self.steps[a:b], self.log[a:b], self.rest[a:b], {i - a: x for i, x in self.lists.items() if a <= i < b} if self.lists else {})
+
+    def of(self, i: int) -> np.ndarray:
+        return self.lists[i] if i in self.lists else self.steps[i]
+
+    def then(self, mine: np.ndarray, log: float, tail: Drawn, long: bool) -> Drawn:
+        """These units, one more with this segmentation, and the tail's."""
+        n = len(self.log)
+        width = max(self.steps.shape[1], 0 if long else len(mine), tail.steps.shape[1])
+        steps = np.full((n + 1 + len(tail.log), width), -1, dtype=np.int32)
+        steps[:n, : self.steps.shape[1]] = self.steps
+        steps[n + 1 :, : tail.steps.shape[1]] = tail.steps
+        if not long:
+            steps[n, : len(mine)] = mine
+        lists = self.lists | ({n: mine} if long else {}) | {n + 1 + i: x for i, x in tail.lists.items()}
+        return Drawn(steps, np.concatenate([self.log, [log], tail.log]), np.concatenate([self.rest, [-np.inf], tail.rest]), lists)
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces in order, and the unit of each."""
+        used = self.steps >= 0
+        flat, row = self.steps[used], np.flatnonzero(used) // max(1, self.steps.shape[1])
+        if self.lists:
+            rows = sorted(self.lists)
+            cuts = np.searchsorted(row, rows)
+            both = [x for i, part in zip(rows, np.split(flat, cuts), strict=False) for x in (part, self.lists[i])]
+            flat = np.concatenate([*both, flat[cuts[-1] :]])
+            both = [x for i, part in zip(rows, np.split(row, cuts), strict=False) for x in (part, np.full(len(self.lists[i]), i))]
+            row = np.concatenate([*both, row[cuts[-1] :]])
+        return flat, row
 
 
 def _cut_gumbel(loc: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -221,15 +327,13 @@ class Sampler:
         self.widths = np.array([*map(len, self.pieces), 0, 1], dtype=np.int64)
         self.text = dict(zip(self.ids[:n].tolist(), self.pieces, strict=True)) | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in enumerate(self.bytes)}
 
-    def token_ids(self, steps: np.ndarray, units: list[str]) -> np.ndarray:
+    def token_ids(self, drawn: Drawn, units: list[str]) -> np.ndarray:
         """Ids in order; an unknown character becomes the ids of its UTF-8 bytes."""
-        used = steps >= 0
-        flat = steps[used]
+        flat, row = drawn.pieces()
         ids = self.ids[flat]
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
             return ids
-        row = np.flatnonzero(used) // steps.shape[1]
         upto = np.cumsum(self.widths[flat])
         first = np.searchsorted(row, row[odd])
         within = upto[odd] - 1 - (upto[first] - self.widths[flat[first]])
@@ -258,13 +362,13 @@ class Sampler:
         tops = [float(-np.log(-np.log(r.random()))) for r in random]
         sizes = [len(o) for o in of]
         every = np.concatenate(of) if of else np.zeros(0, dtype=np.int64)
-        steps, chance = lattices.draw(every, np.concatenate([r.random(n) for r, n in zip(random, sizes, strict=True)]) if of else np.zeros(0))
+        drawn = lattices.draw(every, np.concatenate([r.random(n) for r, n in zip(random, sizes, strict=True)]) if of else np.zeros(0))
         ends = np.cumsum(sizes)
         searches = []
         for i, end in enumerate(ends.tolist()):
             at = end - sizes[i]
             search = _Search(lattices, of[i], random[i], tops[i], k)
-            search.reach(0, tops[i], steps[at:end], chance[at:end])
+            search.reach(0, tops[i], drawn.part(at, end))
             searches.append(search)
         # the suffixes of all texts are drawn together
         for _ in range(1, k):
@@ -272,10 +376,10 @@ class Sampler:
             if not opened:
                 break
             tails = [s.of[t + 1 :] for s, t, *_ in opened]
-            steps, chance = lattices.draw(np.concatenate(tails), np.concatenate([s.random.random(len(x)) for (s, *_), x in zip(opened, tails, strict=True)]))
+            drawn = lattices.draw(np.concatenate(tails), np.concatenate([s.random.random(len(x)) for (s, *_), x in zip(opened, tails, strict=True)]))
             done = 0
             for (s, t, g, parent), tail in zip(opened, tails, strict=True):
-                s.branch(t, g, parent, steps[done : done + len(tail)], chance[done : done + len(tail)])
+                s.branch(t, g, parent, drawn.part(done, done + len(tail)))
                 done += len(tail)
         return [s.results(self, units) for s, units in zip(searches, split, strict=True)]
 
@@ -287,20 +391,14 @@ class _Search:
         self.lattices, self.of, self.random, self.k = lattices, of, random, k
         self.leaves: list[dict] = []
 
-    def reach(self, t: int, g: float, steps: np.ndarray, chance: np.ndarray, left: float | None = None) -> None:
-        """A leaf that leaves the tree's known part at unit t; steps and chance hold all its units."""
+    def reach(self, t: int, g: float, drawn: Drawn) -> None:
+        """A leaf that leaves the tree's known part at unit t; drawn holds all its units, with what is left aside at each."""
         n = len(self.of)
-        with np.errstate(divide="ignore"):
-            logs = np.log(chance)
-            before = np.concatenate([[0.0], np.cumsum(logs)])
-            rest = np.log(np.maximum(1 - chance, 0.0))
-            rest[1 - chance < 1e-12] = -np.inf
-            if left is not None:
-                rest[t] = np.log(left) if left > 0 else -np.inf
+        before = np.concatenate([[0.0], np.cumsum(drawn.log)])
         bounds = np.full(n, -np.inf)
         u = np.maximum(self.random.random(n - t), 1e-300)
-        bounds[t:] = _cut_gumbel(before[t:n] + rest[t:], np.full(n - t, g), u)
-        self.leaves.append({"steps": steps, "chance": chance, "log": float(before[-1]), "g": g, "bounds": bounds, "shut": {}})
+        bounds[t:] = _cut_gumbel(before[t:n] + drawn.rest[t:], np.full(n - t, g), u)
+        self.leaves.append({"drawn": drawn, "log": float(before[-1]), "g": g, "bounds": bounds, "shut": {}})
 
     def open(self) -> tuple[int, float, dict] | None:
         """The unit, bound and leaf of the best branch left aside."""
@@ -309,18 +407,16 @@ class _Search:
             return None
         return int(best["bounds"].argmax()), float(g), best
 
-    def branch(self, t: int, g: float, parent: dict, steps: np.ndarray, chance: np.ndarray) -> None:
+    def branch(self, t: int, g: float, parent: dict, tail: Drawn) -> None:
         """Open the branch at unit t: a segmentation of it that is not taken there, then the drawn tail."""
         unit = int(self.of[t])
-        taken = parent["shut"].setdefault(t, [self.lattices.lengths(unit, parent["steps"][t])])
-        mine, mine_p = self.lattices.another(unit, taken, self.random)
+        taken = parent["shut"].setdefault(t, [self.lattices.lengths(unit, parent["drawn"].of(t))])
+        mine, log = self.lattices.another(unit, taken, self.random)
         taken.append(self.lattices.lengths(unit, mine))
         parent["bounds"][t] = -np.inf
-        left = self.lattices.left(unit, taken)
-        width = max(parent["steps"].shape[1], len(mine), steps.shape[1] if len(steps) else 0)
-        wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=-1)
-        parts = [wide(parent["steps"][:t]), wide(mine[None, :])] + ([wide(steps)] if len(steps) else [])
-        self.reach(t, g, np.concatenate(parts), np.concatenate([parent["chance"][:t], [mine_p], chance]), left)
+        drawn = parent["drawn"].part(0, t).then(mine, log, tail, bool(self.lattices.long[unit]))
+        drawn.rest[t] = self.lattices.left(unit, taken)
+        self.reach(t, g, drawn)
         self.leaves[-1]["shut"][t] = taken
 
     def results(self, sampler: Sampler, units: list[str]) -> list[tuple[np.ndarray, float, float, float]]:
@@ -330,7 +426,7 @@ class _Search:
         out = []
         for leaf in sorted(self.leaves, key=lambda x: -x["g"]):
             included = float(-np.expm1(-np.exp(min(50.0, leaf["log"] - threshold)))) if np.isfinite(threshold) else 1.0
-            out.append((sampler.token_ids(leaf["steps"], units), leaf["log"], leaf["g"], included))
+            out.append((sampler.token_ids(leaf["drawn"], units), leaf["log"], leaf["g"], included))
         return out
 
 
