@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import cut, words_in
+from loamdex.llm.common import cut, let, words_in
 
 #: By a source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -59,11 +59,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return levels.select("source", "place", "source_size", target.alias("target"))
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hypergeometric(u: Column, population: Column, good: Column, draws: Column) -> Column:
     """How many of ``draws`` items from a population are good ones, for a uniform u: inversion of the distribution.
 
@@ -95,21 +90,21 @@ def hypergeometric(u: Column, population: Column, good: Column, draws: Column) -
 
         def total(outcomes, ratio):
             state = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("t"))
-            return F.aggregate(outcomes, state, lambda s, i: _let(ratio(s["w"], i), lambda w: F.struct(w.alias("w"), (s["t"] + w).alias("t"))), lambda s: s["t"])
+            return F.aggregate(outcomes, state, lambda s, i: let(ratio(s["w"], i), lambda w: F.struct(w.alias("w"), (s["t"] + w).alias("t"))), lambda s: s["t"])
 
         def pick(outcomes, ratio, left):
             # the first outcome whose chance uses up what is left, else the last
             state = F.struct(F.lit(1.0).alias("w"), left.alias("left"), F.lit(None).cast("long").alias("at"))
-            step = lambda s, i: _let(ratio(s["w"], i), lambda w: F.struct(w.alias("w"), (s["left"] - w).alias("left"), F.coalesce(s["at"], F.when(s["left"] < w, i)).alias("at")))
+            step = lambda s, i: let(ratio(s["w"], i), lambda w: F.struct(w.alias("w"), (s["left"] - w).alias("left"), F.coalesce(s["at"], F.when(s["left"] < w, i)).alias("at")))
             return F.coalesce(F.aggregate(outcomes, state, step, lambda s: s["at"]), F.element_at(outcomes, -1))
 
         def place(t):
             left = f["u"] * (1 + t["up"] + t["down"]) - 1
             return F.when(left < 0, f["mode"]).when((left < t["up"]) | (F.size(down) == 0), pick(up, above, left)).otherwise(pick(down, below, left - t["up"]))
 
-        return _let(F.struct(total(up, above).alias("up"), total(down, below).alias("down")), place)
+        return let(F.struct(total(up, above).alias("up"), total(down, below).alias("down")), place)
 
-    return F.when(population > 0, _let(facts, invert)).otherwise(F.lit(0).cast("long"))
+    return F.when(population > 0, let(facts, invert)).otherwise(F.lit(0).cast("long"))
 
 
 def splitting_tree(counts: DataFrame, levels: int, seed: int = 42) -> DataFrame:
@@ -126,7 +121,7 @@ def splitting_tree(counts: DataFrame, levels: int, seed: int = 42) -> DataFrame:
 
         def source(s, k):
             took = hypergeometric(_uniform(F.lit(seed), F.col("node"), s["place"]), s["left"], k, s["slots"])
-            return _let(took, lambda t: F.struct((s["slots"] - t).alias("slots"), (s["left"] - k).alias("left"), (s["place"] + 1).alias("place"), F.concat(s["drawn"], F.array(t)).alias("drawn")))
+            return let(took, lambda t: F.struct((s["slots"] - t).alias("slots"), (s["left"] - k).alias("left"), (s["place"] + 1).alias("place"), F.concat(s["drawn"], F.array(t)).alias("drawn")))
 
         drawn = F.aggregate("counts", state, source, lambda s: s["drawn"])
         nodes = nodes.withColumn("_left", drawn).withColumn("_right", F.zip_with("counts", F.col("_left"), lambda a, b: a - b))
