@@ -204,7 +204,8 @@ def fingerprints(docs: DataFrame, rows_per_shard: int = 4096) -> DataFrame:
     rows, bounds = in_shards(rows.withColumn("_key", order_key(F.col("doc_id"))), "_key", rows_per_shard)
     n = max(1, len(bounds))
     before = F.when(F.col("_shard") == 0, F.lit(n - 1)).otherwise(F.col("_shard") - 1)
-    heads = F.col("_key").isin(bounds) if n <= 64 else F.array_contains(F.lit(bounds), F.col("_key"))
+    # the first row of a shard has its bound as key
+    heads = F.get(F.lit(bounds or [0]), F.col("_shard")) == F.col("_key")
     own = F.struct(F.col("_shard").alias("shard"), F.lit(False).alias("borrowed"))
     also = F.struct(before.alias("shard"), F.lit(True).alias("borrowed"))
     dealt = (

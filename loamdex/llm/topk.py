@@ -1,10 +1,12 @@
 """Exact top-k inner products: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards by a hash of their id. A shard's tree halves its vectors at the median along the direction
-between two far points, down to leaves; a node keeps its centre and radius, so no vector below it scores more than
-query . centre + |query| * radius. For a block of queries, leaves are ordered for each query by that bound and scored
-best first, until the next bound is below the query's k-th score so far. That k-th score is shared: a first pass scores
-every query against its own shard, and what it reaches prunes all other shards.
+Vectors are dealt to shards of near ones: a coarse tree, halved at medians over a bounded sample, gives each vector a cell,
+and a cell with more vectors than a shard holds is split by a hash of their ids. A shard's own tree halves its vectors at
+the median along the direction between two far points, down to leaves; a node keeps its centre and radius, so no vector
+below it scores more than query . centre + |query| * radius. For a block of queries, leaves are ordered for each query by
+that bound and scored best first, until the next bound is below the query's k-th score so far. That k-th score is shared:
+a first pass scores every query against the shard where it lies itself, which also gives the shards' balls; then a query
+is sent only to the shards whose ball can reach what it has, and a shard only to blocks with such a query.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from loamdex.llm.common import cut
 
 LEAF = 128
-#: Vectors of a shard, and queries of a block: what one task holds.
-SHARD, QUERIES = 8192, 2048
+#: Vectors of a shard, queries of a block, balls of a group: what one task holds.
+SHARD, QUERIES, BALLS = 8192, 2048, 4096
+#: Vectors that the coarse tree is made from, about, and its most cells; the sample places vectors, it decides no score.
+SAMPLE, CELLS = 4096, 512
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -117,32 +121,109 @@ class BallTree:
 _NONE = np.iinfo(np.int64).max
 
 
-def _searcher(k: int):
+class CoarseTree:
+    """Cells of near vectors: directions and thresholds of a binary tree over a sample."""
+
+    def __init__(self, rows: np.ndarray, cells: int):
+        self.width, self.nodes, self.cells = rows.shape[1] if rows.ndim == 2 else 0, [], 0
+        self._split(rows, max(1, cells))
+
+    def _split(self, rows: np.ndarray, cells: int) -> int:
+        here = len(self.nodes)
+        self.nodes.append(None)
+        if cells > 1 and len(rows) >= 4:
+            one = rows[((rows - rows.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+            other = rows[((rows - one) ** 2).sum(axis=1).argmax()]
+            along = rows @ (one - other)
+            cut = float(np.median(along))
+            low = along < cut
+            if low.any() and not low.all():
+                self.nodes[here] = (one - other, cut, self._split(rows[low], cells // 2), self._split(rows[~low], cells - cells // 2))
+        if self.nodes[here] is None:
+            self.nodes[here] = self.cells
+            self.cells += 1
+        return here
+
+    def cell(self, rows: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(rows), self.width))
+        wide[:, : min(self.width, rows.shape[1])] = rows[:, : self.width]
+        out, live = np.zeros(len(rows), dtype=np.int32), [(0, np.arange(len(rows)))]
+        while live:
+            node, who = live.pop()
+            if isinstance(self.nodes[node], int):
+                out[who] = self.nodes[node]
+                continue
+            way, cut, left, right = self.nodes[node]
+            low = wide[who] @ way < cut
+            live += [(left, who[low]), (right, who[~low])]
+        return out
+
+
+def _placed(tree: CoarseTree):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(cell=tree.cell(_stack(frame["v"])))
+
+    return run
+
+
+_FOUND = "query_id long, vec_id long, score long, shard int, centre array<double>, radius double"
+
+
+def _searcher(k: int, balls: bool = False):
+    """The k best of a shard's vectors for each query; with ``balls`` also a row with the shard's root ball."""
+
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(vectors) or not len(queries):
-            return empty
-        rows, asked = _stack(vectors["v"]), _stack(queries["w"])
+        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "shard": [], "centre": [], "radius": []})
+        if not len(vectors):
+            return out
+        rows = _stack(vectors["v"])
+        asked = _stack(queries["w"]) if len(queries) else np.zeros((0, rows.shape[1]))
         width = max(rows.shape[1], asked.shape[1])
         rows, asked = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (rows, asked))
-        scores = np.full((len(asked), k), -np.inf)
-        if "floor" in queries:
-            # what the query has reached elsewhere; scores equal to it still count
-            scores[:] = np.nan_to_num(queries["floor"].to_numpy(dtype=np.float64), nan=-np.inf)[:, None]
-        found = np.full((len(asked), k), _NONE)
-        BallTree(vectors["vec_id"].to_numpy(), rows).search(asked, queries["query_id"].to_numpy(), k, scores, found)
-        at, place = np.nonzero((found != _NONE) & np.isfinite(scores))
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[at], "vec_id": found[at, place], "score": scores[at, place].astype(np.int64)})
+        tree = BallTree(vectors["vec_id"].to_numpy(), rows)
+        if len(queries):
+            scores = np.full((len(asked), k), -np.inf)
+            if "floor" in queries:
+                # what the query has reached elsewhere; scores equal to it still count
+                scores[:] = np.nan_to_num(queries["floor"].to_numpy(dtype=np.float64), nan=-np.inf)[:, None]
+            found = np.full((len(asked), k), _NONE)
+            tree.search(asked, queries["query_id"].to_numpy(), k, scores, found)
+            at, place = np.nonzero((found != _NONE) & np.isfinite(scores))
+            out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[at], "vec_id": found[at, place], "score": scores[at, place].astype(np.int64), "shard": None, "centre": None, "radius": None})
+        if balls:
+            centre, radius, *_ = tree.nodes[0]
+            ball = pd.DataFrame({"query_id": [None], "vec_id": [None], "score": [None], "shard": [int(vectors["shard"].iloc[0])], "centre": [centre], "radius": [radius]})
+            out = pd.concat([out.astype(object), ball.astype(object)], ignore_index=True)
+        return out.astype({"query_id": "Int64", "vec_id": "Int64", "score": "Int64", "shard": "Int32", "radius": "float64"})
 
     return run
 
 
+def _reached(queries: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+    """Queries with the shards, but their own, whose ball can reach what they have."""
+    empty = pd.DataFrame({"query_id": [], "w": [], "floor": [], "block": [], "shard": []}).astype({"query_id": "int64", "floor": "float64", "block": "int32", "shard": "int32"})
+    if not len(queries) or not len(balls):
+        return empty
+    asked, centres = _stack(queries["w"]), _stack(balls["centre"])
+    width = max(asked.shape[1], centres.shape[1])
+    asked, centres = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (asked, centres))
+    norms = np.sqrt((asked**2).sum(axis=1)) * (1 + 1e-9)
+    # the bound must hold in floating point too
+    bound = asked @ centres.T + norms[:, None] * balls["radius"].to_numpy()[None, :] + 1e-6
+    shards = balls["shard"].to_numpy()
+    floor = np.nan_to_num(queries["floor"].to_numpy(dtype=np.float64), nan=-np.inf)
+    at, ball = np.nonzero((bound >= floor[:, None]) & (queries["home"].to_numpy()[:, None] != shards[None, :]))
+    columns = {c: queries[c].to_numpy()[at] for c in ("query_id", "w", "floor", "block")}
+    return pd.DataFrame(columns | {"shard": shards[ball]}) if len(at) else empty
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = QUERIES, balls: int = BALLS) -> DataFrame:
     """The k best vec_ids of each query by inner product, over all vectors but the query's own.
 
     vectors: vec_id, v; queries: query_id, v; v arrays of whole numbers held as doubles. Shorter arrays are padded with
@@ -150,31 +231,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     the smaller vec_id; fewer rows where there are fewer candidates. Equal ids count as one vector's rows: none of them
     is its own query's candidate. No vectors or no queries give no rows.
 
-    A task holds one shard and one block of queries, whatever the table's size. Vectors are sent once for every block
-    of queries, queries once for every shard; nothing is broadcast or collected.
+    A task holds one shard and one block of queries, or a block and a group of balls, whatever the table's size. Sent are
+    every vector once, the balls once for each block of queries, the queries once for each group of balls, and what
+    bounds can't rule out: a query to the shards that its bounds reach, a shard to the blocks with such a query.
     """
     n_vectors, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n_vectors // shard)), max(1, -(-n_queries // block))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    placed = vectors.select("vec_id", "v", of("vec_id", shards).alias("shard"))
+    if not n_vectors or not n_queries:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = max(1, -(-n_queries // block))
+    some = vectors.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(-(-n_vectors // SAMPLE))) == 0).select("v").toPandas()
+    tree = CoarseTree(_stack(some["v"]), min(CELLS, -(-n_vectors // shard)))
+    placed = cut(vectors.select("vec_id", "v").mapInPandas(_placed(tree), "vec_id long, v array<double>, cell int"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "v").mapInPandas(_placed(tree), "query_id long, v array<double>, cell int")
+    # a cell of more vectors than a shard holds is several shards
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    pieces = [max(1, -(-sizes.get(c, 0) // shard)) for c in range(tree.cells)]
+    first, shards = [sum(pieces[:c]) for c in range(tree.cells)], sum(pieces)
+    of = lambda c: (F.get(F.lit(first), F.col("cell")) + F.pmod(F.xxhash64(c), F.get(F.lit(pieces), F.col("cell")))).cast("int")
+    placed = placed.select("vec_id", "v", of("vec_id").alias("shard"))
     # columns of their own: both sides may come from one table
-    asked = queries.select(F.col("query_id").alias("query_id"), F.col("v").alias("w"), of("query_id", shards).alias("shard"), F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)).cast("int").alias("block"))
-    schema = "query_id long, vec_id long, score long"
+    asked = asked.select("query_id", F.col("v").alias("w"), of("query_id").alias("home"), F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)).cast("int").alias("block"))
     # each query's own shard, which holds about as many of the queries as of the vectors
-    seeds = placed.groupBy("shard").cogroup(asked.select("query_id", "w", "shard").groupBy("shard")).applyInPandas(_searcher(k), schema)
-    seeds = cut(seeds)
+    own = asked.select("query_id", "w", F.col("home").alias("shard"))
+    seeds = cut(placed.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(_searcher(k, True), _FOUND))
+    found = seeds.filter("query_id IS NOT NULL").select("query_id", "vec_id", "score")
     if shards == 1:
-        return _best(seeds, k).select("query_id", "rank", "vec_id", "score")
-    floor = seeds.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    asked = asked.withColumnRenamed("shard", "home").join(floor, "query_id", "left")
-    every = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != F.col("home"))
-    copies = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rest = (
-        copies.groupBy("shard", "block")
-        .cogroup(every.select("query_id", "w", F.col("floor").cast("double").alias("floor"), "shard", "block").groupBy("shard", "block"))
-        .applyInPandas(_searcher(k), schema)
-    )
-    return _best(seeds.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+        return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    floor = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
+    groups = -(-shards // balls)
+    every = asked.join(floor, "query_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    all_balls = seeds.filter("query_id IS NULL").select("shard", "centre", "radius", F.floor(F.col("shard") / balls).cast("int").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    reached = every.groupBy("part", "block").cogroup(all_balls.groupBy("part", "block")).applyInPandas(_reached, "query_id long, w array<double>, floor double, block int, shard int")
+    reached = cut(reached)
+    wanted = reached.select("shard", F.col("block").alias("to")).distinct()
+    copies = placed.join(wanted, "shard").select("vec_id", "v", F.col("shard").alias("at"), "to")
+    rest = copies.groupBy("at", "to").cogroup(reached.groupBy("shard", "block")).applyInPandas(_searcher(k), _FOUND)
+    return _best(found.unionByName(rest.select("query_id", "vec_id", "score")), k).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from loamdex.llm.topk import BallTree, top_k, whole_vectors
+from loamdex.llm.topk import BallTree, CoarseTree, _reached, top_k, whole_vectors
 
 
 def brute(rows, k=5):
@@ -23,7 +24,7 @@ def run(spark, rows, **sizes):
     return sorted(tuple(r) for r in top_k(vectors, asked, **sizes).collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard": 60, "block": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"shard": 60, "block": 3}, {"shard": 20, "block": 2, "balls": 4}])
 def test_exact_with_ties_and_odd_rows(spark, sizes):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)], "z", 1) for i in range(220)]
@@ -54,3 +55,25 @@ def test_bounds_hold_and_prune():
     tree.search(np.full((1, 6), 100.0), np.array([-1]), 5, scores, found)
     assert 0 < len(scored) < sum(n[4] < 0 for n in tree.nodes) / 3
     assert scores[0].tolist() == sorted((rows @ np.full(6, 100.0)).tolist(), reverse=True)[:5]
+
+
+def test_queries_go_only_where_balls_reach():
+    """Of clusters far apart, only the balls that may beat what a query has are named, and its own shard never is."""
+    rng = np.random.default_rng(6)
+    centres = [rng.normal(size=8) * 100 for _ in range(12)]
+    balls = pd.DataFrame({"shard": range(12), "centre": centres, "radius": [5.0] * 12})
+    asked = pd.DataFrame({"query_id": range(12), "w": centres, "floor": [float(c @ c) - 500 for c in centres], "home": [*range(11), 0], "block": [1] * 12})
+    got = _reached(asked, balls)
+    want = {(q, s) for q in range(12) for s in range(12) if s != asked.home[q] and centres[q] @ centres[s] + np.linalg.norm(centres[q]) * 5 >= asked.floor[q]}
+    assert set(zip(got.query_id, got.shard)) == want and (11, 11) in want and len(want) < 60
+    assert len(_reached(asked.assign(floor=np.nan), balls)) == 12 * 11
+
+
+def test_coarse_cells_are_near_and_even():
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([rng.normal(c, 1, size=(300, 5)) for c in (0, 50, -70, 200)])
+    cells = CoarseTree(rows[rng.permutation(1200)[:400]], 4).cell(rows)
+    assert len(np.bincount(cells)) == 4 and np.bincount(cells).min() > 200
+    # a vector lies in the cell of nearly all of its cluster
+    assert all(np.bincount(cells[i : i + 300]).max() > 240 for i in range(0, 1200, 300))
+    assert (CoarseTree(np.ones((50, 3)), 8).cell(np.ones((9, 3))) == 0).all()
