@@ -14,6 +14,7 @@ from loamdex.errors import InvalidArgument, LoamdexError
 from loamdex.index import Index, SearchOptions
 from loamdex.operators.output import render
 from loamdex.schema import Schema
+from loamdex.sources.files import Files, absolute
 from loamdex.sources.store import list_indexes, resolve
 
 
@@ -82,15 +83,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _value(text: str) -> object:
-    if text in ("true", "false"):
-        return text == "true"
-    try:
-        return int(text) if text.lstrip("-").isdigit() else float(text)
-    except ValueError:
-        return text
-
-
 def _schema(file: str) -> Schema:
     with open(file, encoding="utf-8") as f:
         return Schema.from_json(f.read())
@@ -114,7 +106,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, folder: str) -> tuple[in
     if args.verb == "okf":
         return _okf(spark, args, where)
     if args.verb == "index" and args.action == "list":
-        return 0, "".join(f"{n}\n" for n in list_indexes(folder))
+        return 0, "".join(f"{n}\n" for n in list_indexes(spark, folder))
     if args.verb == "index" and args.action == "create":
         Index.create(spark, where, _schema(args.schema) if args.schema else Schema.from_spec(args.field))
         return 0, f"created {where}\n"
@@ -127,7 +119,8 @@ def _run(spark: SparkSession, args: argparse.Namespace, folder: str) -> tuple[in
             return 0, f"wrote {n} documents\n"
         if not args.path:
             raise InvalidArgument("a path, or --import")
-        index.put_fields(args.path, {k: _value(v) for k, _, v in (s.partition("=") for s in args.set)})
+        # values stay strings, which the schema converts; a key without one is true
+        index.put_fields(args.path, {k: v if given else True for k, given, v in (s.partition("=") for s in args.set)})
         return 0, f"wrote {args.path}\n"
     if args.verb in ("get", "peek"):
         return 0, _json(index.peek(args.path))
@@ -150,9 +143,7 @@ def _manage(index: Index, args: argparse.Namespace) -> str:
     if args.action == "schema":
         return index.schema.to_json() + "\n"
     if args.action == "stats":
-        root = index.store.root
-        size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
-        return _json({"items": index.items.count(), "bytes": size, "fields": len(index.schema.fields)})
+        return _json({"items": index.items.count(), "bytes": index.store.files.bytes(index.store.root), "fields": len(index.schema.fields)})
     if args.action == "drop":
         index.store.drop()
         return "dropped\n"
@@ -177,7 +168,7 @@ def _okf(spark: SparkSession, args: argparse.Namespace, where: str) -> tuple[int
             return code, _json({"summary": total, "findings": rows})
         lines = [f"{r['severity']} {r['code']} {r['path']}:{r['line'] or 0}:{r['column'] or 0} {r['message']}" for r in rows]
         return code, "\n".join([*lines, f"{total['concepts']} concepts, {total['errors']} errors, {total['warnings']} warnings"]) + "\n"
-    temporary = not os.path.exists(where)
+    temporary = not Files(spark).exists(absolute(where))
     if temporary and args.dry_run:
         empty = spark.createDataFrame([], bundle.PROJECTION.struct())
         index = Index(spark, bundle.PROJECTION, empty)

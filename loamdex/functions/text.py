@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 import re
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loamdex.schema import Schema
+
 # Fixed values of the ranking formula.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -31,6 +34,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, *accents())), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+def length(schema: Schema) -> Column:
+    """Tokens over all text fields, of rows that hold the tokens."""
+    sizes = [F.coalesce(F.size(F.col(schema.tokens(n))), F.lit(0)) for n, _ in schema.text_fields]
+    return functools.reduce(operator.add, sizes, F.lit(0)).cast("long")
+
+
 def term_tokens(term: str) -> list[str]:
     """The same of a query term, on the driver."""
     plain = term.translate(str.maketrans(*accents())).lower()

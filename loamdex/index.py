@@ -22,7 +22,10 @@ from loamdex.plans.guard import guard
 from loamdex.plans.parser import parse
 from loamdex.schema import Schema
 from loamdex.sources import jsonl
-from loamdex.sources.store import Store
+from loamdex.sources.store import Meta, Store
+
+#: Items that the inverted table may name for a query; beyond, the items are scanned.
+NAMED = 1000
 
 
 @dataclass
@@ -66,7 +69,8 @@ class Index:
     def __init__(self, spark: SparkSession, schema: Schema, items: DataFrame, store: Store | None = None, now_ms: Callable[[], int] | None = None):
         self.spark, self.schema, self._items, self.store = spark, schema, items, store
         self.now_ms = now_ms or (lambda: int(time.time() * 1000))
-        self.short = cursors.ShortCursors(f"{store.root}/cursors.json" if store else None)
+        self._meta: Meta | None = None
+        self.short = cursors.ShortCursors(store.files if store else None, store.at("cursors.json") if store else None)
 
     # -- making and opening -------------------------------------------------------------------------------------
 
@@ -78,8 +82,21 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, root: str, now_ms: Callable[[], int] | None = None) -> Index:
         store = Store(spark, root)
-        schema, items = store.schema(), store.items()
-        return cls(spark, schema, items, store, now_ms)
+        meta = store.meta()
+        out = cls(spark, meta.schema, store.items(meta), store, now_ms)
+        out._meta = meta
+        return out
+
+    def saved(self, root: str) -> Index:
+        """The same items stored at root, by path and with the inverted text table."""
+        made = Index.create(self.spark, root, self.schema, self.now_ms)
+        with made.store.lock():
+            top = self.items.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
+            made._now(made.store.publish(made._meta, self.items.select(*self.schema.struct().fieldNames()), sort=True, terms=bool(self.schema.text_fields), next_id=top + 1))
+            values = made._values(made.items)
+            if values is not None:
+                made._now(made.store.know(made._meta, values))
+        return made
 
     @classmethod
     def from_typed(cls, rows: DataFrame, schema: Schema, now_ms: Callable[[], int] | None = None) -> Index:
@@ -89,7 +106,7 @@ class Index:
             F.col("item_id").cast("long").alias("item_id"), "path", columns["data_json"].alias("data_json"), F.col("created_at").cast("long").alias("created_at"), F.col("updated_at").cast("long").alias("updated_at"),
             *[F.col(n).cast(f.spark_type).alias(Schema.column(n)) for n, f in schema.fields.items()],
         )
-        out = out.withColumns({Schema.tokens(n): text.tokens(F.col(Schema.column(n))) for n, _ in schema.text_fields})
+        out = out.withColumns({Schema.tokens(n): text.tokens(F.col(Schema.column(n))) for n, _ in schema.text_fields}).withColumn("length", text.length(schema))
         return cls(rows.sparkSession, schema, out, None, now_ms)
 
     @classmethod
@@ -112,14 +129,34 @@ class Index:
 
     def matching(self, query: str) -> DataFrame:
         """The items that a query matches."""
-        return self.items.filter(self.bind(query).test)
+        bound = self.bind(query)
+        return self._named(bound).filter(bound.test)
+
+    def _named(self, bound: Bound) -> DataFrame:
+        """The items, or the few that the inverted table names for a term that every match holds, which the scan then prunes by path."""
+        for fields, tokens in bound.required if self._meta is not None else []:
+            for token in tokens:
+                rows = self.store.terms(self._meta, token)
+                if rows is None:
+                    return self.items
+                paths = [r["path"] for r in rows.filter(F.col("field").isin(*fields)).select("path").limit(NAMED * len(fields) + 1).collect()]
+                if len(paths) <= NAMED * len(fields):
+                    return self.items.filter(F.col("path").isin(*set(paths))) if paths else self.items.limit(0)
+        return self.items
+
+    def _holding(self, phrase: tuple[str, ...], fields: list[str]) -> int | None:
+        """Rows that hold a term in any of the fields, where the inverted table tells."""
+        rows = self.store.terms(self._meta, phrase[0]) if self._meta is not None and len(phrase) == 1 else None
+        return None if rows is None else rows.filter(F.col("field").isin(*fields)).select("path").distinct().count()
 
     def ranked(self, query: str, rank: str | Rank = "default", after: dict[str, Any] | None = None, limit: int | None = None) -> DataFrame:
         """Matching items with their score, in order, lazily."""
         return self._ranked(self.bind(query), Rank.of(rank), after, limit)[0]
 
     def _ranked(self, bound: Bound, rank: Rank, after: dict[str, Any] | None, limit: int | None) -> tuple[DataFrame, Order]:
-        order, items = order_of(rank, self.schema, bound, self.items)
+        totals = {"known": (self._meta.rows, self._meta.length), "held": self._holding} if self._meta is not None else {}
+        order, _ = order_of(rank, self.schema, bound, self.items, **totals)
+        _, items = order_of(Rank("none") if order.kind == "fts" else rank, self.schema, bound, self._named(bound))
         rows = items.filter(bound.test).withColumn("score", order.score)
         if after is not None:
             rows = rows.filter(order.after(after))
@@ -206,40 +243,57 @@ class Index:
             raise FeatureMissing("this index has no store to write to")
         return self.store
 
-    def _publish(self, schema: Schema, items: DataFrame, next_id: int, put: DataFrame | None = None) -> None:
-        """A new snapshot; values of items, and of rows that were put and replaced within a batch, stay known."""
-        store = self._stored()
-        known = store.known_values()
-        for rows in (items, put):
-            for name, f in schema.fields.items():
-                if rows is not None and f.kind == "keyword":
-                    value = F.explode(F.col(schema.column(name))) if f.is_array else F.col(schema.column(name))
-                    known = known.unionByName(rows.select(F.lit(name).alias("field"), value.alias("value")).filter("value IS NOT NULL"))
-        known = known.distinct()
-        store.publish(schema, items, known, next_id)
-        self.schema, self._items = schema, store.items()
-
-    def write_ops(self, ops: DataFrame, now_ms: int | None = None) -> int:
-        """Apply ordered operations (seq, op put or delete, path, data_json) as one batch; how many took effect."""
+    def _now(self, meta: Meta) -> None:
+        self._meta, self.schema, self._items = meta, meta.schema, self._stored().items(meta)
+
+    def _values(self, rows: DataFrame) -> DataFrame | None:
+        """(field, value) of keyword fields that were not known before."""
+        known = None
+        for name, f in self.schema.fields.items():
+            if f.kind == "keyword":
+                value = F.explode(F.col(Schema.column(name))) if f.is_array else F.col(Schema.column(name))
+                part = rows.select(F.lit(name).alias("field"), value.alias("value")).filter("value IS NOT NULL")
+                known = part if known is None else known.unionByName(part)
+        return None if known is None else known.distinct().join(self._stored().known_values(), ["field", "value"], "left_anti")
+
+    def write_ops(self, ops: DataFrame, now_ms: int | None = None, stream: tuple[str, int] | None = None) -> int:
+        """Apply ordered operations (seq, op put or delete, path, data_json) as one batch; how many took effect.
+
+        stream: a stream's name and the number of its batch; one that was applied before changes nothing.
+        """
         store = self._stored()
         with store.lock():
+            meta = store.meta()
+            if stream is not None and meta.streams.get(stream[0], -1) >= stream[1]:
+                return 0
             now = self.now_ms() if now_ms is None else now_ms
             for c in ("created_at", "updated_at"):
                 if c not in ops.columns:
                     ops = ops.withColumn(c, F.lit(None).cast("long"))
-            next_id = store.meta()["next_id"]
-            # read and typed once: for the errors, the counts, the new items and the known values
-            rows = mutation.typed_ops(ops, self.schema).persist()
+            # read and typed once: for the errors, the counts, the changes and the known values
+            rows = mutation.typed_ops(ops, meta.schema).persist()
+            changed = rows
             try:
                 wrong = F.when(F.size("errors") > 0, F.struct("seq", "errors"))
                 told = rows.agg(F.min(wrong).alias("bad"), F.count(F.when(F.col("op") == "put", 1)).alias("puts"), F.count(F.when(F.col("op") == "delete", 1)).alias("deletes")).first()
                 if told["bad"] is not None:
                     raise TypeMismatch(f"document {told['bad']['seq']}: {'; '.join(told['bad']['errors'])}")
-                hits = self._deletes_that_hit(rows, store.items()) if told["deletes"] else 0
-                items = mutation.apply_batch(store.items(), rows, self.schema, now, next_id)
-                self._publish(self.schema, items, next_id + told["puts"], rows)
+                items = store.items(meta)
+                hits = self._deletes_that_hit(rows, items) if told["deletes"] else 0
+                changed = mutation.changes(items, rows, meta.schema, now, meta.next_id).persist()
+                live = ~F.col("gone")
+                sums = changed.agg(
+                    F.count(F.lit(1)).alias("n"), (F.count(F.when(live, 1)) - F.count(F.when(F.col("was"), 1))).alias("rows"),
+                    (F.coalesce(F.sum(F.when(live, F.col("length"))), F.lit(0)) - F.coalesce(F.sum(F.when(F.col("was"), F.col("old_length"))), F.lit(0))).alias("length"),
+                ).first()
+                streams = meta.streams | ({stream[0]: stream[1]} if stream else {})
+                known = self._values(rows) if told["puts"] else None
+                self._now(store.publish_changes(
+                    meta, changed.drop("was", "old_length"), known, sums["n"], next_id=meta.next_id + told["puts"], rows=meta.rows + sums["rows"], length=meta.length + sums["length"], streams=streams
+                ))
             finally:
                 rows.unpersist()
+                changed.unpersist()
         return told["puts"] + hits
 
     @staticmethod
@@ -290,24 +344,26 @@ class Index:
     def delete_where(self, query: str) -> int:
         """Delete what a query matches; how many items went."""
         store = self._stored()
-        condition = self.bind(query).condition
+        bound = self.bind(query)
         with store.lock():
-            items = store.items()
-            gone = items.filter(condition).count()
-            if gone:
-                self._publish(self.schema, items.filter(~condition), store.meta()["next_id"])
-        return gone
+            meta = store.meta()
+            rows = store.items(meta).filter(bound.test)
+            found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+            if found["n"]:
+                gone = rows.select(*[F.col(c) if c in ("item_id", "path") else F.lit(None).cast(t).alias(c) for c, t in ((x.name, x.dataType) for x in meta.schema.struct())], F.lit(True).alias("gone"))
+                self._now(store.publish_changes(meta, gone, None, found["n"], rows=meta.rows - found["n"], length=meta.length - found["length"]))
+        return found["n"]
 
     delete_query = delete_where
 
     def optimize(self) -> None:
-        """Rewrite the snapshot in ranges of paths, as many as a shuffle has partitions; nothing to do without text fields."""
+        """One base in ranges of paths, with the inverted text table, of all that stands; nothing to do without text fields."""
         if not self.schema.text_fields:
             return
         store = self._stored()
         with store.lock():
-            items = store.items().repartitionByRange("path").sortWithinPartitions("path")
-            self._publish(self.schema, items, store.meta()["next_id"])
+            meta = store.meta()
+            self._now(store.publish(meta, store.items(meta), sort=True, terms=True))
 
     def apply_schema(self, new: Schema) -> list[str]:
         """Add fields; their values come from the stored documents."""
@@ -325,7 +381,12 @@ class Index:
     def _retype(self, new: Schema) -> None:
         store = self._stored()
         with store.lock():
-            rows = typed(store.items().select("item_id", "data_json", "created_at", "updated_at"), new)
+            meta = store.meta()
+            rows = typed(store.items(meta).select("item_id", "data_json", "created_at", "updated_at"), new)
             if (bad := rows.filter(F.size("errors") > 0).select("errors").first()) is not None:
                 raise TypeMismatch("; ".join(bad["errors"]))
-            self._publish(new, rows.select(*new.struct().fieldNames()), store.meta()["next_id"])
+            meta = store.publish(meta, rows.select(*new.struct().fieldNames()), schema=new)
+            # values of the fields that were added are known from now on
+            self.schema = new
+            values = self._values(store.items(meta))
+            self._now(meta if values is None else store.know(meta, values))

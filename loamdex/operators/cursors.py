@@ -5,13 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import os
 import secrets
 import time
 from typing import Any
 
 from loamdex.errors import CursorError
 from loamdex.operators.ranking import Rank
+from loamdex.sources.files import Files
 
 # Life of a short handle, and tries for a free one.
 TTL_MS, TRIES = 3_600_000, 3
@@ -38,24 +38,21 @@ def decode(token: str) -> dict[str, Any]:
 
 
 class ShortCursors:
-    """Handles c:<24 hex digits> in a small file on the driver; expired ones go at every use. Without a file they live in memory."""
+    """Handles c:<24 hex digits> in a small file beside the index; expired ones go at every use. Without a file they live in memory."""
 
-    def __init__(self, path: str | None = None):
-        self.path, self.memory = path, {}
+    def __init__(self, files: Files | None = None, path: str | None = None):
+        self.files, self.path, self.memory = files, path, {}
 
     def _load(self, now: int) -> dict[str, Any]:
         held = self.memory
-        if self.path and os.path.exists(self.path):
-            with open(self.path, encoding="utf-8") as f:
-                held = json.load(f)
+        if self.path and self.files.exists(self.path):
+            held = json.loads(self.files.read(self.path))
         return {k: v for k, v in held.items() if v["expires"] > now}
 
     def _save(self, held: dict[str, Any]) -> None:
         self.memory = held
         if self.path:
-            with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-                json.dump(held, f)
-            os.replace(f"{self.path}.new", self.path)
+            self.files.replace(self.path, json.dumps(held))
 
     def put(self, position: dict[str, Any], now: int | None = None) -> str:
         now = int(time.time() * 1000) if now is None else now

@@ -97,4 +97,4 @@ def typed(raw: DataFrame, schema: Schema) -> DataFrame:
     columns["errors"] = F.array_compact(F.array(*errors))
     rows = rows.withColumns(columns)
     rows = rows.withColumns({schema.tokens(n): text.tokens(F.col(schema.column(n))) for n, _ in schema.text_fields})
-    return rows.drop("_doc")
+    return rows.withColumn("length", text.length(schema)).drop("_doc")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -36,39 +39,43 @@ class Rank:
         return {"Field": self.field} if self.mode == "field" else self.mode.capitalize()
 
 
+Phrase = tuple[str, ...]
+
+
 class Corpus:
-    """Totals that BM25 needs: rows, mean length, and rows that hold each phrase, from one aggregation."""
+    """What BM25 needs: rows, mean length, and how many rows hold each phrase in any of the fields that it was asked for.
+
+    known: (rows, tokens) where a store keeps them; held: rows that hold a phrase where an inverted table tells. The rest
+    is one aggregation.
+    """
 
-    def __init__(self, items: DataFrame, schema: Schema, phrases: list[tuple[str, tuple[str, ...]]]):
-        length = lengths(schema)
-        held = [F.count(F.when(F.coalesce(text.holds(F.col(schema.tokens(n)), list(p)), F.lit(False)), 1)).alias(f"n{i}") for i, (n, p) in enumerate(phrases)]
-        row = items.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean"), *held).first()
-        self.rows, self.mean, self.holding = row["rows"], row["mean"], [row[f"n{i}"] for i in range(len(phrases))]
+    def __init__(self, items: DataFrame, schema: Schema, phrases: dict[Phrase, list[str]], known: tuple[int, int] | None = None, held: Callable[[Phrase, list[str]], int | None] | None = None):
+        found = {p: held(p, fields) if held else None for p, fields in phrases.items()}
+        open_ = [p for p, n in found.items() if n is None]
+        sums = [F.count(F.when(any_holds(schema, p, phrases[p]), 1)).alias(f"n{i}") for i, p in enumerate(open_)]
+        if known is None:
+            sums += [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")]
+        row = items.agg(*sums).first() if sums else None
+        self.rows, length = known or (row["rows"], row["length"])
+        self.mean = length / self.rows if self.rows else 0.0
+        self.holding = found | {p: row[f"n{i}"] for i, p in enumerate(open_)}
 
 
-def lengths(schema: Schema) -> Column:
-    """Tokens over all text fields."""
-    sizes = [F.coalesce(F.size(F.col(schema.tokens(n))), F.lit(0)) for n, _ in schema.text_fields]
-    total = F.lit(0)
-    for s in sizes:
-        total = total + s
-    return total
+def any_holds(schema: Schema, phrase: Phrase, fields: list[str]) -> Column:
+    tests = [F.coalesce(text.holds(F.col(schema.tokens(n)), list(phrase)), F.lit(False)) for n in fields]
+    return functools.reduce(operator.or_, tests)
 
 
-def bm25(schema: Schema, bound: Bound, corpus: Corpus) -> Column:
+def bm25(schema: Schema, phrases: dict[Phrase, list[str]], corpus: Corpus) -> Column:
     """A phrase counts in every field that it was asked for, by the field's weight."""
     weights = dict(schema.text_fields)
-    by_phrase: dict[tuple[str, ...], list[tuple[str, int]]] = {}
-    for (name, phrase), holding in zip(bound.phrases, corpus.holding, strict=True):
-        by_phrase.setdefault(phrase, []).append((name, holding))
     parts = []
-    for phrase, fields in by_phrase.items():
+    for phrase, fields in phrases.items():
         frequency = F.lit(0.0)
-        for name, _ in fields:
+        for name in fields:
             frequency = frequency + F.lit(float(weights[name])) * F.coalesce(text.occurrences(F.col(schema.tokens(name)), list(phrase)), F.lit(0))
-        # rows that hold the phrase in any of its fields; the largest single field bounds it from below
-        parts.append((frequency, text.idf(corpus.rows, max(h for _, h in fields))))
-    return text.bm25(parts, lengths(schema), corpus.mean)
+        parts.append((frequency, text.idf(corpus.rows, corpus.holding[phrase])))
+    return text.bm25(parts, F.col("length"), corpus.mean)
 
 
 @dataclass
@@ -109,8 +116,8 @@ class Order:
         return {"kind": "field", "field": self.field, "rank_value": row["score"]} | place
 
 
-def order_of(rank: Rank, schema: Schema, bound: Bound, items: DataFrame) -> tuple[Order, DataFrame]:
-    """The order, and the items that can be ranked: ranking by a field leaves out items without it."""
+def order_of(rank: Rank, schema: Schema, bound: Bound, items: DataFrame, **corpus) -> tuple[Order, DataFrame]:
+    """The order, and the items that can be ranked: ranking by a field leaves out items without it. corpus: see Corpus."""
     recent = [F.desc("updated_at"), F.asc("path")]
     if rank.mode == "field":
         field = schema.get(rank.field or "")
@@ -124,5 +131,9 @@ def order_of(rank: Rank, schema: Schema, bound: Bound, items: DataFrame) -> tupl
     if rank.mode in ("none", "fts_id"):
         return Order("none", F.lit(0.0), [F.asc("item_id")]), items
     if rank.mode == "default" and bound.phrases:
-        return Order("fts", F.round(bm25(schema, bound, Corpus(items, schema, bound.phrases)), 9), [F.desc("score"), F.asc("item_id")]), items
+        phrases: dict[Phrase, list[str]] = {}
+        for name, phrase in bound.phrases:
+            phrases.setdefault(phrase, []).append(name)
+        score = bm25(schema, phrases, Corpus(items, schema, phrases, **corpus))
+        return Order("fts", F.round(score, 9), [F.desc("score"), F.asc("item_id")]), items
     return Order("recency", F.col("updated_at").cast("double"), recent), items

@@ -30,6 +30,8 @@ class Bound:
     test: Column
     steps: list[str]
     phrases: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    #: (fields, tokens): every match holds each of the tokens in one of the fields.
+    required: list[tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=list)
 
     @property
     def condition(self) -> Column:
@@ -44,7 +46,20 @@ class Binder:
         self.phrases: list[tuple[str, tuple[str, ...]]] = []
 
     def bind(self, tree: ast.Node) -> Bound:
-        return Bound(self._node(tree, False), self.steps, list(dict.fromkeys(self.phrases)))
+        return Bound(self._node(tree, False), self.steps, list(dict.fromkeys(self.phrases)), self._required(tree))
+
+    def _required(self, node: ast.Node) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+        """The text leaves that all matches satisfy: those under AND alone."""
+        if isinstance(node, ast.And):
+            return self._required(node.left) + self._required(node.right)
+        if isinstance(node, ast.Text):
+            names, term = tuple([node.field] if node.field else [n for n, _ in self.schema.text_fields]), node.term
+        elif isinstance(node, ast.Keyword) and node.field in self.schema.fields and self.schema[node.field].kind == "text":
+            names, term = (node.field,), node.pattern
+        else:
+            return []
+        tokens = tuple(dict.fromkeys(text.term_tokens(term)))
+        return [(names, tokens)] if tokens else []
 
     def _node(self, node: ast.Node, negated: bool) -> Column:
         if isinstance(node, ast.And):

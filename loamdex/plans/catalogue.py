@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.operators import facets, mutation
+from loamdex.index import Index, SearchOptions
+from loamdex.okf.bundle import PROJECTION, read_bundle, sync
 from loamdex.sources import tables
+from loamdex.sources.files import Files
+from loamdex.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _NOW, _DAY = tables.NOW_MS, 86_400_000
@@ -83,18 +87,21 @@ _FILTERS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def _filter(index: str, query: str) -> Query:
+def _filter(name: str, index: str, query: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(tables, index)(spark, sf_dir).matching(query).select("path", "item_id")
+        # text is searched in a stored index, whose texts are split once
+        made = tables.stored(spark, sf_dir, index) if name.startswith("fts_") else getattr(tables, index)(spark, sf_dir)
+        return made.matching(query).select("path", "item_id")
 
     return run
 
 
-def _page(index: str, query: str, rank: str, limit: int, after: dict | None = None) -> Query:
+def _page(index: str, query: str, rank: str, limit: int, after: dict | None = None, stored: bool = False) -> Query:
     """path, score and position of the first rows after a position."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = getattr(tables, index)(spark, sf_dir).ranked(query, rank, after, limit)
+        made = tables.stored(spark, sf_dir, index) if stored else getattr(tables, index)(spark, sf_dir)
+        rows = made.ranked(query, rank, after, limit)
         return rows.select("path", F.round("score", 6).alias("score"))
 
     return run
@@ -104,7 +111,7 @@ def _bm25_sql(setup: str, fields: dict[str, float], condition: str, phrase: str,
     """BM25 of one term over token columns with weights."""
     frequency = " + ".join(f"{w} * len(list_filter({c}, lambda t: t = '{phrase}'))" for c, w in fields.items())
     length = " + ".join(f"len({c})" for c in fields)
-    held = "greatest(" + ", ".join(f"count(*) FILTER (WHERE list_contains({c}, '{phrase}'))" for c in fields) + ")"
+    held = f"count(*) FILTER (WHERE {' OR '.join(f"list_contains({c}, '{phrase}')" for c in fields)})"
     return f"""WITH {setup}, s AS (SELECT count(*) AS n, avg({length}) AS mean, {held} AS m FROM d), r AS (
   SELECT path, item_id, round(greatest(ln((n - m + 0.5) / (m + 0.5)), 1e-6) * ({frequency}) * 2.2 / (({frequency}) + 1.2 * (0.25 + 0.75 * ({length}) / mean)), 9) AS score FROM d, s WHERE {condition})
 SELECT path, round(score, 6) AS score FROM r ORDER BY r.score DESC, item_id LIMIT {limit}"""
@@ -141,41 +148,126 @@ def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as documents by user in order of id: the last of each user stands, errors delete."""
+    """Events written as documents by user in order of id, in two batches: the last of each user stands, errors delete."""
     events = tables.read(spark, sf_dir, "events")
     path = F.concat(F.lit("/users/"), F.col("user_id").cast("string"))
     doc = F.to_json(F.struct(path.alias("path"), "event_type", "value"))
     op = F.when(F.col("event_type") == "error", "delete").otherwise("put")
-    ops = events.select(F.col("event_id").alias("seq"), op.alias("op"), path.alias("path"), doc.alias("data_json"), F.lit(None).cast("long").alias("created_at"), F.lit(None).cast("long").alias("updated_at"))
-    schema = tables.Schema({"event_type": tables.Field("keyword"), "value": tables.Field("number")})
-    empty = spark.createDataFrame([], schema.struct())
-    items = mutation.apply_batch(empty, mutation.typed_ops(ops, schema), schema, _NOW, 1)
-    return items.select("path", "item_id", F.col("f_event_type").alias("event_type"), F.round("f_value", 6).alias("value"))
+    ops = events.select(F.col("event_id").alias("seq"), op.alias("op"), path.alias("path"), doc.alias("data_json"))
+    index = Index.create(spark, f"{new_path(spark, 'upserts')}.idx", tables.Schema({"event_type": tables.Field("keyword"), "value": tables.Field("number")}))
+    middle = events.agg(F.floor(F.avg("event_id"))).first()[0]
+    index.write_ops(ops.filter(F.col("seq") <= middle), now_ms=1000)
+    index.write_ops(ops.filter(F.col("seq") > middle), now_ms=2000)
+    return index.items.select("path", "item_id", "created_at", "updated_at", F.col("f_event_type").alias("event_type"), F.round("f_value", 6).alias("value"))
+
+
+_UPSERTS_SQL = """WITH e AS (SELECT *, CASE WHEN event_id <= (SELECT floor(avg(event_id)) FROM events) THEN 1 ELSE 2 END AS batch, event_type = 'error' AS gone FROM events),
+w AS (SELECT *, max(event_id) FILTER (WHERE gone) OVER (PARTITION BY user_id, batch) AS last_gone, row_number() OVER (PARTITION BY user_id, batch ORDER BY event_id DESC) AS n FROM e),
+s AS (SELECT user_id, batch, max(last_gone) AS last_gone, min(event_id) FILTER (WHERE NOT gone AND (last_gone IS NULL OR event_id > last_gone)) AS born,
+  max(event_type) FILTER (WHERE n = 1) AS event_type, max(value) FILTER (WHERE n = 1) AS value, bool_or(gone) FILTER (WHERE n = 1) AS dead FROM w GROUP BY 1, 2),
+one AS (SELECT *, row_number() OVER (ORDER BY born) AS item_id FROM s WHERE batch = 1 AND NOT dead),
+two AS (SELECT s.*, one.item_id AS old_id FROM s LEFT JOIN one USING (user_id) WHERE s.batch = 2 AND NOT s.dead),
+new AS (SELECT user_id, (SELECT count(*) FROM e WHERE batch = 1 AND NOT gone) + row_number() OVER (ORDER BY born) AS item_id FROM two WHERE old_id IS NULL OR last_gone IS NOT NULL)
+SELECT '/users/' || two.user_id AS path, coalesce(new.item_id, old_id) AS item_id, CASE WHEN new.item_id IS NULL THEN 1000 ELSE 2000 END AS created_at, 2000 AS updated_at, event_type, round(value, 6) AS value FROM two LEFT JOIN new USING (user_id)
+UNION ALL SELECT '/users/' || user_id, item_id, 1000, 1000, event_type, round(value, 6) FROM one WHERE user_id NOT IN (SELECT user_id FROM s WHERE batch = 2)"""
 
 
 def _delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = tables.docs(spark, sf_dir)
-    return index.items.filter(~index.bind("lang:en OR toxic:true").condition).select("path", "item_id")
+    index = tables.fresh(spark, sf_dir, "docs")
+    index.delete_where("lang:en OR toxic:true")
+    return index.items.select("path", "item_id")
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = tables.docs(spark, sf_dir).items
-    return items.filter(F.startswith("path", F.lit("/docs/de/1"))).select("path").orderBy("path")
+    found = tables.docs(spark, sf_dir).scan_paths("/docs/de/1")
+    return spark.createDataFrame([(path,) for path in found], "path string")
 
 
 def _zero_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A global facet after every French document is gone: its value stays, with count 0."""
-    index = tables.docs(spark, sf_dir)
-    known = index.items.select(F.lit("lang").alias("field"), F.col("f_lang").alias("value")).distinct()
-    left = index.items.filter(~index.bind("lang:fr").condition)
-    return facets.facet(left, index.schema, "lang", None, known)
-
-
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links by target: how many distinct pages have one, and the least of them."""
-    pages = tables.read(spark, sf_dir, "pages")
-    found = pages.select(F.col("page_id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("target"))
-    return found.groupBy("target").agg(F.count(F.lit(1)).alias("sources"), F.min("source").alias("first_source"))
+    index = tables.fresh(spark, sf_dir, "docs")
+    index.delete_where("lang:fr")
+    return index.discover_values("lang", top=None)
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines in several files, and imported as one batch: ids follow files and lines."""
+    path = F.concat(F.lit("/docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
+    rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(path.alias("path"), F.col("text").alias("body"), "lang", "n_chars")).alias("value"))
+    folder = new_path(spark, "lines")
+    rows.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    index = Index.create(spark, f"{new_path(spark, 'imported')}.idx", tables.Schema.from_spec("body:text,lang:keyword,n_chars:number"))
+    index.import_jsonl(folder)
+    return index.items.select("path", "item_id", F.col("f_lang").alias("lang"), F.col("f_n_chars").alias("n_chars"), F.col("length").alias("n_tokens"))
+
+
+def _cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a search, each from the cursor of the one before."""
+    index, found, after = tables.orders(spark, sf_dir), [], None
+    for page in itertools.count():
+        got = index.search("status:P AND total>300000", SearchOptions("field:total", 40, after))
+        found += [(page, i, x["path"]) for i, x in enumerate(got.items)]
+        after = got.next_cursor
+        if not got.has_more:
+            return spark.createDataFrame(found, "page long, place long, path string")
+
+
+def _got(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads of a stored index, before and after a put of one of the paths."""
+    index = tables.fresh(spark, sf_dir, "pages")
+    index.now_ms = lambda: _NOW
+    path = index.items.agg(F.min("path")).first()[0]
+    index.put_fields(path, {"url": "changed"})
+    got = index.get(path)
+    url = index.items.filter(F.col("path") == path).first()["f_url"]
+    return spark.createDataFrame([(path, got["doc"]["url"], url, got["created_at"], got["updated_at"], index.items.count())], "path string, url string, field string, created_at long, updated_at long, items long")
+
+
+def _write_bundle(spark: SparkSession, sf_dir: str, faults: bool) -> tuple[str, Files]:
+    """Regions and nations as a bundle of documents that link to each other; with faults that the rules find."""
+    files, root = Files(spark), new_path(spark, "bundle")
+    nations = tables.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    for r in tables.read(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        links = "".join(f"* [{n['n_name']}](../nations/{n['n_nationkey']}.md)\n" for n in nations if n["n_regionkey"] == r["r_regionkey"])
+        files.write(f"{root}/regions/{r['r_regionkey']}.md", f"---\ntype: Region\ntitle: {r['r_name']}\n---\n{links}")
+    for n in nations:
+        k = n["n_nationkey"]
+        kind = "" if faults and k % 5 == 0 else "type: Nation\n"
+        status = "status: odd\n" if faults and k % 7 == 3 else "status: draft\n"
+        missing = f" and [none](/nowhere/{k}.md)" if faults and k % 6 == 1 else ""
+        files.write(f"{root}/nations/{k}.md", f"---\n{kind}{status}title: {n['n_name']}\ntags: [r{n['n_regionkey']}]\n---\nIn [it](/regions/{n['n_regionkey']}.md){missing}.\n")
+    return root, files
+
+
+def _okf_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_bundle(spark, _write_bundle(spark, sf_dir, True)[0]).findings
+    return found.select("path", "severity", "code", F.col("line").cast("long").alias("line"))
+
+
+def _okf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_bundle(spark, _write_bundle(spark, sf_dir, True)[0]).edges.select("source", "target")
+
+
+def _okf_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Index.create(spark, f"{new_path(spark, 'projections')}.idx", PROJECTION)
+    sync(spark, _write_bundle(spark, sf_dir, False)[0], index)
+    columns = [F.col(f"f_{c}").alias(c) for c in ("title", "type", "status", "trust_tier")]
+    return index.items.select("path", *columns, F.array_join(F.array_sort("f_link_targets"), " ").alias("targets"), F.size("f_backlinks").cast("long").alias("backlinks"))
+
+
+def _okf_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second synchronisation does after all regions changed and the nations of one are gone."""
+    root, files = _write_bundle(spark, sf_dir, False)
+    index = Index.create(spark, f"{new_path(spark, 'synced')}.idx", PROJECTION)
+    first = sync(spark, root, index)
+    for name in files.names(f"{root}/regions"):
+        files.write(f"{root}/regions/{name}", files.read(f"{root}/regions/{name}") + "\nMore.\n")
+    for n in tables.read(spark, sf_dir, "nation").filter("n_regionkey = 0").collect():
+        files.delete(f"{root}/nations/{n['n_nationkey']}.md")
+    again = sync(spark, root, index)
+    kinds = ("added", "updated", "unchanged", "deleted")
+    rows = [(i, k, report[k]) for i, report in enumerate((first, again), 1) for k in kinds] + [(3, "items", index.items.count())]
+    return spark.createDataFrame(rows, "run long, kind string, n long")
 
 
 _AFTER_FIELD = {"kind": "field", "field": "total", "rank_value": 300000.0, "updated_at_ms": 1704067200000, "path": "/"}
@@ -196,8 +288,8 @@ _MORE: dict[str, tuple[Query, str]] = {
         _page("docs", "lang:en", "recency", 20, _AFTER_RECENCY),
         f"WITH {_DOCS} SELECT path, CAST(tm AS DOUBLE) AS score FROM d WHERE lang = 'en' AND (tm < 1704097200000 OR (tm = 1704097200000 AND path > '/docs/zz')) ORDER BY tm DESC, path LIMIT 20",
     ),
-    "fts_bm25_topk": (_page("docs", "that", "default", 10), _bm25_sql(_DOCS_TOKENS, {"tb": 1.0}, "list_contains(tb, 'that')", "that", 10)),
-    "fts_bm25_weighted": (_page("pages", "the", "default", 10), _bm25_sql(_PAGES, {"th": 1.0, "tt": 3.0}, "list_contains(th, 'the') OR list_contains(tt, 'the')", "the", 10)),
+    "fts_bm25_topk": (_page("docs", "that", "default", 10, stored=True), _bm25_sql(_DOCS_TOKENS, {"tb": 1.0}, "list_contains(tb, 'that')", "that", 10)),
+    "fts_bm25_weighted": (_page("pages", "the", "default", 10, stored=True), _bm25_sql(_PAGES, {"th": 1.0, "tt": 3.0}, "list_contains(th, 'the') OR list_contains(tt, 'the')", "the", 10)),
     "count_query": (_count, f"WITH {_ORDERS} SELECT count(*) AS n FROM d WHERE list_contains(flags, 'R') AND status = 'F'"),
     "facet_global": (_facet("orders", "flags"), f"WITH {_ORDERS} SELECT value, count(*) AS count FROM (SELECT unnest(flags) AS value FROM d) GROUP BY 1"),
     "facet_scoped": (_facet("orders", "flags", "status:O"), f"WITH {_ORDERS} SELECT value, count(*) AS count FROM (SELECT unnest(flags) AS value FROM d WHERE status = 'O') GROUP BY 1"),
@@ -217,23 +309,50 @@ _MORE: dict[str, tuple[Query, str]] = {
     ),
     "stats_created": (_stats("docs", "created", "lang:es"), f"WITH {_DOCS} SELECT count(*) AS count, CAST(min(tm) AS DOUBLE) AS min, CAST(max(tm) AS DOUBLE) AS max, round(avg(tm), 6) AS avg FROM d WHERE lang = 'es'"),
     "stats_date": (_stats("events", "ts", "event_type:purchase"), f"WITH {_EVENTS} SELECT count(*) AS count, CAST(min(ts) AS DOUBLE) AS min, CAST(max(ts) AS DOUBLE) AS max, round(avg(ts), 6) AS avg FROM d WHERE event_type = 'purchase'"),
-    "upsert_lww": (
-        _upserts,
-        """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)
-SELECT '/users/' || user_id AS path, row_number() OVER (ORDER BY event_id) AS item_id, event_type, round(value, 6) AS value FROM o WHERE n = 1 AND event_type <> 'error'""",
+    "upsert_lww": (_upserts, _UPSERTS_SQL),
+    "import_files": (
+        _imported,
+        f"""WITH {_DOCS}, t AS (SELECT *, {_TOKENS.format("coalesce(body, '')")} AS tb FROM d)
+SELECT path, row_number() OVER (ORDER BY item_id) AS item_id, lang, CAST(n_chars AS DOUBLE) AS n_chars, len(tb) AS n_tokens FROM t""",
+    ),
+    "cursor_pages": (
+        _cursor_pages,
+        f"""WITH {_ORDERS}, r AS (SELECT path, row_number() OVER (ORDER BY total DESC, tm DESC, path) - 1 AS n FROM d WHERE status = 'P' AND total > 300000)
+SELECT n // 40 AS page, n % 40 AS place, path FROM r""",
+    ),
+    "put_and_get": (
+        _got,
+        f"WITH {_PAGES}, f AS (SELECT min(path) AS path FROM d) SELECT path, 'changed' AS url, 'changed' AS field, tm AS created_at, {_NOW} AS updated_at, (SELECT count(*) FROM d) AS items FROM d WHERE path = (SELECT path FROM f)",
+    ),
+    "okf_findings": (
+        _okf_findings,
+        """SELECT 'nations/' || n_nationkey || '.md' AS path, 'error' AS severity, 'OKF105' AS code, CAST(NULL AS BIGINT) AS line FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'warning', 'OKF320', CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 3 END FROM nation WHERE n_nationkey % 7 = 3
+UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'warning', 'OKF400', CASE WHEN n_nationkey % 5 = 0 THEN 6 ELSE 7 END FROM nation WHERE n_nationkey % 6 = 1""",
+    ),
+    "okf_links": (
+        _okf_links,
+        """SELECT 'nations/' || n_nationkey || '.md' AS source, 'regions/' || n_regionkey || '.md' AS target FROM nation
+UNION ALL SELECT 'regions/' || n_regionkey || '.md', 'nations/' || n_nationkey || '.md' FROM nation""",
+    ),
+    "okf_projections": (
+        _okf_projections,
+        """SELECT '/nations/' || n_nationkey AS path, n_name AS title, 'Nation' AS type, 'draft' AS status, 'unverified' AS trust_tier, '/regions/' || n_regionkey AS targets, 1 AS backlinks FROM nation
+UNION ALL SELECT '/regions/' || r_regionkey, r_name, 'Region', 'stable', 'unverified', string_agg('/nations/' || n_nationkey, ' ' ORDER BY '/nations/' || n_nationkey), count(*) FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""",
+    ),
+    "okf_sync": (
+        _okf_sync,
+        """WITH c AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation WHERE n_regionkey = 0) AS gone)
+SELECT 1 AS run, unnest(['added', 'updated', 'unchanged', 'deleted']) AS kind, unnest([n + r, 0, 0, 0]) AS n FROM c
+UNION ALL SELECT 2, unnest(['added', 'updated', 'unchanged', 'deleted']), unnest([0, r, n - gone, gone]) FROM c UNION ALL SELECT 3, 'items', n + r - gone FROM c""",
     ),
     "delete_where": (_delete_where, f"WITH {_DOCS} SELECT path, item_id FROM d WHERE NOT (lang = 'en' OR coalesce(toxic, false))"),
     "scan_paths": (_scan, f"WITH {_DOCS} SELECT path FROM d WHERE starts_with(path, '/docs/de/1')"),
-    "link_graph": (
-        _links,
-        """WITH h AS (SELECT page_id AS source, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS target FROM pages)
-SELECT target, count(*) AS sources, min(source) AS first_source FROM h GROUP BY 1""",
-    ),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {name: _filter(index, query) for name, (index, query, _) in _FILTERS.items()} | {name: query for name, (query, _) in _MORE.items()}
+    return {name: _filter(name, index, query) for name, (index, query, _) in _FILTERS.items()} | {name: query for name, (query, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,8 @@ from loamdex.errors import SchemaError
 KINDS = ("keyword", "text", "number", "date", "bool")
 IMPLICIT = ("path", "created", "updated")
 #: Columns that every row has; created and updated are queried by their short names.
-BASE = "item_id LONG, path STRING, data_json STRING, created_at LONG, updated_at LONG"
+#: length counts the tokens of all text fields.
+BASE = "item_id LONG, path STRING, data_json STRING, created_at LONG, updated_at LONG, length LONG"
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*").fullmatch
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamdex.index import Index
 from loamdex.schema import Field, Schema
+from loamdex.sources.shared import new_path
 
 NOW_MS = 1_706_745_600_000
 START_MS, MINUTE_MS = 1_704_067_200_000, 60_000
@@ -38,6 +39,22 @@ def _index(rows: DataFrame, schema: Schema) -> Index:
     return Index.from_typed(rows, schema, now_ms=lambda: NOW_MS)
 
 
+_STORED: dict[tuple[str, str, str], Index] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """An index of this name, stored once for each session and folder: by path, with its tokens and the inverted table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = fresh(spark, sf_dir, name)
+    return _STORED[key]
+
+
+def fresh(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """A stored copy of its own, to be written to."""
+    return globals()[name](spark, sf_dir).saved(f"{new_path(spark, name)}.idx")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> Index:
     labels = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 1).alias("toxic"))
     rows = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")

@@ -14,13 +14,19 @@ def deduplicated(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> Dat
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(["path"])
 
 
-def ingest(stream: DataFrame, index: Index, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write a stream of (path, data_json) to an index, a batch per trigger; a batch that is given again changes nothing but times."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        index.write_ops(batch.select(F.monotonically_increasing_id().alias("seq"), F.lit("put").alias("op"), "path", "data_json"))
+def ingest(stream: DataFrame, index: Index, checkpoint: str, once: bool = False, at: str = "ts") -> StreamingQuery:
+    """Write a stream of (path, data_json, and a time of the event) to an index, a batch per trigger.
+
+    Of a path's documents in a batch the one with the latest time stands, ties by the document. The index keeps the number
+    of the last batch for each checkpoint, so a batch that is given again changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        seq = F.unix_micros(F.col(at).cast("timestamp")) if at in batch.columns else F.lit(0).cast("long")
+        # ties within a path by the document: only the last of a path and time is written
+        rows = batch.select(F.coalesce(seq, F.lit(0)).alias("seq"), F.lit("put").alias("op"), "path", "data_json")
+        rows = rows.groupBy("seq", "op", "path").agg(F.max("data_json").alias("data_json"))
+        index.write_ops(rows, stream=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -19,7 +19,7 @@ def test_commands(spark, tmp_path, monkeypatch):
     lines.write_text("".join(json.dumps({"path": f"/d{i}", "title": f"note {i}", "tags": ["a", f"t{i % 2}"], "p": i}) + "\n\n" for i in range(5)))
     assert cli("put", "n", "--import", str(lines)) == (0, "wrote 5 documents\n")
     assert cli("put", "n", "/x", "--set", "title=a b", "--set", "p=7", "--set", "tags=one,two")[0] == 0
-    assert json.loads(cli("get", "n", "/x")[1]) == {"title": "a b", "p": 7, "tags": "one,two", "path": "/x"}
+    assert json.loads(cli("get", "n", "/x")[1]) == {"title": "a b", "p": "7", "tags": "one,two", "path": "/x"}
     assert cli("search", "n", "tags:t1", "--format", "paths", "--rank", "field:p")[1] == "/d3\n/d1\n"
     page = json.loads(cli("search", "n", "tags:a", "--limit", "2", "--format", "json", "--show", "p")[1])
     assert page["has_more"] and page["next_cursor"].startswith("c:")

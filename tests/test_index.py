@@ -208,9 +208,9 @@ def test_schema_changes_and_rebuild(spark, tmp_path):
     assert [(r.path, r.created_at, r.f_n) for r in other.items.orderBy("item_id").collect()] == [(r.path, r.created_at, str(int(r.f_n))) for r in index.items.orderBy("item_id").collect()]
     index.optimize()
     assert index.items.count() == 5
-    assert list_indexes(str(tmp_path)) == ["d.idx", "e.idx"]
+    assert list_indexes(spark, str(tmp_path)) == ["d.idx", "e.idx"]
     index.store.drop()
-    assert list_indexes(str(tmp_path)) == ["e.idx"]
+    assert list_indexes(spark, str(tmp_path)) == ["e.idx"]
     with pytest.raises(NotFound):
         Index.open(spark, str(tmp_path / "d.idx"))
 
