@@ -3,30 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.sources.shared import new_path, shared_dir
+
+__all__ = ["cut", "give_back", "in_shards", "let", "new_path", "order_key", "shared_dir", "words_in"]
+
 #: A word of a text, as a Java, RE2 or Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Order key of rows whose doc_id is null: before all others.
 NULL_KEY = -(1 << 63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="loamdex-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def give_back() -> None:
     """Return what a worker has freed to the system; workers live on, and the next operator needs the memory."""
     pa.default_memory_pool().release_unused()
@@ -35,14 +27,11 @@ def give_back() -> None:
         trim(0)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder so that later steps don't compute them again."""
-    shared_dir(df.sparkSession)
+    context, folder = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
