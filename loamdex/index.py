@@ -24,8 +24,8 @@ from loamdex.schema import Schema
 from loamdex.sources import jsonl
 from loamdex.sources.store import Meta, Store
 
-#: Items that the inverted table may name for a query; beyond, the items are scanned.
-NAMED = 1000
+#: Items that the inverted table may name for a field; beyond, the items are scanned. And how many terms' answers are kept.
+NAMED, ASKED = 1000, 64
 
 
 @dataclass
@@ -70,6 +70,7 @@ class Index:
         self.spark, self.schema, self._items, self.store = spark, schema, items, store
         self.now_ms = now_ms or (lambda: int(time.time() * 1000))
         self._meta: Meta | None = None
+        self._asked: dict[tuple[str, str], dict[str, set[str]] | None] = {}
         self.short = cursors.ShortCursors(store.files if store else None, store.at("cursors.json") if store else None)
 
     # -- making and opening -------------------------------------------------------------------------------------
@@ -87,12 +88,12 @@ class Index:
         out._meta = meta
         return out
 
-    def saved(self, root: str) -> Index:
-        """The same items stored at root, by path and with the inverted text table."""
+    def saved(self, root: str, terms: bool = True) -> Index:
+        """The same items stored at root, by path and with the inverted text table if asked for."""
         made = Index.create(self.spark, root, self.schema, self.now_ms)
         with made.store.lock():
             top = self.items.agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
-            made._now(made.store.publish(made._meta, self.items.select(*self.schema.struct().fieldNames()), sort=True, terms=bool(self.schema.text_fields), next_id=top + 1))
+            made._now(made.store.publish(made._meta, self.items.select(*self.schema.struct().fieldNames()), sort=True, terms=terms and bool(self.schema.text_fields), next_id=top + 1))
             values = made._values(made.items)
             if values is not None:
                 made._now(made.store.know(made._meta, values))
@@ -132,20 +133,35 @@ class Index:
         bound = self.bind(query)
         return self._named(bound).filter(bound.test)
 
+    def _postings(self, term: str) -> dict[str, set[str]] | None:
+        """Paths by field of the items that hold a term; none where the inverted table can't be asked, or names too many."""
+        rows = self.store.terms(self._meta, term) if self._meta is not None else None
+        if rows is None:
+            return None
+        key = (self._meta.base, term)
+        if key not in self._asked:
+            limit = NAMED * len(self.schema.text_fields)
+            found = rows.limit(limit + 1).collect()
+            by_field = {name: {r["path"] for r in found if r["field"] == name} for name, _ in self.schema.text_fields}
+            while len(self._asked) >= ASKED:
+                self._asked.pop(next(iter(self._asked)))
+            self._asked[key] = by_field if len(found) <= limit else None
+        return self._asked[key]
+
     def _named(self, bound: Bound) -> DataFrame:
         """The items, or the few that the inverted table names for a term that every match holds, which the scan then prunes by path."""
-        for fields, tokens in bound.required if self._meta is not None else []:
+        for fields, tokens in bound.required:
             for token in tokens:
-                rows = self.store.terms(self._meta, token)
-                if rows is None:
-                    return self.items
-                paths = [r["path"] for r in rows.filter(F.col("field").isin(*fields)).select("path").limit(NAMED * len(fields) + 1).collect()]
-                if len(paths) <= NAMED * len(fields):
-                    return self.items.filter(F.col("path").isin(*set(paths))) if paths else self.items.limit(0)
+                if (found := self._postings(token)) is not None:
+                    paths = set().union(*(found[f] for f in fields))
+                    return self.items.filter(F.col("path").isin(*paths)) if paths else self.items.limit(0)
         return self.items
 
     def _holding(self, phrase: tuple[str, ...], fields: list[str]) -> int | None:
         """Rows that hold a term in any of the fields, where the inverted table tells."""
+        found = self._postings(phrase[0]) if len(phrase) == 1 else None
+        if found is not None:
+            return len(set().union(*(found[f] for f in fields)))
         rows = self.store.terms(self._meta, phrase[0]) if self._meta is not None and len(phrase) == 1 else None
         return None if rows is None else rows.filter(F.col("field").isin(*fields)).select("path").distinct().count()
 

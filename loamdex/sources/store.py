@@ -126,9 +126,11 @@ class Store:
         """(field, path) of the items that hold a term, from the inverted table; none while there are changes beside the base."""
         if not meta.terms or meta.delta is not None:
             return None
-        rows = self.spark.read.schema("term string, field string, path string, bucket int").parquet(self.at(meta.base, "terms"))
-        bucket = bucket_of(term)
-        return rows.filter((F.col("bucket") == bucket) & (F.col("term") == term)).select("field", "path")
+        # its bucket's folder alone is listed and read
+        place = self.at(meta.base, "terms", f"bucket={bucket_of(term)}")
+        if not self.files.exists(place):
+            return self.spark.createDataFrame([], "field string, path string")
+        return self.spark.read.schema("term string, field string, path string").parquet(place).filter(F.col("term") == term).select("field", "path")
 
     # -- writing ------------------------------------------------------------------------------------------------
 

@@ -46,13 +46,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> Index:
     """An index of this name, stored once for each session and folder: by path, with its tokens and the inverted table."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = fresh(spark, sf_dir, name)
+        _STORED[key] = fresh(spark, sf_dir, name, terms=True)
     return _STORED[key]
 
 
-def fresh(spark: SparkSession, sf_dir: str, name: str) -> Index:
+def fresh(spark: SparkSession, sf_dir: str, name: str, terms: bool = False) -> Index:
     """A stored copy of its own, to be written to."""
-    return globals()[name](spark, sf_dir).saved(f"{new_path(spark, name)}.idx")
+    return globals()[name](spark, sf_dir).saved(f"{new_path(spark, name)}.idx", terms)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> Index:
