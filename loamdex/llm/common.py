@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -49,32 +50,32 @@ def order_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NULL_KEY))
 
 
-def in_shards(docs: DataFrame, key: str, rows_per_shard: int = 4096, most: int = 65536) -> tuple[DataFrame, list[int]]:
-    """docs with a column _shard, so that shards are ranges of key in ascending order, and each shard's first key.
+def in_shards(docs: DataFrame, key: str, tie: str, rows_per_shard: int = 4096, most: int = 65536) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """docs with a column _shard, so that shards are ranges of (key, tie) in ascending order, and each shard's bound.
 
-    The bounds are quantiles of the key alone (one pass that reads no other column). Every bound is a key that
-    occurs, so no shard is empty; their number is at most ``most``, which bounds what the driver holds.
+    tie: a 64-bit hash of what tells rows of one key apart. The bounds are quantiles of the key alone (one pass that reads
+    no other column), whose number is at most ``most``, which bounds what the driver holds. A key that is several quantiles
+    holds many rows and has as many shards, equal ranges of tie; any other bound is the first key of its shard.
     """
     keys = docs.select(F.col(key).alias("k"))
     rows, first = keys.agg(F.count(F.lit(1)), F.min("k")).first()
     if not rows:
         return docs.withColumn("_shard", F.lit(0)), []
     n = max(1, min(most, -(-rows // rows_per_shard)))
-    bounds = [first]
-    if n > 1:
-        # percentile_approx keeps longs exact; approxQuantile would pass them through doubles
-        cuts = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0]
-        bounds += sorted({int(c) for c in cuts} - {first})
+    # percentile_approx keeps longs exact; approxQuantile would pass them through doubles
+    cuts = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    times = Counter([first, *map(int, cuts)])
+    bounds = [(k, NULL_KEY + i * (1 << 64) // times[k]) for k in sorted(times) for i in range(times[k])]
     if len(bounds) == 1:
         return docs.withColumn("_shard", F.lit(0)), bounds
-    table = F.lit(bounds[1:])
+    at, ties = (F.lit([b[i] for b in bounds[1:]]) for i in range(2))
     steps = F.sequence(F.lit(1), F.lit((len(bounds) - 1).bit_length()))
-    # binary search: how many bounds are at or below the key
+    # binary search: how many bounds are at or below the row
     state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds) - 1).alias("hi"))
 
     def halve(s, _):
-        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(table, mid) <= F.col(key)
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = (F.get(at, mid) < F.col(key)) | ((F.get(at, mid) == F.col(key)) & (F.get(ties, mid) <= F.col(tie)))
         return F.when(s["lo"] >= s["hi"], s).otherwise(
             F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
         )

@@ -193,26 +193,35 @@ def fingerprints(docs: DataFrame, rows_per_shard: int = 4096) -> DataFrame:
     """Fingerprint of every document and of its edited text, and their likeness.
 
     docs: doc_id, text; other columns are ignored. A null text is the empty text. Rows are taken in ascending
-    doc_id (null first, ties by text), and the last is followed by the first. The empty text's fingerprint has
-    length 0 and an empty sketch; it is like itself (1) and unlike all others (0). Repeated rows count as rows of
-    their own. An empty table gives no rows. edit_at is the longest common extension of text and edited text.
+    doc_id (null first, ties by a hash of the text, then by the text), and the last is followed by the first. The empty
+    text's fingerprint has length 0 and an empty sketch; it is like itself (1) and unlike all others (0). Repeated rows
+    count as rows of their own. An empty table gives no rows. edit_at is the longest common extension of text and edited text.
 
     One shuffle carries each text once, to the shard of its doc_id range; the first row of every shard is sent to
     the shard before as well, so a row meets the next without a global window.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, bounds = in_shards(rows.withColumn("_key", order_key(F.col("doc_id"))), "_key", rows_per_shard)
+    rows, bounds = in_shards(rows.withColumns({"_key": order_key(F.col("doc_id")), "_tie": F.xxhash64("text")}), "_key", "_tie", rows_per_shard)
     n = max(1, len(bounds))
-    before = F.when(F.col("_shard") == 0, F.lit(n - 1)).otherwise(F.col("_shard") - 1)
     # the first row of a shard has its bound as key
-    heads = F.get(F.lit(bounds or [0]), F.col("_shard")) == F.col("_key")
+    first = {i: (key, None) for i, (key, _) in enumerate(bounds or [(0, 0)])}
+    if len({key for key, _ in bounds}) < len(bounds):
+        # shards of one doc_id: their first rows, of those that have any, are looked up; one row of numbers for each shard
+        heads = rows.groupBy("_shard").agg(F.min(F.struct("_key", "_tie")).alias("head")).collect()
+        first = {r["_shard"]: tuple(r["head"]) for r in heads}
+    live = sorted(first)
+    before = dict(zip(live, [live[-1], *live[:-1]], strict=True))
+    by_shard = lambda values: F.get(F.lit([values.get(i, 0) for i in range(n)]), F.col("_shard"))
+    head = by_shard({i: key for i, (key, _) in first.items()}) == F.col("_key")
+    if any(tie is not None for _, tie in first.values()):
+        head = head & (by_shard({i: tie for i, (_, tie) in first.items()}) == F.col("_tie"))
     own = F.struct(F.col("_shard").alias("shard"), F.lit(False).alias("borrowed"))
-    also = F.struct(before.alias("shard"), F.lit(True).alias("borrowed"))
+    also = F.struct(by_shard(before).alias("shard"), F.lit(True).alias("borrowed"))
     dealt = (
-        rows.withColumn("_to", F.explode(F.when(heads, F.array(own, also)).otherwise(F.array(own))))
-        .select("_key", "doc_id", "text", F.col("_to.shard").cast("int").alias("_shard"), F.col("_to.borrowed").alias("borrowed"))
+        rows.withColumn("_to", F.explode(F.when(head, F.array(own, also)).otherwise(F.array(own))))
+        .select("_key", "_tie", "doc_id", "text", F.col("_to.shard").cast("int").alias("_shard"), F.col("_to.borrowed").alias("borrowed"))
         .repartitionById(n, "_shard")
-        .sortWithinPartitions("borrowed", "_key", "text")
+        .sortWithinPartitions("borrowed", "_key", "_tie", "text")
         .select("doc_id", "text", "borrowed")
     )
     return dealt.mapInArrow(_compare, _SCHEMA)

@@ -142,12 +142,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Write the ids of every document, each followed by end_id, as ORC files in ascending doc_id order.
 
     docs: doc_id, text; other columns are ignored. A null text is the empty text (only end_id). Rows with a null
-    doc_id come first; ties are ordered by text. File k holds the k-th range of doc_ids, sorted; columns doc_id,
+    doc_id come first; ties are ordered by a hash of the text, then by the text, so that many rows of one doc_id are shared
+    among files. File k holds the k-th range of doc_ids, sorted; columns doc_id,
     shard (the file's number), row (position in it), n_tokens, ids. An empty table gives files without rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, bounds = in_shards(rows.withColumn("_key", order_key(F.col("doc_id"))), "_key", rows_per_shard)
-    dealt = rows.repartitionById(max(1, len(bounds)), F.col("_shard").cast("int")).sortWithinPartitions("_key", "text")
+    rows, bounds = in_shards(rows.withColumns({"_key": order_key(F.col("doc_id")), "_tie": F.xxhash64("text")}), "_key", "_tie", rows_per_shard)
+    dealt = rows.repartitionById(max(1, len(bounds)), F.col("_shard").cast("int")).sortWithinPartitions("_key", "_tie", "text")
     ids = dealt.select("doc_id", F.col("_shard").cast("int").alias("_shard"), "text").mapInArrow(
         _encode(vocabulary or vocabulary_path(VOCABULARY), np.array([end_id], dtype="<u4").tobytes()),
         "doc_id long, shard int, row long, n_tokens long, ids array<int>",

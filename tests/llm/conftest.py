@@ -1,4 +1,5 @@
 import pytest
+import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, shard string, h long, words string, size string, key string"
 
@@ -31,6 +32,23 @@ def odd(spark):
     return table(spark, rows), rows
 
 
+def in_order(rows):
+    """(has doc_id, doc_id, hash of the text, text) as operators that go by doc_id order rows."""
+
+    def signed(text):
+        h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted((r[0] is not None, r[0] or 0, signed(r[1] or ""), r[1] or "") for r in rows)
+
+
+@pytest.fixture(scope="session")
+def many(spark):
+    """A third of the rows without doc_id, another third of one doc_id, some of them alike."""
+    rows = [((None, 7, i)[i % 3], f"text {i // 3 % 25} of row {i % 3}", "en", "a") for i in range(120)]
+    return table(spark, rows), rows
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return table(spark, [])

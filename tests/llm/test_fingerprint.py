@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.llm.conftest import in_order
+
 from loamdex.llm.fingerprint import PrefixHashes, edited, fingerprint, fingerprints, likeness
 
 
@@ -33,12 +35,12 @@ def test_chunks_do_not_change_hashes(monkeypatch):
 
 
 @pytest.mark.parametrize("rows_per_shard", [2, 4096])
-def test_rows(odd, small, spark, rows_per_shard):
-    for docs, rows in (odd, small):
-        order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows))
+def test_rows(odd, small, many, spark, rows_per_shard):
+    for docs, rows in (odd, small, many):
+        order = in_order(rows)
         want = []
-        for k, (has, doc_id, text) in enumerate(order):
-            after = order[(k + 1) % len(order)][2]
+        for k, (has, doc_id, _, text) in enumerate(order):
+            after = order[(k + 1) % len(order)][3]
             changed = edited(text, after)
             own, other = fingerprint(text), fingerprint(changed)
             sha = hashlib.sha256(changed.encode()).hexdigest()

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
+from tests.llm.conftest import in_order
+
 from loamdex.llm.common import new_path
 from loamdex.llm.token_files import PieceEncoder, VOCABULARY, encoded_positions, read_token_files, vocabulary_path, write_token_files
 
@@ -20,17 +22,17 @@ def test_pieces_give_the_ids_of_whole_texts(odd, small):
 
 
 def expected(rows):
-    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows))
+    order = in_order(rows)
     at, out = 0, []
-    for (has, doc_id, _), ids in zip(order, whole([t for *_, t in order]), strict=True):
+    for (has, doc_id, *_), ids in zip(order, whole([t for *_, t in order]), strict=True):
         ids = ids + [2]
         out.append((doc_id if has else None, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
     return out
 
 
-def test_positions(odd, small, none):
-    for docs, rows in (odd, small):
+def test_positions(odd, small, many, none):
+    for docs, rows in (odd, small, many):
         for size in (3, 4096):
             got = [tuple(r) for r in encoded_positions(docs, rows_per_shard=size).orderBy("start").collect()]
             assert got == expected(rows)
