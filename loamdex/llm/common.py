@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loamdex.sources.shared import new_path, shared_dir
 
-__all__ = ["cut", "give_back", "in_shards", "let", "new_path", "order_key", "shared_dir", "words_in"]
+__all__ = ["cut", "give_back", "in_shards", "let", "new_path", "order_key", "shared_dir", "words_in", "written"]
 
 #: A word of a text, as a Java, RE2 or Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder, compressed and read by column, which a checkpoint is not."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import cut, give_back
+from loamdex.llm.common import cut, give_back, written
 from loamdex.llm.components import components
 
 RADIUS = 3
@@ -498,7 +498,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     together. No rows give no rows.
     """
     texts = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
-    rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"))
+    rows = written(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"), "sketches")
     least = F.min(F.struct("doc", "mark")).alias("least")
     classes = rows.groupBy("sig").agg(least)
     keyed = rows.groupBy("sig").agg(F.first("first").alias("first")).mapInArrow(_prefix_keys, "k long, sig long")
