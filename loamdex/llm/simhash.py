@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import cut, give_back, written
+from loamdex.llm.common import cut, give_back
 from loamdex.llm.components import components
 
 RADIUS = 3
@@ -484,6 +484,16 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
+def likely(rows: DataFrame, few: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """rows whose doc and mark may be among those of few, by a bitmap of 64 * words bits at most, so that the rest is not shuffled."""
+    code = F.xxhash64("doc", "mark")
+    place = {"_word": F.pmod(code, F.lit(words)).cast("int"), "_bit": F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc, mark), 58) as int))")}
+    bits = few.withColumns(place).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # a row for each word: its size is bounded whatever the tables hold
+    found = rows.withColumns(place).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return found.select(rows.columns)
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """doc, mark (with_keys), component_id and stays: documents whose shingle sets have this Jaccard similarity or more are linked.
 
@@ -498,7 +508,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     together. No rows give no rows.
     """
     texts = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
-    rows = written(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"), "sketches")
+    rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"))
     least = F.min(F.struct("doc", "mark")).alias("least")
     classes = rows.groupBy("sig").agg(least)
     keyed = rows.groupBy("sig").agg(F.first("first").alias("first")).mapInArrow(_prefix_keys, "k long, sig long")
@@ -506,7 +516,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     counted = lists.join(rows.groupBy("sig").agg(F.first("size").alias("size"), F.first("counts").alias("counts")), "sig")
     lists = cut(counted.select("list", "sig", "size", "counts").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_hopeful(similarity), "list long, sig long").distinct())
     asked = lists.select("sig").distinct().join(classes, "sig").select("sig", F.col("least.doc").alias("doc"), F.col("least.mark").alias("mark"))
-    sets = texts.join(asked, ["doc", "mark"]).groupBy("doc", "mark", "sig").agg(F.first("text").alias("text")).select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary")
+    sets = likely(texts, asked).join(asked, ["doc", "mark"]).groupBy("doc", "mark", "sig").agg(F.first("text").alias("text")).select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary")
     links = lists.join(sets, "sig").select("list", "sig", "hashes").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_set_links(similarity), "u long, v long").distinct()
     roots = components(links)
     grouped = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from loamdex.llm.components import components
-from loamdex.llm.simhash import bits_at, forest, golay_tables, keys_of, near_copies, near_duplicates, print_links, simhash
+from loamdex.llm.simhash import likely, bits_at, forest, golay_tables, keys_of, near_copies, near_duplicates, print_links, simhash
 
 
 def reference(text, shingle=3):
@@ -191,3 +191,12 @@ def test_pairs_under_the_limit_are_left(spark):
     assert all(0.74 <= jaccard(rows[i][1], rows[i + 1][1]) < 0.795 for i in range(0, 80, 2))
     got = {r.doc: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d for d, _ in rows}
+
+
+def test_likely_rows_hold_all_that_are_asked_for(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc", "xxhash64(id) AS mark", "'t' AS text")
+    few = rows.filter("doc % 97 = 5").select("doc", "mark")
+    for words, most in ((1 << 18, 250), (64, 20_000), (1, 20_000)):
+        found = likely(rows, few, words)
+        assert found.columns == rows.columns and found.join(few, ["doc", "mark"]).count() == few.count() <= found.count() <= most
+    assert likely(rows, few.limit(0)).count() == 0
