@@ -149,10 +149,15 @@ def deal(items: DataFrame, places: DataFrame, levels: int, seed: int = 42) -> Da
     return items.withColumn("rank", F.row_number().over(order)).join(spots, ["place", "rank"]).drop("rank")
 
 
-def mix(
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of mix_in_shards."""
+    return mix_in_shards(docs, **options)[0]
+
+
+def mix_in_shards(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, levels: int | None = None, block_words: int = 1_000_000, shard_words: int = 2_000_000, seed: int = 42
-) -> DataFrame:
-    """How many words of each document the mix takes, and where they go.
+) -> tuple[DataFrame, int]:
+    """How many words of each document the mix takes, and where they go; and the number of shards.
 
     docs: doc_id, text, source; other columns are ignored. Size is the number of words; null texts have none. A null
     source is a source of its own, last in order. Returns doc_id, source, size, source_size, target, copies (whole
@@ -203,4 +208,4 @@ def mix(
 
     passes = F.filter(F.transform(F.coalesce("dealt", F.array().cast("array<struct<pass:bigint,shard:int>>")), one), lambda x: x["words"] > 0)
     taken = (F.col("copies") * F.col("size") + F.col("part")).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", "part", taken.alias("taken"), passes.alias("passes"), "key")
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", "part", taken.alias("taken"), passes.alias("passes"), "key"), 1 << levels
