@@ -325,7 +325,10 @@ class Sampler:
         self.p[n] = 0
         self.ids = np.array([*ids, *(self.bytes[ord(c)] for c in single), -1, -2], dtype=np.int64)
         self.widths = np.array([*map(len, self.pieces), 0, 1], dtype=np.int64)
-        self.text = dict(zip(self.ids[:n].tolist(), self.pieces, strict=True)) | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in enumerate(self.bytes)}
+        text = dict(zip(self.ids[:n].tolist(), self.pieces, strict=True)) | {i: chr(b if b < 128 else 0xDC00 + b) for b, i in enumerate(self.bytes)}
+        #: What each id stands for, with spaces for their markers.
+        self.text = np.full(max(text) + 1, "", dtype=object)
+        self.text[list(text)] = [x.replace(SPACE, " ") for x in text.values()]
 
     def token_ids(self, drawn: Drawn, units: list[str]) -> np.ndarray:
         """Ids in order; an unknown character becomes the ids of its UTF-8 bytes."""
@@ -347,10 +350,10 @@ class Sampler:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        text = "".join(map(self.text.__getitem__, ids.tolist()))
+        text = "".join(self.text[ids].tolist())
         if not text.isascii() and _escaped(text):
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
-        return text.replace(SPACE, " ")[1:]
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape").replace(SPACE, " ")
+        return text[1:]
 
     def sample(self, texts: list[str], keys: list[int], k: int = SAMPLES, seed: int = 42) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct segmentations as (ids, log-probability, perturbed score, inclusion score)."""
