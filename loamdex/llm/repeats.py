@@ -237,8 +237,6 @@ def runs(rows: DataFrame, units: Units, window: int, gram: int, within: bool, ho
     """Runs of windows of every row of docs whose hashes stood before: doc, mark, start, end, of_doc, of_mark, of_start."""
     counts = rows.mapInArrow(_emit(units.split, window, gram, None, within), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     every = rows.mapInArrow(_emit(units.split, window, gram, bits, within), _ROW)
-    # written, so that their aggregation does not keep the join from splitting a widespread anchor's rows
-    counts = cut(counts)
     # read by both branches below
     shared = cut(every.join(counts, "anchor"))
     place = ["anchor", "doc", "mark", "start"]
