@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import WORD, new_path
+from loamdex.llm.common import WORD, cut, new_path
 from loamdex.llm.langid import identify, train
 from loamdex.llm.linededup import delete_repeats
 from loamdex.llm.mixing import mix_in_shards, mix_key
 from loamdex.llm.sampled_pieces import sampled_segmentations
-from loamdex.llm.simhash import near_copies, with_keys
+from loamdex.llm.simhash import likely, near_copies, with_keys
 from loamdex.sources.files import Files
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,11 +43,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays (ties by a hash of the text, then by source and lang)."""
-    keep = near_copies(docs).filter("stays").select("doc", "mark")
-    rows = with_keys(docs.select(*COLUMNS)).join(keep, ["doc", "mark"], "left_semi")
+    found = cut(near_copies(docs).groupBy("doc", "mark").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    # only rows that may go or stand more than once are shuffled
+    few, rows = found.filter("n > 1 OR NOT stays").select("doc", "mark"), with_keys(docs.select(*COLUMNS))
+    asked = likely(rows, few).join(found.filter("stays").select("doc", "mark"), ["doc", "mark"])
     # rows of one doc and mark have one text
-    same = rows.groupBy("doc", "mark").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("source", "lang")).alias("least"))
-    return _documents(same.select("doc_id", "text", "least.lang", "least.source"))
+    same = asked.groupBy("doc", "mark").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("source", "lang")).alias("least"))
+    kept = likely(rows, few, others=True).select("doc_id", "text", "lang", "source")
+    return _documents(kept.unionByName(same.select("doc_id", "text", "least.lang", "least.source")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,8 +224,12 @@ BUCKETS = 256
 #: Sets of a list up to which its pairs are bounded one by one, and up to which they are then lists of their own, so
 #: that a pair that meets in many lists is compared once. Longer lists are compared whole.
 SOME, FEW = 256, 16
-#: One row in so many counts for the order of shingles; the order changes what is compared, never what is found.
-SAMPLE = 16
+#: One row in so many counts for the order of shingles, and most shingles that the order knows; the order changes what is
+#: compared, never what is found.
+SAMPLE, KNOWN = 16, 1 << 20
+#: Bits of a prefix key that hold the size of its set, at most; one more is the last, the others are the first of the hash.
+SIZE_BITS = 24
+MOST_SIZE = (1 << SIZE_BITS) - 1
 
 
 def bits_at(similarity: float, slack: float = 1.0) -> int:
@@ -339,10 +343,16 @@ def _all_shingles(shingle: int):
 
 
 def common_shingles(rows: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that many of a sample of rows hold, ascending, and their counts; at most 2000 a row on average."""
+    """Hashes of shingles that three rows or more of a sample hold, ascending, and their counts; the most frequent KNOWN at most."""
     some = rows.filter(F.pmod(F.xxhash64("mark", "doc"), F.lit(sample)) == 0)
-    least = max(3, some.count() // 2000)
-    found = some.select("text").mapInArrow(_all_shingles(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).toArrow()
+    counted = cut(some.select("text").mapInArrow(_all_shingles(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"))
+    least, total = 3, 0
+    for n, times in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += times
+        if total > KNOWN:
+            least = n + 1
+            break
+    found = counted.filter(F.col("n") >= least).toArrow()
     hashes, times = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], times[order]
@@ -380,31 +390,45 @@ def _sets(shingle: int):
     return run
 
 
-def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            firsts = batch.column("first").to_pylist()
-            sig = np.repeat(batch.column("sig").to_numpy(), [len(x) // 8 for x in firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), dtype=np.int64)), pa.array(sig)], names=["k", "sig"])
+def _prefix_keys(similarity: float):
+    """k: the first bits of a hash of a set's prefix, the set's size, and 0 if the hash is one of those that the lesser set of a pair needs.
+
+    Hashes cut short may put more sets together, never fewer. Of sets of m and n >= m hashes that are similar, at least
+    2 * similarity / (1 + similarity) * m are shared, so the lesser one shares a hash of a prefix of m - that + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                firsts, sizes = batch.column("first").to_pylist(), batch.column("size").to_numpy()
+                times = np.array([len(x) // 8 for x in firsts], dtype=np.int64)
+                short = sizes - np.ceil(2 * similarity / (1 + similarity) * sizes - 1e-6).astype(np.int64) + 1
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                later = (place >= np.repeat(short, times)).astype(np.int64)
+                keys = np.frombuffer(b"".join(firsts), dtype=np.int64) >> (SIZE_BITS + 1) << (SIZE_BITS + 1)
+                keys = keys | np.repeat(np.minimum(sizes, MOST_SIZE), times) << 1 | later
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("sig").to_numpy(), times))], names=["k", "sig"])
+
+    return run
 
 
-def _runs(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows sorted by key, and the groups' bounds; a group that goes on is held back."""
+def _runs(key: str, batches: Iterator[pa.RecordBatch], drop: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows sorted by key, without its last ``drop`` bits, and the groups' bounds; a group that goes on is held back."""
     held: list[pa.RecordBatch] = []
 
     def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         table = pa.Table.from_batches(parts)
-        keys = table.column(key).to_numpy()
+        keys = table.column(key).to_numpy() >> drop
         return table, np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy()
+        keys = batch.column(key).to_numpy() >> drop
         differ = np.flatnonzero(keys != keys[-1])
         last = int(differ[-1]) + 1 if len(differ) else 0
-        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+        if held and held[-1].column(key)[-1].as_py() >> drop != keys[0]:
             yield whole(held)
             held = []
         if last:
@@ -423,20 +447,33 @@ def _listed(lists: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(members)], names=["list", "sig"])
 
 
-def _lists(block: int):
-    """Of rows sorted by k, sig the sets that share a key; of a key with more than block sets, those of each pair of blocks."""
+def _lists(block: int, similarity: float):
+    """Of rows sorted by k, sig the sets that share a hash and are of similar size; of more than block sets, those of each pair of blocks.
+
+    Within a hash sets stand by size, and are parted where a size is under similarity times the next: no similar pair is.
+    A set that needs a lesser one beside it (_prefix_keys) and has none goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _runs("k", batches):
-            sigs = table.column("sig").to_numpy()
-            out = []
+        for table, _ in _runs("k", batches, SIZE_BITS + 1):
+            sigs, keys = table.column("sig").to_numpy(), table.column("k").to_numpy()
+            hashes, sizes, lesser = keys >> (SIZE_BITS + 1), keys >> 1 & MOST_SIZE, keys & 1 == 0
+            before = np.maximum.accumulate(np.where(lesser, np.arange(len(keys)), 0))
+            kept = lesser | (lesser[before] & (hashes[before] == hashes) & (sizes[before] >= similarity * sizes - 1e-6))
+            sigs, hashes, sizes = sigs[kept], hashes[kept], sizes[kept]
+            if not len(sigs):
+                continue
+            starts = np.append((hashes[1:] != hashes[:-1]) | (sizes[:-1] < similarity * sizes[1:] - 1e-6), True)
+            bounds, out = np.append(0, np.flatnonzero(starts) + 1), []
             for a, b in zip(bounds[:-1][np.diff(bounds) > 1].tolist(), bounds[1:][np.diff(bounds) > 1].tolist(), strict=True):
                 if b - a <= block:
-                    out.append(sigs[a:b])
+                    out.append(np.sort(sigs[a:b]))
                     continue
-                parts = np.array_split(sigs[a:b], -(-(b - a) // block))
-                for p, q in combinations(range(len(parts)), 2):
-                    out.append(np.concatenate([parts[p], parts[q]]))
+                parts = np.array_split(np.arange(a, b), -(-(b - a) // block))
+                for p, q in combinations(parts, 2):
+                    if sizes[p[-1]] < similarity * sizes[q[0]] - 1e-6:
+                        continue
+                    out.append(np.sort(sigs[np.concatenate([p, q])]))
                     if len(out) >= 64:
                         yield _listed(out)
                         out = []
@@ -484,14 +521,15 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def likely(rows: DataFrame, few: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """rows whose doc and mark may be among those of few, by a bitmap of 64 * words bits at most, so that the rest is not shuffled."""
-    code = F.xxhash64("doc", "mark")
-    place = {"_word": F.pmod(code, F.lit(words)).cast("int"), "_bit": F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc, mark), 58) as int))")}
+def likely(rows: DataFrame, few: DataFrame, words: int = 1 << 18, on: tuple[str, ...] = ("doc", "mark"), others: bool = False) -> DataFrame:
+    """rows whose keys may be among those of few, by a bitmap of 64 * words bits at most, so that the rest is not shuffled; others: that rest."""
+    code = f"xxhash64({', '.join(on)})"
+    place = {"_word": F.expr(f"cast(pmod({code}, {words}L) as int)"), "_bit": F.expr(f"shiftleft(1L, cast(shiftrightunsigned({code}, 58) as int))")}
     bits = few.withColumns(place).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     # a row for each word: its size is bounded whatever the tables hold
-    found = rows.withColumns(place).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
-    return found.select(rows.columns)
+    found = rows.withColumns(place).join(F.broadcast(bits), "_word", "left" if others else "inner")
+    met = F.col("_bits").bitwiseAND(F.col("_bit")) != 0
+    return found.filter(~F.coalesce(met, F.lit(False)) if others else met).select(rows.columns)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -499,7 +537,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
 
     A 64-bit print within 3 bits only meets texts that are almost equal. So this is an exact join of the sets of distinct
     shingles, taken by their 64-bit hashes: sets of this similarity share a hash of their prefixes, and sets that share one
-    are compared in full, unless their counts by bucket show that they share too few.
+    are compared in full, unless their sizes or counts by bucket show that they share too few.
 
     docs: doc_id, text; other columns are ignored. Case of A-Z and white space don't count. Texts without words are one
     group. Rows with equal sets are one class before keys are made. Sets that share a key are a list; a key of many sets
@@ -509,17 +547,27 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     """
     texts = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
     rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"))
-    least = F.min(F.struct("doc", "mark")).alias("least")
-    classes = rows.groupBy("sig").agg(least)
-    keyed = rows.groupBy("sig").agg(F.first("first").alias("first")).mapInArrow(_prefix_keys, "k long, sig long")
-    lists = keyed.repartition("k").sortWithinPartitions("k", "sig").mapInArrow(_lists(block), "list long, sig long").distinct()
-    counted = lists.join(rows.groupBy("sig").agg(F.first("size").alias("size"), F.first("counts").alias("counts")), "sig")
-    lists = cut(counted.select("list", "sig", "size", "counts").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_hopeful(similarity), "list long, sig long").distinct())
-    asked = lists.select("sig").distinct().join(classes, "sig").select("sig", F.col("least.doc").alias("doc"), F.col("least.mark").alias("mark"))
-    sets = likely(texts, asked).join(asked, ["doc", "mark"]).groupBy("doc", "mark", "sig").agg(F.first("text").alias("text")).select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary")
-    links = lists.join(sets, "sig").select("list", "sig", "hashes").repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_set_links(similarity), "u long, v long").distinct()
-    roots = components(links)
-    grouped = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    first = grouped.groupBy("root").agg(F.min("least").alias("first"))
-    found = rows.select("doc", "mark", "sig").join(grouped.join(first, "root").select("sig", "first"), "sig")
+    classes = cut(rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.count(F.lit(1)).alias("n")))
+
+    def checked(lists: DataFrame) -> DataFrame:
+        """Links of the similar sets of each list."""
+        asked = lists.select("sig").distinct().join(classes, "sig").select("sig", F.col("least.doc").alias("doc"), F.col("least.mark").alias("mark"))
+        sets = likely(texts, asked).join(asked, ["doc", "mark"]).groupBy("doc", "mark", "sig").agg(F.first("text").alias("text")).select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary")
+        found = lists.join(sets, "sig").select("list", "sig", "hashes").repartition("list").sortWithinPartitions("list", "sig")
+        return cut(found.mapInArrow(_set_links(similarity), "u long, v long").distinct())
+
+    # a class of one row needs no exchange of its prefix
+    several = classes.filter("n > 1").select("sig")
+    firsts = rows.select("sig", "size", "first")
+    single, more = likely(firsts, several, on=("sig",), others=True), likely(firsts, several, on=("sig",))
+    keyed = single.unionByName(more.groupBy("sig").agg(F.first("size").alias("size"), F.first("first").alias("first"))).mapInArrow(_prefix_keys(similarity), "k long, sig long")
+    met = keyed.repartition(F.shiftright("k", SIZE_BITS + 1)).sortWithinPartitions("k", "sig").mapInArrow(_lists(block, similarity), "list long, sig long")
+    lists = cut(met.distinct())
+    counts = likely(rows.select("sig", "size", "counts"), lists.select("sig").distinct(), on=("sig",)).groupBy("sig").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
+    counted = lists.join(counts, "sig").select("list", "sig", "size", "counts")
+    lists = cut(counted.repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_hopeful(similarity), "list long, sig long").distinct())
+    roots = components(checked(lists))
+    joined = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+    first = joined.groupBy("root").agg(F.min("least").alias("first"))
+    found = rows.select("doc", "mark", "sig").join(joined.join(first, "root").select("sig", "first"), "sig")
     return found.select("doc", "mark", F.col("first.doc").alias("component_id"), (F.col("first") == F.struct("doc", "mark")).alias("stays"))

@@ -111,3 +111,25 @@ def test_planted_near_copies_go_and_clean_documents_stay(spark):
     assert 20 < sum(want.values()) < 45
     kept = {r.doc_id for r in corpus_pipeline.dedup_near_copies(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
     assert kept == set(range(60)) | {i for i, clean in want.items() if clean}
+
+
+def _shuffled(spark):
+    """Bytes written to shuffles by all stages so far, and the number of stages."""
+    context = spark.sparkContext
+    store, jvm = context._jsc.sc().statusStore(), context._jvm
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_dedup_shuffles_less_than_the_texts(spark, tmp_path):
+    """Texts that stay are not shuffled, nor prefixes and counts of sets that share no key."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(2000)) for _ in range(200)]
+    texts[150] = texts[20] + " more"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = _shuffled(spark)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.dedup_near_copies(spark, docs, "").select("doc_id", "text").collect()}
+    assert kept == {i: t for i, t in enumerate(texts) if i != 150}
+    assert _shuffled(spark) - before < 0.8 * sum(map(len, texts))

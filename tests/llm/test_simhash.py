@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from loamdex.llm.components import components
+from loamdex.llm import simhash as module
 from loamdex.llm.simhash import likely, bits_at, forest, golay_tables, keys_of, near_copies, near_duplicates, print_links, simhash
 
 
@@ -200,3 +202,37 @@ def test_likely_rows_hold_all_that_are_asked_for(spark):
         found = likely(rows, few, words)
         assert found.columns == rows.columns and found.join(few, ["doc", "mark"]).count() == few.count() <= found.count() <= most
     assert likely(rows, few.limit(0)).count() == 0
+
+
+def test_rows_that_are_not_likely_are_the_others(spark):
+    rows = spark.range(5000).selectExpr("id AS doc", "xxhash64(id) AS mark")
+    few = rows.filter("doc % 97 = 5").select("doc")
+    for words in (1 << 18, 1):
+        both = [likely(rows, few, words, ("doc",), others) for others in (False, True)]
+        assert sorted(r.doc for x in both for r in x.collect()) == list(range(5000)) and both[1].join(few, "doc").count() == 0
+    assert likely(rows, few.limit(0), on=("doc",)).count() == 0 and likely(rows, few.limit(0), on=("doc",), others=True).count() == 5000
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_every_similar_pair_is_in_a_list(block):
+    """Sets of any sizes, with similarities on both sides of the limit; sets of unlike size share no list."""
+    rng = np.random.default_rng(block)
+    sets = []
+    for n in (1, 2, 5, 9, 10, 40, 100, 300):
+        for _ in range(6):
+            base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            for lost, new in ((0, 0), (n // 10, n // 9), (n // 5, 0), (0, n // 4), (n // 9, n // 9)):
+                sets.append(np.unique(np.concatenate([base[lost:], rng.integers(0, 1 << 64, new, dtype=np.uint64)])))
+    common = np.unique(np.concatenate([x[:2] for x in sets]))
+    sets = [np.unique(np.append(x, common[:3])) if len(x) > 30 else x for x in sets]
+    firsts = [module.prefix(x, 0.8, common[:3], np.array([9, 8, 7])).tobytes() for x in sets]
+    batch = pa.RecordBatch.from_pydict({"sig": pa.array(range(len(sets)), pa.int64()), "size": pa.array([len(x) for x in sets], pa.int64()), "first": pa.array(firsts, pa.binary())})
+    keyed = pa.Table.from_batches(module._prefix_keys(0.8)([batch])).sort_by([("k", "ascending"), ("sig", "ascending")])
+    lists = {}
+    for part in module._lists(block, 0.8)(keyed.to_batches(max_chunksize=50)):
+        for name, sig in zip(part["list"].to_pylist(), part["sig"].to_pylist(), strict=True):
+            lists.setdefault(name, set()).add(sig)
+    met = {pair for x in lists.values() for pair in itertools.combinations(sorted(x), 2)}
+    shared = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    similar = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if shared(a, b) >= 0.8}
+    assert len(similar) > 100 and similar <= met and len(met) < 8 * len(similar)
