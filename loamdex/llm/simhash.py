@@ -95,10 +95,18 @@ def simhash(text: str | None, shingle: int = 3) -> int:
         hashes = [digest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])]
     else:
         hashes = [digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(shingle)))]
+    return print_of(hashes)
+
+
+def print_of(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     n, counts = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 15):
         part = np.array(hashes[at : at + (1 << 15)], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
+        # sums of 255 bits fit a byte
+        whole = len(bits) // 255 * 255
+        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -361,17 +369,18 @@ def common_shingles(rows: DataFrame, shingle: int, sample: int = SAMPLE) -> tupl
 def _sketches(shingle: int, similarity: float, common: np.ndarray, times: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sizes, firsts, counts = [], [], [], []
+            sigs, sizes, prints, firsts, counts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, shingle)
                 sigs.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(len(hashes))
+                prints.append(print_of(hashes))
                 firsts.append(prefix(hashes, similarity, common, times).tobytes())
                 counts.append(bucket_counts(hashes).tobytes())
-            signed = np.array(sigs, dtype=np.uint64).view(np.int64)
+            signed, signed_prints = (np.array(x, dtype=np.uint64).view(np.int64) for x in (sigs, prints))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("mark"), pa.array(signed), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())],
-                names=["doc", "mark", "sig", "size", "first", "counts"],
+                [batch.column("doc"), batch.column("mark"), pa.array(signed), pa.array(sizes, pa.int64()), pa.array(signed_prints), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())],
+                names=["doc", "mark", "sig", "size", "print", "first", "counts"],
             )
         give_back()
 
@@ -483,16 +492,20 @@ def _lists(block: int, similarity: float):
 
 
 def _hopeful(similarity: float):
+    """Of lists the sets that may be similar to another that no link was found to yet: by their sizes and counts, and their roots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _runs("list", batches):
-            sigs, sizes = table.column("sig").to_numpy(), table.column("size").to_numpy()
+            sigs, sizes, roots = (table.column(c).to_numpy() for c in ("sig", "size", "root"))
             counts = [np.frombuffer(x, dtype=np.uint8) for x in table.column("counts").to_pylist()]
             out = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if (roots[a:b] == roots[a]).all():
+                    continue
                 if b - a > SOME:
                     out.append(sigs[a:b])
                     continue
-                pairs = [(a + i, a + j) for i, near in enumerate(hopeful(sizes[a:b], counts[a:b], similarity)) for j in near.tolist()]
+                pairs = [(a + i, a + j) for i, near in enumerate(hopeful(sizes[a:b], counts[a:b], similarity)) for j in near.tolist() if roots[a + i] != roots[a + j]]
                 if b - a <= FEW or len(pairs) <= 2 * (b - a):
                     out += [sigs[[i, j]] for i, j in pairs]
                 else:
@@ -535,9 +548,10 @@ def likely(rows: DataFrame, few: DataFrame, words: int = 1 << 18, on: tuple[str,
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """doc, mark (with_keys), component_id and stays: documents whose shingle sets have this Jaccard similarity or more are linked.
 
-    A 64-bit print within 3 bits only meets texts that are almost equal. So this is an exact join of the sets of distinct
-    shingles, taken by their 64-bit hashes: sets of this similarity share a hash of their prefixes, and sets that share one
-    are compared in full, unless their sizes or counts by bucket show that they share too few.
+    First SimHash: prints of the sets of distinct shingles, taken by their 64-bit hashes, meet within 3 bits by their Golay
+    keys. Each link is checked on the whole sets, and what holds makes groups. As 3 bits only meet sets that are almost equal,
+    an exact join of the sets finds the rest: sets of this similarity share a hash of their prefixes, and sets that share one
+    and are not in one group yet are compared in full, unless their sizes or counts by bucket show that they share too few.
 
     docs: doc_id, text; other columns are ignored. Case of A-Z and white space don't count. Texts without words are one
     group. Rows with equal sets are one class before keys are made. Sets that share a key are a list; a key of many sets
@@ -546,8 +560,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     together. No rows give no rows.
     """
     texts = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "mark", "text")
-    rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, first binary, counts binary"))
-    classes = cut(rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.count(F.lit(1)).alias("n")))
+    rows = cut(texts.mapInArrow(_sketches(shingle, similarity, *common_shingles(texts, shingle)), "doc long, mark long, sig long, size long, print long, first binary, counts binary"))
+    classes = cut(rows.groupBy("sig").agg(F.min(F.struct("doc", "mark")).alias("least"), F.first("print").alias("print"), F.count(F.lit(1)).alias("n")))
 
     def checked(lists: DataFrame) -> DataFrame:
         """Links of the similar sets of each list."""
@@ -556,6 +570,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
         found = lists.join(sets, "sig").select("list", "sig", "hashes").repartition("list").sortWithinPartitions("list", "sig")
         return cut(found.mapInArrow(_set_links(similarity), "u long, v long").distinct())
 
+    near = checked(_print_lists(classes))
+    grouped = cut(components(near))
     # a class of one row needs no exchange of its prefix
     several = classes.filter("n > 1").select("sig")
     firsts = rows.select("sig", "size", "first")
@@ -564,10 +580,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     met = keyed.repartition(F.shiftright("k", SIZE_BITS + 1)).sortWithinPartitions("k", "sig").mapInArrow(_lists(block, similarity), "list long, sig long")
     lists = cut(met.distinct())
     counts = likely(rows.select("sig", "size", "counts"), lists.select("sig").distinct(), on=("sig",)).groupBy("sig").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
-    counted = lists.join(counts, "sig").select("list", "sig", "size", "counts")
+    counts = counts.join(grouped, F.col("sig") == F.col("node"), "left").select("sig", "size", "counts", F.coalesce("root", "sig").alias("root"))
+    counted = lists.join(counts, "sig").select("list", "sig", "size", "counts", "root")
     lists = cut(counted.repartition("list").sortWithinPartitions("list", "sig").mapInArrow(_hopeful(similarity), "list long, sig long").distinct())
-    roots = components(checked(lists))
+    roots = components(near.unionByName(checked(lists)))
     joined = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     first = joined.groupBy("root").agg(F.min("least").alias("first"))
     found = rows.select("doc", "mark", "sig").join(joined.join(first, "root").select("sig", "first"), "sig")
     return found.select("doc", "mark", F.col("first.doc").alias("component_id"), (F.col("first") == F.struct("doc", "mark")).alias("stays"))
+
+
+def _print_lists(classes: DataFrame) -> DataFrame:
+    """Pairs of sets, as lists of two: sets of one print with the least of them, and the least ones of prints within 3 bits."""
+    by_print = classes.groupBy("print").agg(F.min("sig").alias("sig"))
+    same = classes.select("print", F.col("sig").alias("b")).join(by_print.withColumnRenamed("sig", "a"), "print").filter("a <> b").select("a", "b")
+    links = print_links(by_print.select("print"))
+    far = links.join(by_print.toDF("u", "a"), "u").join(by_print.toDF("v", "b"), "v").select("a", "b")
+    pairs = same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(pairs.select(F.xxhash64("a", "b").alias("list"), F.explode(F.array("a", "b")).alias("sig")).distinct())

@@ -213,6 +213,31 @@ def test_rows_that_are_not_likely_are_the_others(spark):
     assert likely(rows, few.limit(0), on=("doc",)).count() == 0 and likely(rows, few.limit(0), on=("doc",), others=True).count() == 5000
 
 
+def test_near_copies_meet_by_their_prints(spark, monkeypatch):
+    """Without the join of prefixes almost equal texts still meet, by SimHash and Golay keys; links are checked on the sets."""
+    rng = random.Random(11)
+    words = [["w%d" % rng.randint(0, 10**6) for _ in range(2000)] for _ in range(10)]
+    rows = [(2 * i, " ".join(w)) for i, w in enumerate(words)] + [(2 * i + 1, " ".join(w[:1000] + ["new"] + w[1001:])) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: d - d % 2 for d, _ in rows}
+    assert {r.doc: r.component_id for r in near_copies(docs).collect()} == want
+
+    def none(block, similarity):
+        return lambda batches: (pa.RecordBatch.from_pydict({"list": pa.array([], pa.int64()), "sig": pa.array([], pa.int64())}) for _ in batches)
+
+    monkeypatch.setattr(module, "_lists", none)
+    assert {r.doc: r.component_id for r in near_copies(docs).collect()} == want
+
+
+def test_prints_that_meet_are_checked_on_the_sets(spark):
+    """Sets of one print or of prints within 3 bits are pairs of their own, which are compared as any other list."""
+    classes = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 255 << 8), (5, 0)], "sig long, print long")
+    got = module._print_lists(classes).collect()
+    assert {tuple(sorted(r.sig for r in got if r.list == k)) for k in {r.list for r in got}} == {(1, 2), (1, 5), (1, 3)}
+    # half of the shingles in common, in prints as near as can be
+    assert module.set_forest(np.arange(2), [np.arange(10, dtype=np.uint64), np.arange(5, 15, dtype=np.uint64)], 0.8) == []
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_every_similar_pair_is_in_a_list(block):
     """Sets of any sizes, with similarities on both sides of the limit; sets of unlike size share no list."""
@@ -236,3 +261,11 @@ def test_every_similar_pair_is_in_a_list(block):
     shared = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
     similar = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if shared(a, b) >= 0.8}
     assert len(similar) > 100 and similar <= met and len(met) < 8 * len(similar)
+
+
+def test_prints_of_many_hashes():
+    rng = np.random.default_rng(3)
+    for n in (1, 254, 255, 256, 1000, 40_000):
+        hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > n)
+        assert module.print_of(hashes) == module.print_of(hashes.tolist()) == want
